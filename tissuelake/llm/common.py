@@ -56,7 +56,8 @@ def text_or_empty(name: str = "text") -> Column:
 
 def words_of(text: Column) -> Column:
     """Array of the words of a text, JVM-side."""
-    return F.filter(F.split(text, SPACE_RE), lambda w: w != "")
+    bare = F.btrim(text, F.lit(SPACES))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE_RE))
 
 
 def bind(value: Column, body) -> Column:
@@ -135,3 +136,9 @@ def run_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of values over [bounds[i], bounds[i + 1])."""
     total = np.concatenate([[0], np.cumsum(values)])
     return total[bounds[1:]] - total[bounds[:-1]]
+
+
+def word_count(text: Column) -> Column:
+    """Number of words of a text as a long, JVM-side; 0 for null."""
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
+    return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, SPACE_RE))).cast("long")

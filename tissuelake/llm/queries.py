@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup, substring_dedup
+from . import mixing, near_dedup, quality_rules, substring_dedup
 from .common import documents
 
 
@@ -15,6 +15,16 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), shingle_words=2, percent=80)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = quality_rules.ledger(documents(spark, sf_dir))
+    base_failed, kept = ~quality_rules.verdict("base"), quality_rules.verdict("v1")
+    return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), kept.alias("kept"), "failures")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.remove_repeats(documents(spark, sf_dir), window=20, separators=False)
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -36,6 +46,25 @@ SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, m.c AS component_id, m.c = d.do
 FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT d, min(r) AS c FROM reach GROUP BY d) m ON m.d = d.doc_id
 """
 
+OP6_SQL = rf"""
+WITH words AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS ws FROM documents),
+lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM words),
+windows AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM words)),
+twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+repeated AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice CROSS JOIN range(3) t(k) GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, len(ls) AS n_lines,
+    length(t) - length(regexp_replace(t, '\p{{Lu}}+', '', 'g')) AS n_upper
+  FROM words w JOIN lines l USING (doc_id) LEFT JOIN repeated r USING (doc_id)),
+f AS (
+  SELECT *, CAST(n_words < 50 AS BIGINT) + 2 * CAST(100 * n_repeat_words > 50 * n_words AS BIGINT) + 4 * CAST(100 * n_symbols > 10 * n_words AS BIGINT)
+    + 8 * CAST(100 * n_dup_lines > 50 * n_lines AS BIGINT) + 16 * CAST(word_chars < 2 * n_words OR word_chars > 15 * n_words AS BIGINT)
+    + 32 * CAST(100 * n_upper > 50 * word_chars AS BIGINT) AS failures FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures % 4 > 0 AS base_failed, failures = 0 AS kept, failures FROM f
+"""
+
 OP9_SQL = rf"""
 WITH words AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
 windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM words)),
@@ -48,8 +77,8 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, len(ws) - coalesce(n, 0) AS n
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_near_dedup": op4_near_dedup, "op9_substring_dedup": op9_substring_dedup}
+    return {"op4_near_dedup": op4_near_dedup, "op6_quality_rules": op6_quality_rules, "op8_mixing": op8_mixing, "op9_substring_dedup": op9_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_near_dedup": OP4_SQL, "op9_substring_dedup": OP9_SQL}
+    return {"op4_near_dedup": OP4_SQL, "op6_quality_rules": OP6_SQL, "op9_substring_dedup": OP9_SQL}
