@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dedup, quality_rules, substring_dedup
+from . import fingerprints, mixing, near_dedup, packing, quality_rules, substring_dedup
 from .common import documents
 
 
@@ -30,6 +30,26 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprints.with_edited(documents(spark, sf_dir))
+    likeness = fingerprints.resemblance
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.as_text(F.col("sketch")).alias("fingerprint"),
+        fingerprints.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        fingerprints.distinct_shingles(F.col("sketch")).alias("n_shingles"),
+        fingerprints.containment(F.col("edited_sketch"), F.col("sketch")).alias("edited_within"),
+    )
+
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP4_SQL = rf"""
@@ -77,7 +97,7 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, len(ws) - coalesce(n, 0) AS n
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_near_dedup": op4_near_dedup, "op6_quality_rules": op6_quality_rules, "op8_mixing": op8_mixing, "op9_substring_dedup": op9_substring_dedup}
+    return {"op4_near_dedup": op4_near_dedup, "op6_quality_rules": op6_quality_rules, "op7_packing": op7_packing, "op8_mixing": op8_mixing, "op9_substring_dedup": op9_substring_dedup, "op10_fingerprints": op10_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:
