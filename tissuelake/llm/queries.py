@@ -4,13 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, near_dedup, packing, quality_rules, substring_dedup
+from . import fingerprints, language_id, mixing, near_dedup, packing, quality_classifier, quality_rules, substring_dedup
 from .common import documents
 
 
+def _held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~_held_out()).select("doc_id", F.col("quality").alias("label"))
+    scored = quality_classifier.score(docs, quality_classifier.fit(docs, labels))
+    return scored.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = language_id.predict(docs, language_id.fit(docs.where(~_held_out())))
+    return found.select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), shingle_words=2, percent=80)
 
@@ -97,7 +114,7 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, len(ws) - coalesce(n, 0) AS n
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_near_dedup": op4_near_dedup, "op6_quality_rules": op6_quality_rules, "op7_packing": op7_packing, "op8_mixing": op8_mixing, "op9_substring_dedup": op9_substring_dedup, "op10_fingerprints": op10_fingerprints}
+    return {"op1_quality_classifier": op1_quality_classifier, "op3_language_id": op3_language_id, "op4_near_dedup": op4_near_dedup, "op6_quality_rules": op6_quality_rules, "op7_packing": op7_packing, "op8_mixing": op8_mixing, "op9_substring_dedup": op9_substring_dedup, "op10_fingerprints": op10_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:
