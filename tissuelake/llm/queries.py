@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_id, mixing, near_dedup, packing, quality_classifier, quality_rules, substring_dedup
+from . import fingerprints, language_id, license_scan, mixing, near_dedup, packing, quality_classifier, quality_rules, substring_dedup, token_counts
 from .common import documents
 
 
@@ -22,6 +22,19 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: source / language / thousand / doc_id."""
+    docs = documents(spark, sf_dir)
+    thousand = F.floor(F.col("doc_id") / 1000).cast("string")
+    path = F.concat_ws("/", "source", "lang", thousand, F.col("doc_id").cast("string"))
+    found = license_scan.scan(docs.select(path.alias("path"), "text"))
+    return found.select(F.substring_index("path", "/", -1).cast("long").alias("doc_id"), "license", "score", "inherited_from")
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir), token_counts.vocabulary(token_counts.tokenizer_path()))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = language_id.predict(docs, language_id.fit(docs.where(~_held_out())))
@@ -114,7 +127,7 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, len(ws) - coalesce(n, 0) AS n
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_classifier": op1_quality_classifier, "op3_language_id": op3_language_id, "op4_near_dedup": op4_near_dedup, "op6_quality_rules": op6_quality_rules, "op7_packing": op7_packing, "op8_mixing": op8_mixing, "op9_substring_dedup": op9_substring_dedup, "op10_fingerprints": op10_fingerprints}
+    return {"op1_quality_classifier": op1_quality_classifier, "op2_license_scan": op2_license_scan, "op3_language_id": op3_language_id, "op4_near_dedup": op4_near_dedup, "op5_token_counts": op5_token_counts, "op6_quality_rules": op6_quality_rules, "op7_packing": op7_packing, "op8_mixing": op8_mixing, "op9_substring_dedup": op9_substring_dedup, "op10_fingerprints": op10_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:
