@@ -68,13 +68,17 @@ def _table(values: dict[str, float]) -> Column:
     return F.create_map(*(F.lit(x) for pair in sorted(values.items()) for x in pair))
 
 
+def _dot(terms: Column, table: Column) -> Column:
+    return F.aggregate(terms, F.lit(0.0), lambda a, t: a + F.coalesce(F.try_element_at(table, t), F.lit(0.0)))
+
+
 def _best(line: Column, idf: dict[str, float], weights: dict[str, dict[str, float]], unseen: float) -> Column:
     """struct(score, license) of the template nearest to a line by cosine; ties go to the last identifier."""
 
     def of_terms(terms: Column) -> Column:
         squares = F.transform(F.array_distinct(terms), lambda t: F.pow(F.size(F.filter(terms, lambda x: x == t)) * F.coalesce(F.try_element_at(_table(idf), t), F.lit(unseen)), 2))
         norm = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda a, x: a + x))
-        dots = [F.aggregate(terms, F.lit(0.0), lambda a, t, v=v: a + F.coalesce(F.try_element_at(_table({k: x * idf[k] for k, x in v.items()}), t), F.lit(0.0))) for v in weights.values()]
+        dots = [_dot(terms, _table({t: w * idf[t] for t, w in vector.items()})) for vector in weights.values()]
         return F.array_max(F.array(*(F.struct((d / norm).alias("score"), F.lit(name).alias("license")) for name, d in zip(weights, dots, strict=True))))
 
     return bind(_terms_of(line), of_terms)
