@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     orders = max(1, min(shuffles, usable.count() * TREES // (64 * WINDOW)))
     pairs = candidates(usable, percent, orders)
     involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    shingles = materialise(docs.join(involved, "doc_id", "left_semi").mapInArrow(_sets(shingle_words), "doc_id long, shingles array<long>").distinct())
+    shingles = materialise(docs.join(involved.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(shingle_words), "doc_id long, shingles array<long>").distinct())
     links = materialise(_confirm(pairs.where("first"), shingles, percent))
     groups = components(links)
     label = lambda x: groups.select(F.col("node").alias(x), F.col("component").alias(f"{x}_group"))
