@@ -84,8 +84,8 @@ def powers_of_base(n: int) -> np.ndarray:
     return _powers
 
 
-def byte_slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Cut a column of texts into runs of whole documents of about 2 MB: (first row, bytes, offsets of len rows + 1). Null counts as empty."""
+def byte_slices(texts: pa.Array, size: int = _SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Cut a column of texts into runs of whole documents of about `size` bytes: (first row, bytes, offsets of len rows + 1). Null counts as empty."""
     col = texts.cast(pa.large_binary())
     if col.null_count:
         col = col.fill_null(b"")
@@ -93,7 +93,7 @@ def byte_slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
     data = np.frombuffer(col.buffers()[2], dtype=np.uint8) if col.buffers()[2] is not None else np.zeros(0, np.uint8)
     at = 0
     while at < len(col):
-        end = int(np.searchsorted(offsets, offsets[at] + _SLICE_BYTES, side="right")) - 1
+        end = int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1
         end = min(max(end, at + 1), len(col))
         yield at, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end

@@ -7,8 +7,9 @@ For each symbol we also keep the range of words that decided it: wherever those
 `window` words therefore have the same interior symbols, those whose deciding range lies within the window, and choose the same one
 of them (the longest, then the smallest hash) as their anchor.
 
-1. Each document sends its distinct anchors to Spark, which keeps the names that occur twice or more.
-2. Only windows whose anchor repeats (or that have no interior symbol) can repeat: each task hashes those (128 bits), drops repeats that
+1. Whole copies of an earlier text are found by hash and are cut entirely. Each document sends its distinct anchors to Spark, which
+   keeps the names that stand in two different texts, or twice in one.
+2. Only windows whose anchor repeats (or that have no interior symbol) can repeat: each task hashes those (96 bits), drops repeats that
    it sees itself and sends the rest; the first place of each window stays, every other start is a repeat.
 3. Each document is cut by the starts found for it.
 
@@ -29,6 +30,12 @@ from pyspark.sql.window import Window as W
 from .common import Words, byte_slices, mix64
 
 ROUNDS, LONGEST = 4, 8
+_WINDOWS = "h1 long, h2 int, id long, print int, place int, places array<int>"
+_WINDOW_NAMES = ["h1", "h2", "id", "print", "place", "places"]
+#: In place of places: the document is a copy of an earlier one.
+_COPY = -1
+#: Bytes of text whose windows a task compares by itself before it sends them.
+_WINDOW_BYTES = 8 << 20
 _NO_ID = -(2**63)
 _MUL, _MUL2 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
@@ -113,7 +120,7 @@ def _doc_of(starts: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def _anchor_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, prints = batch["id"].to_numpy(), batch["print"].to_numpy()
+            ids, prints, wholes = (batch[c].to_numpy() for c in ("id", "print", "whole"))
             for at, data, offsets in byte_slices(batch["text"]):
                 words = Words(data, offsets)
                 starts, anchor, name = anchors(words.hash, words.bounds, window)
@@ -129,7 +136,7 @@ def _anchor_rows(window: int):
                 first = np.flatnonzero(fresh)
                 twice = np.diff(np.append(first, len(doc))) > 1
                 doc = doc[first] + at
-                yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(prints[doc]), pa.array(names[first].view(np.int64)), pa.array(twice)], ["id", "print", "name", "twice"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(prints[doc]), pa.array(wholes[doc]), pa.array(names[first].view(np.int64)), pa.array(twice)], ["id", "print", "whole", "name", "twice"])
 
     return run
 
@@ -138,8 +145,9 @@ def _window_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, prints = batch["id"].to_numpy(), batch["print"].to_numpy()
+            copies = batch["copy"].fill_null(False).to_numpy(zero_copy_only=False)
             flat, ends = batch["names"].flatten().to_numpy(), np.cumsum([0, *(0 if x is None else x for x in batch["names"].value_lengths().to_pylist())])
-            for at, data, offsets in byte_slices(batch["text"]):
+            for at, data, offsets in byte_slices(batch["text"], _WINDOW_BYTES):
                 words = Words(data, offsets)
                 starts, anchor, name = anchors(words.hash, words.bounds, window)
                 doc = _doc_of(starts, words.bounds)
@@ -150,10 +158,12 @@ def _window_rows(window: int):
                     if len(known) and edges[d] < edges[d + 1]:
                         part = slice(edges[d], edges[d + 1])
                         hit[part] |= np.isin(name.view(np.int64)[anchor[part]], known)
+                hit &= ~copies[at + doc]
                 starts, doc = starts[hit], doc[hit]
                 one, two = window_hashes(words.hash, starts, window)
                 place = starts - words.bounds[doc]
                 doc = doc + at
+                two &= np.uint64(0xFFFFFFFF00000000)
                 order = np.lexsort((place, prints[doc], ids[doc], two, one))
                 one, two, doc, place = one[order], two[order], doc[order], place[order]
                 again = np.zeros(len(one), dtype=bool)
@@ -161,11 +171,20 @@ def _window_rows(window: int):
                 # the same document given twice is one document
                 lead = np.maximum.accumulate(np.where(again, 0, np.arange(len(one))))
                 again &= (ids[doc] != ids[doc[lead]]) | (prints[doc] != prints[doc[lead]]) | (place != place[lead])
-                # what is known to repeat needs no comparison: it travels under a key of its own
-                spread = mix64(ids[doc].view(np.uint64) * _MUL + place.astype(np.uint64))
-                one, two = np.where(again, spread, one), np.where(again, np.uint64(0), two)
-                columns = [one.view(np.int64), two.view(np.int64), ids[doc], prints[doc], place.astype(np.int32), again]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["h1", "h2", "id", "print", "place", "again"])
+                first = ~again
+                short = (two >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                columns = [pa.array(x[first]) for x in (one.view(np.int64), short, ids[doc], prints[doc], place.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(int(first.sum()), pa.list_(pa.int32()))], _WINDOW_NAMES)
+                # repeats seen here need no comparison: a document's places travel in one row
+                copied = np.flatnonzero(copies[at : at + len(offsets) - 1]) + at
+                doc, place = np.append(doc[again], copied), np.append(place[again], np.full(len(copied), _COPY))
+                order = np.argsort(doc, kind="stable")
+                doc, place = doc[order], place[order]
+                lead = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])[: len(doc)])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(lead, len(doc)), pa.int32()), pa.array(place, pa.int32()))
+                doc = doc[lead]
+                spread = mix64(ids[doc].view(np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(spread), pa.nulls(len(doc), pa.int32()), pa.array(ids[doc]), pa.array(prints[doc]), pa.nulls(len(doc), pa.int32()), lists], _WINDOW_NAMES)
 
     return run
 
@@ -184,6 +203,8 @@ def _cut(window: int, separators: bool, keep: list[str]):
                 for d, (lo, hi) in enumerate(words):
                     gone = np.zeros(hi - lo + 1, dtype=np.int32)
                     places = np.unique(flat[ends[at + d] : ends[at + d + 1]])
+                    if len(places) and places[0] == _COPY:
+                        places = np.arange(max(0, hi - lo - window + 1))
                     gone[places] += 1
                     gone[places + window] -= 1
                     gone = np.cumsum(gone)[:-1] > 0
@@ -213,19 +234,25 @@ def remove_repeats(docs: DataFrame, window: int = 20, separators: bool = True, k
     docs needs doc_id and text; keep names other columns to return. Returns doc_id, kept_text, n_words, n_removed and those: a row for each
     row. With separators, kept words keep the white space that follows them; else one space joins them. Null and empty texts have no word, and
     come back empty. Rows of the same doc_id and text are one document, and get the same result; rows of the same doc_id with other texts
-    come in order of a text hash. A missing doc_id counts as the smallest. Windows are judged on the input, not on what is left.
+    come in order of a 16-bit text hash. A missing doc_id counts as the smallest. Windows are judged on the input, not on what is left.
     """
     keep = keep or []
     own = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"), *(F.col(c).alias(f"keep{i}") for i, c in enumerate(keep))
-    ).withColumn("print", F.xxhash64("text"))
-    texts = own.select("id", "print", "text")
-    found = texts.mapInArrow(_anchor_rows(window), "id long, print long, name long, twice boolean")
-    names = found.groupBy("name").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("n > 1 or twice").select("name")
-    names = found.join(names, "name", "left_semi").groupBy("id", "print").agg(F.collect_set("name").alias("names"))
-    windows = texts.join(names, ["id", "print"], "left").mapInArrow(_window_rows(window), "h1 long, h2 long, id long, print long, place int, again boolean")
+    ).withColumn("print", F.xxhash64("text").bitwiseAND(F.lit(0xFFFF)).cast("int"))
+    texts = own.select("id", "text", "print")  # with no other column both joins below share one exchange of the texts
+    prints = texts.select("id", "print", F.md5("text").alias("md5"))
+    firsts = prints.groupBy("md5").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("md5", "first")
+    copies = prints.join(firsts, "md5").where("id > first").select("id", "print", F.lit(None).cast("long").alias("name"), F.lit(True).alias("copy"))
+    found = texts.withColumn("whole", F.xxhash64("text")).mapInArrow(_anchor_rows(window), "id long, print int, whole long, name long, twice boolean")
+    # a name repeats if it stands in two different texts, or twice in one: whole copies are known already
+    names = found.groupBy("name").agg(F.min("whole").alias("low"), F.max("whole").alias("high"), F.max("twice").alias("twice")).where("low <> high or twice").select("name")
+    names = found.select("id", "print", "name").join(names, "name", "left_semi").select("id", "print", "name", F.lit(False).alias("copy")).union(copies)
+    names = names.groupBy("id", "print").agg(F.collect_set("name").alias("names"), F.max("copy").alias("copy"))
+    windows = texts.join(names, ["id", "print"], "left").mapInArrow(_window_rows(window), _WINDOWS)
     rank = F.rank().over(W.partitionBy("h1", "h2").orderBy("id", "print", "place"))
-    repeats = windows.withColumn("rank", rank).where("again or rank > 1").groupBy("id", "print").agg(F.collect_list("place").alias("repeats"))
+    later = windows.withColumn("rank", rank).where("places is not null or rank > 1").select("id", "print", "places", "place")
+    repeats = later.groupBy("id", "print").agg(F.concat(F.collect_list("place"), F.flatten(F.collect_list("places"))).alias("repeats"))
     whole = own.join(repeats, ["id", "print"], "left")
     kept = [f"keep{i}" for i in range(len(keep))]
     types = "".join(f", {c} {own.schema[c].dataType.simpleString()}" for c in kept)
