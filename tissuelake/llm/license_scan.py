@@ -79,7 +79,7 @@ def _best(line: Column, idf: dict[str, float], weights: dict[str, dict[str, floa
         squares = F.transform(F.array_distinct(terms), lambda t: F.pow(F.size(F.filter(terms, lambda x: x == t)) * F.coalesce(F.try_element_at(_table(idf), t), F.lit(unseen)), 2))
         norm = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda a, x: a + x))
         dots = [_dot(terms, _table({t: w * idf[t] for t, w in vector.items()})) for vector in weights.values()]
-        return F.array_max(F.array(*(F.struct((d / norm).alias("score"), F.lit(name).alias("license")) for name, d in zip(weights, dots, strict=True))))
+        return F.array_max(F.array(*(F.struct(F.try_divide(d, norm).alias("score"), F.lit(name).alias("license")) for name, d in zip(weights, dots, strict=True))))
 
     return bind(_terms_of(line), of_terms)
 
@@ -105,7 +105,7 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, least: float
     split = files.select("path", F.size(lines).alias("n_lines"), F.filter(lines, lambda x: x.rlike(needed)).alias("lines"))
     scored = split.withColumn("line", F.explode_outer("lines")).withColumn("best", _best(F.col("line"), idf, weights, math.log(1 + n) + 1))
     good = F.col("best.score") >= least
-    share = F.count_if(good) / F.max("n_lines")
+    share = F.try_divide(F.count_if(good), F.max("n_lines"))
     own = scored.groupBy("path").agg(F.max(F.when(good, F.col("best"))).alias("best"), F.coalesce(share, F.lit(0.0)).alias("share"))
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     own = materialise(own.select("path", "best.license", "best.score", folder.alias("folder"), (F.col("path").rlike(LICENSE_NAMES) | (F.col("share") >= LICENSE_SHARE)).alias("speaks")))
