@@ -89,14 +89,14 @@ def next_descending(ids: DataFrame) -> DataFrame:
     if low is None:
         return ids.select("id", F.col("id").alias("next_id"))
     levels = 1
-    while low >> (10 * levels) != high >> (10 * levels):
+    while levels < 7 and low >> (10 * levels) != high >> (10 * levels):  # with ids of both signs the highest level keeps 16 groups at most
         levels += 1
     tables = [ids.select("id", F.col("id").alias("top"))]
     for level in range(1, levels):
         tables.append(tables[-1].groupBy(F.shiftright("id", 10).alias("id")).agg(F.max("top").alias("top")))
     above = None
     for table in reversed(tables):
-        up = F.shiftright("id", 10)
+        up = F.lit(0).cast("long") if above is None else F.shiftright("id", 10)
         found = table.select("id", up.alias("up"), F.lag("top").over(W.partitionBy(up).orderBy("id")).alias("before"))
         if above is not None:
             found = found.join(above.select(F.col("id").alias("up"), F.col("before").alias("of_group")), "up", "left").select("id", F.coalesce("before", "of_group").alias("before"))
