@@ -9,13 +9,14 @@ language's false-positive rate, and the most hits win.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import byte_slices, mix64
 
 SLOTS, HASHES, KEEP, LEAST = 1 << 20, 3, 0.5, 3
 #: Expected number of labelled documents that a fit takes; all of them if there are fewer.
@@ -50,17 +51,25 @@ def _slots(hashes: np.ndarray) -> list[np.ndarray]:
     return [(mix64(hashes + np.uint64(j * 0x9E3779B97F4A7C15 % 2**64)) % np.uint64(SLOTS)).astype(np.int64) for j in range(HASHES)]
 
 
+def _texts(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """Slices of a column as (first row, texts), so that a task holds the words of one slice and not of a whole batch."""
+    for at, data, offsets in byte_slices(column):
+        raw = data.tobytes()
+        yield at, [raw[lo:hi] for lo, hi in pairwise(offsets.tolist())]
+
+
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch["text"].cast(pa.binary()).to_pylist()
-        langs = np.array(batch["lang"].to_pylist())
-        for lang in sorted(set(langs.tolist())):
-            words: dict[bytes, int] = {}
-            for i in np.flatnonzero(langs == lang).tolist():
-                for w in texts[i].split():
-                    words[w] = words.get(w, 0) + 1
+        langs = batch["lang"].to_pylist()
+        words: dict[str, dict[bytes, int]] = {lang: {} for lang in sorted(set(langs))}
+        for at, texts in _texts(batch["text"]):
+            for i, text in enumerate(texts, at):
+                seen = words[langs[i]]
+                for w in text.split():
+                    seen[w] = seen.get(w, 0) + 1
+        for lang, seen in words.items():
             runs, times = [], []
-            for w, c in words.items():
+            for w, c in seen.items():
                 for r in _letters(w):
                     runs.append(r)
                     times.append(c)
@@ -145,8 +154,9 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
         n_langs = len(f.languages)
         known: dict[bytes, int] = {}
         table = np.zeros((0, n_langs + 1))
-        for batch in batches:
-            texts = [(t or b"").split() for t in batch["text"].cast(pa.binary()).to_pylist()]
+        slices = ((batch["doc_id"].slice(at, len(raw)), raw) for batch in batches for at, raw in _texts(batch["text"]))
+        for ids, raw in slices:
+            texts = [t.split() for t in raw]
             if len(known) > CACHE_WORDS:
                 known, table = {}, table[:0]
             fresh = list(dict.fromkeys(w for t in texts for w in t if w not in known))
@@ -164,6 +174,6 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
                 best = int(np.argmax(hits))
                 langs.append(f.languages[best])
                 scores.append(float(hits[best] / hits.sum()) if hits.sum() else 0.0)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
