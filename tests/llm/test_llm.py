@@ -209,3 +209,9 @@ def test_edited_text_by_brute_force(spark):
         k = len(r.text) // 3
         want[r.doc_id] = hashlib.sha256((r.text[: len(r.text) - k] + nxt.text[:k]).encode()).hexdigest()
     assert {r.doc_id: r.edited_sha256 for r in queries.op10_fingerprints(spark, SF).select("doc_id", "edited_sha256").collect()} == want
+
+
+def test_fit_on_empty_partitions():
+    from tissuelake.llm import quality_classifier
+
+    assert list(quality_classifier._train(iter([]))) == []

@@ -88,12 +88,13 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], passes: int = PASSES) -
     return weights(z, n)
 
 
-def _train(table: pa.Table) -> pa.Table:
-    """The bounded sample of one fit, in order of doc_id's hash."""
-    rows = [(np.array(p), np.array(v), y) for p, v, y in zip(*(table[c].to_pylist() for c in ("places", "values", "label")), strict=True)]
-    w = ftrl(rows)
-    at = np.flatnonzero(w)
-    return pa.table({"place": pa.array(at, pa.int32()), "weight": pa.array(w[at])})
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bounded sample of one fit, in order of doc_id's hash. A partition without rows has no model."""
+    rows = [(np.array(p), np.array(v), y) for batch in batches for p, v, y in zip(*(batch[c].to_pylist() for c in ("places", "values", "label")), strict=True)]
+    if rows:
+        w = ftrl(rows)
+        at = np.flatnonzero(w)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(w[at])], ["place", "weight"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> np.ndarray:
@@ -108,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> np.ndar
     sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     vectors = sample.mapInArrow(_vectors, "doc_id long, label int, places array<int>, values array<double>")
     ordered = vectors.repartition(1, F.lit(0)).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "places")
-    model = ordered.mapInArrow(lambda batches: iter(_train(pa.Table.from_batches(list(batches))).to_batches()), "place int, weight double").toArrow()
+    model = ordered.mapInArrow(_train, "place int, weight double").toArrow()
     weights = np.zeros(BUCKETS)
     weights[model["place"].to_numpy()] = model["weight"].to_numpy()
     return weights
