@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import shape, spatial, stages, stats, tracks, zonal
+from ..operators import lookups, shape, spatial, stages, stats, tracks, zonal
 from .fixtures import oracle, view
 
 _WT = "(PARTITION BY particle ORDER BY frame)"
@@ -200,6 +200,74 @@ SELECT CASE WHEN frame >= cut_at THEN new_id ELSE t.particle END AS particle, fr
         _on("pix", lambda p: spatial.junctions(p).select("frame", "y", "x", F.size("cells").cast("long").alias("n_cells"))),
         oracle("pix", "SELECT frame, y + dy AS y, x + dx AS x, count(DISTINCT label) AS n_cells FROM pix CROSS JOIN (SELECT unnest([0, 1]) AS dy) CROSS JOIN (SELECT unnest([0, 1]) AS dx) GROUP BY 1, 2, 3 HAVING count(*) = 4 AND count(DISTINCT label) >= 3"),
     ),
+    "a06_rescale": (
+        _on("pix", lambda p: _rounded(lookups.rescale(p, "ch0").select("frame", "y", "x", "ch0"), "ch0")),
+        oracle("pix", "SELECT frame, y, x, round(CASE WHEN hi > lo THEN (ch0 - lo) / (hi - lo) * 65535.0 ELSE 0.0 END, 6) AS ch0 FROM (SELECT *, min(ch0) OVER (PARTITION BY frame) AS lo, max(ch0) OVER (PARTITION BY frame) AS hi FROM pix) p"),
+    ),
+    "a07_ranges": (
+        _on("edit", lambda e: lookups.expand_ranges(e.withColumn("spec", F.concat_ws("", "particle", F.lit("-"), "frame", F.lit(", "), F.col("frame") + 100)), "spec").select("particle", "index")),
+        oracle("edit", "SELECT particle, unnest(CASE WHEN particle <= frame THEN range(particle, frame + 1) ELSE range(particle, frame - 1, -1) END) AS index FROM edit UNION ALL SELECT particle, frame + 100 FROM edit"),
+    ),
+    "b01_particle_of_cell": (
+        _on("trk", lambda t: lookups.unique_lookup(t, ["frame", "cell_number"], "particle").drop("stack_id")),
+        oracle("trk", "SELECT frame, cell_number, CASE WHEN count(DISTINCT particle) = 1 THEN min(particle) END AS particle, count(DISTINCT particle) AS n FROM trk GROUP BY frame, cell_number"),
+    ),
+    "b03_trajectories": (
+        _on("trk", lambda t: lookups.trajectories(t).select("particle", F.array_join(F.transform("points", lambda p: F.concat_ws(":", p["frame"], p["cell_number"])), ",").alias("path"))),
+        oracle("trk", "SELECT particle, string_agg(frame || ':' || cell_number, ',' ORDER BY frame) AS path FROM trk GROUP BY particle"),
+    ),
+    "b04_along_tracks": (
+        _on2("trk", "pixg", lambda t, p: lookups.along_tracks(t, zonal.areas(p), "area", -1.0).select("particle", "frame", "area")),
+        oracle("trk pixg", "SELECT particle, t.frame, coalesce(area, -1.0) AS area FROM trk t LEFT JOIN (SELECT frame, label - 1 AS cell_number, CAST(count(*) AS DOUBLE) AS area FROM pixg WHERE label <> 0 GROUP BY ALL) a USING (frame, cell_number)"),
+    ),
+    "b13_clear_frames": (
+        _on2("trk", "edit", lambda t, e: lookups.clear_frames(t, e.select("frame")).select("particle", "frame")),
+        oracle("trk edit", "SELECT particle, frame FROM trk WHERE frame NOT IN (SELECT frame FROM edit)"),
+    ),
+    "b22_highlights": (
+        _on("div", lambda t: _rounded(lookups.highlights(t, spatial.division_candidates(t, 20.0)).drop("stack_id"), "weight")),
+        oracle(
+            "div",
+            """, ends AS (SELECT particle, max(frame) AS f, arg_max(x, frame) AS x, arg_max(y, frame) AS y FROM div GROUP BY particle), begins AS (SELECT particle, min(frame) AS f, arg_min(x, frame) AS x, arg_min(y, frame) AS y FROM div GROUP BY particle),
+near AS (SELECT e.particle AS mother, b.particle AS daughter, b.f AS frame FROM ends e JOIN begins b ON b.f = e.f + 1 AND (e.x - b.x) * (e.x - b.x) + (e.y - b.y) * (e.y - b.y) <= 400),
+found AS (SELECT * FROM near QUALIFY count(*) OVER (PARTITION BY mother) >= 2),
+marks AS (SELECT mother AS particle, frame, -1 AS way FROM found UNION SELECT daughter, frame, 1 FROM found)
+SELECT m.particle, m.frame + way * d AS frame, way, round(1 - (d + 1) / 6.0::DOUBLE, 6) AS weight FROM marks m CROSS JOIN range(6) r(d) WHERE EXISTS (SELECT 1 FROM div t WHERE t.particle = m.particle AND t.frame = m.frame + way * d)""",
+        ),
+    ),
+    "b25_scaled_heights": (
+        _on("pix", lambda p: lookups.scaled_heights(p, 4.0, 1.5).select("frame", "y", "x", F.isnan("height").alias("missing"), F.nanvl("height", F.lit(-1.0)).alias("height"))),
+        oracle("pix", "SELECT frame, y, x, h < -2 AS missing, CASE WHEN h < -2 THEN -1.0 WHEN h < 0 THEN 0.0 ELSE h END AS height FROM (SELECT frame, y, x, (height - 4.0::DOUBLE) * 1.5 AS h FROM pix) p"),
+    ),
+    "b28_paint": (
+        _on("pixg", lambda p: lookups.paint(p, zonal.areas(p), "area").select("frame", "y", "x", "area")),
+        oracle("pixg", "SELECT frame, y, x, CASE WHEN label <> 0 THEN CAST(count(*) OVER (PARTITION BY frame, label) AS DOUBLE) END AS area FROM pixg"),
+    ),
+    "c10_link_candidates": (
+        _on("trk", lambda t: _rounded(lookups.link_candidates(t, 12.0).drop("stack_id"), "distance")),
+        oracle("trk", "SELECT frame, a, b, round(sqrt(d), 6) AS distance FROM (SELECT t.frame, t.cell_number AS a, u.cell_number AS b, (t.x - u.x) * (t.x - u.x) + (t.y - u.y) * (t.y - u.y) AS d FROM trk t JOIN trk u ON u.frame = t.frame + 1) p WHERE d <= 144"),
+    ),
+    "d16_nuclear_ratio": (
+        _on("pixg", lambda p: _rounded(lookups.nuclear_ratio(p, "ch1").drop("stack_id"), "ratio")),
+        oracle("pixg", "SELECT frame, label, round(median(ch1) / any_value(back), 6) AS ratio FROM pixg JOIN (SELECT frame, quantile_cont(ch1, 0.95) AS back FROM pixg WHERE label = 0 GROUP BY frame) b USING (frame) WHERE label <> 0 GROUP BY frame, label"),
+    ),
+    "d23_nori_density": (
+        _on2("vox", "pixg", lambda v, p: _rounded(lookups.nori_densities(v, p, 10.0, scale=0.5, z_scale=2.0).drop("stack_id"), "density", "deviation", "mass")),
+        oracle("vox pixg", "SELECT frame, label, round(avg(v), 6) AS density, round(stddev_pop(v), 6) AS deviation, round(sum(v) * 0.5, 6) AS mass FROM (SELECT p.frame, p.label, value / 8192.0 * 1.364256::DOUBLE AS v FROM vox JOIN pixg p USING (frame, y, x) WHERE value <> 10 AND p.label <> 0) t GROUP BY frame, label"),
+    ),
+    "d35_counts": (_on("trk", lambda t: lookups.counts(t).drop("stack_id")), oracle("trk", "SELECT count(DISTINCT particle) AS n_particles, count(*) AS n_cells FROM trk")),
+    "e18_steepest_descent": (
+        _on("vox", lambda v: lookups.steepest_descent(v).drop("stack_id")),
+        oracle(
+            "vox",
+            """SELECT frame, y, x, min(z) AS surface FROM (SELECT *, min(g) OVER (PARTITION BY frame, y, x) AS least FROM (
+SELECT frame, y, x, z, coalesce((lead(value) OVER w - lag(value) OVER w) / 2, lead(value) OVER w - value, value - lag(value) OVER w) AS g FROM vox WINDOW w AS (PARTITION BY frame, y, x ORDER BY z)) a) b WHERE g = least GROUP BY frame, y, x""",
+        ),
+    ),
+    "e21_lifetimes": (
+        _on("div", lambda t: lookups.lifetimes(t).drop("stack_id")),
+        oracle("div", "SELECT particle, birth, death, n, birth <> 0 AS born, count(*) OVER (PARTITION BY birth) > 1 AS together FROM (SELECT particle, min(frame) AS birth, max(frame) AS death, count(*) AS n FROM div GROUP BY particle) t"),
+    ),
 }
 
 
