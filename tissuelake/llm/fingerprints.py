@@ -116,12 +116,13 @@ def with_edited(docs: DataFrame, k: int = K, shingle_words: int = SHINGLE_WORDS)
     thirds = materialise(thirds)
     order = materialise(next_descending(thirds.select("id")))
     wanted = order.join(thirds, "id").select(F.col("next_id").alias("id"), F.col("id").alias("for_id"), "third")
-    sketched = rows.select("id", "text", sketch(F.col("text"), k, shingle_words).alias("sketch"))
+    placed = rows.repartition("id")  # both uses below read this one exchange, so that texts are shuffled once
     lead = F.row_number().over(W.partitionBy("id").orderBy(F.xxhash64("text")))
-    heads = sketched.withColumn("lead", lead).where("lead = 1").join(wanted, "id")
-    heads = heads.select(F.col("for_id").alias("id"), F.substring("text", F.lit(1), F.col("third").cast("int")).alias("head"), F.col("sketch").alias("next_sketch"))
+    heads = placed.withColumn("lead", lead).where("lead = 1").join(wanted, "id")
+    head = F.substring("text", F.lit(1), F.col("third").cast("int"))
+    heads = heads.select(F.col("for_id").alias("id"), head.alias("head"), sketch(F.col("text"), k, shingle_words).alias("next_sketch"))
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("head", F.lit(1), cut))
-    joined = sketched.join(heads, "id").select("id", "text", edited.alias("edited"), n.cast("long").alias("n_chars"), "sketch", "next_sketch")
+    joined = placed.join(heads, "id").select("id", "text", edited.alias("edited"), n.cast("long").alias("n_chars"), sketch(F.col("text"), k, shingle_words).alias("sketch"), "next_sketch")
     return joined.select(F.when(F.col("id") != _NO_ID, F.col("id")).alias("doc_id"), "text", "edited", "n_chars", "sketch", sketch(F.col("edited"), k, shingle_words).alias("edited_sketch"), "next_sketch")
