@@ -30,6 +30,25 @@ def junctions(pixels: DataFrame) -> DataFrame:
     return met.where("n = 4 and size(cells) >= 3").select(*FRAME, "y", "x", "cells")
 
 
+_SIDES = [(0, 1), (1, 0), (0, -1), (-1, 0)]
+
+
+def outline(pixels: DataFrame) -> DataFrame:
+    """Pixels of cells with a side at another cell, the background or the image's edge."""
+    own = cells(pixels).select(*FRAME, "y", "x", "label")
+    same = own.join(_moved(own, _SIDES), [*FRAME, "y", "x", "label"], "inner").groupBy(*FRAME, "y", "x", "label").count().where("count = 4")
+    return own.join(same, [*FRAME, "y", "x", "label"], "left_anti")
+
+
+def good_cells(pixels: DataFrame, least: int = 3) -> DataFrame:
+    """Cells of which no pixel has a side at the background or the image's edge, with `least` junctions or more."""
+    own = cells(pixels).select(*FRAME, "y", "x", "label")
+    beside = _moved(own, _SIDES).drop("label")
+    open_ = own.join(beside.groupBy(*FRAME, "y", "x").count().where("count = 4"), [*FRAME, "y", "x"], "left_anti").select(*FRAME, "label").distinct()
+    met = junctions(pixels).select(*FRAME, F.explode("cells").alias("label")).groupBy(*FRAME, "label").agg(F.count("*").alias("n_junctions")).where(F.col("n_junctions") >= least)
+    return met.join(open_, [*FRAME, "label"], "left_anti")
+
+
 def grid_join(left: DataFrame, right: DataFrame, keys: list[str], radius: Column | float) -> DataFrame:
     """Pairs within a radius on equal keys. Each left point meets the right points of its own and the eight cells around, of the radius's size.
 

@@ -36,11 +36,48 @@ def smooth(tracks: DataFrame) -> DataFrame:
     return tracks.withColumn(STAGE, -F.array_max(votes)["s"])
 
 
+def _numbered(tracks: DataFrame) -> DataFrame:
+    step = F.when(F.col(STAGE) != F.lag(STAGE).over(by_frame()), 1).otherwise(0)
+    return tracks.withColumn("_step", step).withColumn("run", F.sum("_step").over(by_frame().rowsBetween(W.unboundedPreceding, 0))).drop("_step")
+
+
 def runs(tracks: DataFrame) -> DataFrame:
     """Runs of one stage: run number, stage, length and first frame."""
-    step = F.when(F.col(STAGE) != F.lag(STAGE).over(by_frame()), 1).otherwise(0)
-    numbered = tracks.withColumn("_step", step).withColumn("run", F.sum("_step").over(by_frame().rowsBetween(W.unboundedPreceding, 0)))
-    return numbered.groupBy(*TRACK, "run").agg(F.first(STAGE).alias(STAGE), F.count("*").alias("length"), F.min("frame").alias("first_frame"))
+    return _numbered(tracks).groupBy(*TRACK, "run").agg(F.first(STAGE).alias(STAGE), F.count("*").alias("length"), F.min("frame").alias("first_frame"))
+
+
+def _with_fixes(tracks: DataFrame, fixes: DataFrame) -> DataFrame:
+    """Rows with the stage that fixes(track, run, fixed) gives to their run."""
+    return _numbered(tracks).join(fixes, [*TRACK, "run"], "left").withColumn(STAGE, F.coalesce("fixed", STAGE)).drop("fixed", "run")
+
+
+def mother_g2(tracks: DataFrame, limit: int = 6) -> DataFrame:
+    """A last run of stage 2, of `limit` points at most and after stage 3, becomes stage 3."""
+    order = W.partitionBy(*TRACK).orderBy("run")
+    found = runs(tracks).withColumns({"before": F.lag(STAGE).over(order), "after": F.lead(STAGE).over(order)})
+    found = found.where((F.col(STAGE) == 2) & (F.col("before") == 3) & F.col("after").isNull() & (F.col("length") <= limit))
+    return _with_fixes(tracks, found.select(*TRACK, "run", F.lit(3).alias("fixed")))
+
+
+def daughter_g1(tracks: DataFrame, least: int = 4) -> DataFrame:
+    """A start in stages 2 or 3, of `least` points or more and before stage 1, becomes stage 1."""
+    merged = tracks.withColumn(STAGE, F.when(F.col(STAGE) == 2, 3).otherwise(F.col(STAGE)))
+    found = runs(merged).withColumn("after", F.lead(STAGE).over(W.partitionBy(*TRACK).orderBy("run")))
+    found = found.where((F.col("run") == 0) & (F.col(STAGE) == 3) & (F.col("after") == 1) & (F.col("length") >= least))
+    starts = found.select(*TRACK, F.col("length").alias("_n"))
+    place = F.row_number().over(by_frame())
+    return tracks.withColumn("_place", place).join(starts, TRACK, "left").withColumn(STAGE, F.when(F.col("_place") <= F.col("_n"), 1).otherwise(F.col(STAGE))).drop("_place", "_n")
+
+
+def remove_sandwiched(tracks: DataFrame, stages: tuple[int, int, int]) -> DataFrame:
+    """One pass: of three runs of the given stages, an inner one shorter than the outer two together takes the last one's stage."""
+    order = W.partitionBy(*TRACK).orderBy("run")
+    found = runs(tracks)
+    found = found.withColumns({f"{n}_{c}": f(c).over(order) for n, f in (("before", F.lag), ("after", F.lead)) for c in (STAGE, "length")})
+    a, b, c = stages
+    inner = (F.col(f"before_{STAGE}") == a) & (F.col(STAGE) == b) & (F.col(f"after_{STAGE}") == c)
+    found = found.where(inner & (F.col("before_length") + F.col("after_length") > F.col("length")))
+    return _with_fixes(tracks, found.select(*TRACK, "run", F.lit(c).alias("fixed")))
 
 
 def subsequence(tracks: DataFrame, stages: list[int]) -> DataFrame:

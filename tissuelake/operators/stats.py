@@ -27,6 +27,26 @@ def histogram(rows: DataFrame, value: str) -> DataFrame:
     return counts.select("bin", "count", (F.col("low") + F.col("bin") * F.col("width")).alias("start"), (F.col("count") / (F.col("n") * F.col("width"))).alias("density"))
 
 
+def weighted_histogram(rows: DataFrame, groups: list[str], value: str, bins: int, low: float, high: float) -> DataFrame:
+    """Share of a group's values in each bin of a fixed range, the last bin closed, and whether the median is there. Values outside count in the total."""
+    width = (high - low) / bins
+    place = lambda v: F.when(v == high, bins - 1).otherwise(F.floor((v - low) / width)).cast("long")
+    v = F.col(value)
+    whole = rows.groupBy(*groups).agg(F.count(v).alias("n"), F.percentile(v, F.lit(0.5)).alias("median"))
+    counts = rows.where((v >= low) & (v <= high)).groupBy(*groups, place(v).alias("bin")).agg(F.count("*").alias("count"))
+    return counts.join(whole, groups).select(*groups, "bin", (F.col("count") / F.col("n")).alias("share"), (place(F.col("median")) == F.col("bin")).alias("has_median"))
+
+
+def kernel_density(rows: DataFrame, groups: list[str], value: str, bins: int, low: float, high: float) -> DataFrame:
+    """Gaussian density of each group's values at `bins` points of a fixed range, bandwidth std * n ** (-1/5). Equal values are counted first."""
+    v = rows.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*groups, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    whole = rows.groupBy(*groups).agg(F.count(value).alias("n"), F.stddev_samp(value).alias("s")).select(*groups, "n", (F.col("s") * F.pow("n", F.lit(-0.2))).alias("h"))
+    point = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.struct(i.alias("i"), (low + i * ((high - low) / (bins - 1))).alias("at")))).alias("p")
+    z = (F.col("p.at") - F.col("v")) / F.col("h")
+    spread = v.join(whole, groups).select("*", point).groupBy(*groups, F.col("p.i").alias("i"), F.col("p.at").alias("at"))
+    return spread.agg((F.sum(F.col("c") * F.exp(-z * z / 2)) / F.first("n") / F.first("h") / F.sqrt(2 * F.pi())).alias("density"))
+
+
 def tiles(stage: DataFrame, spacing: float) -> DataFrame:
     """Every four stage positions in order bound a colony: its box, mean z, and tiles of the given spacing in each direction."""
     box = stage.groupBy(F.floor(F.col("place") / 4).cast("long").alias("colony")).agg(

@@ -69,6 +69,35 @@ def z_profile(voxels: DataFrame) -> DataFrame:
     return voxels.groupBy("stack_id", "z").agg(F.avg("value").alias("mean"))
 
 
+def peak_heights(voxels: DataFrame, prominence: float) -> DataFrame:
+    """Last inner z of each column at which the value is above both neighbours, by `prominence` above the lower one; 0 without."""
+    column = W.partitionBy(*FRAME, "y", "x").orderBy("z")
+    before, after, v = F.col("_b"), F.col("_a"), F.col("value")
+    near = voxels.withColumns({"_b": F.lag("value").over(column), "_a": F.lead("value").over(column)})
+    peak = (v > before) & (v > after) & (v - F.least(before, after) >= prominence)
+    return near.groupBy(*FRAME, "y", "x").agg(F.coalesce(F.max(F.when(peak, F.col("z"))), F.lit(0)).alias("height"))
+
+
+def filled(heights: DataFrame) -> DataFrame:
+    """A row for each voxel below the height of its pixel."""
+    z = F.when(F.col("height") > 0, F.sequence(F.lit(0), (F.col("height") - 1).cast("int")))
+    return heights.select(*FRAME, "y", "x", F.explode(z).alias("z"))
+
+
+def pool(pixels: DataFrame, channel: str, size: int) -> DataFrame:
+    """Mean of a channel over blocks of size x size pixels."""
+    block = lambda c: F.floor(F.col(c) / size).cast("int").alias(c)
+    return pixels.groupBy(*FRAME, block("y"), block("x")).agg(F.avg(channel).alias("mean"))
+
+
+def combine_nuclear(pixels: DataFrame, red: str, green: str) -> DataFrame:
+    """Red plus half of green, each brought to 0..1 in its frame."""
+    q = lambda c: F.percentile(c, F.array(F.lit(0.01), F.lit(0.99))).alias(f"_{c}")
+    bounds = pixels.groupBy(*FRAME).agg(q(red), q(green))
+    unit = lambda c: F.when(F.col(f"_{c}")[1] > F.col(f"_{c}")[0], F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(c) - F.col(f"_{c}")[0]) / (F.col(f"_{c}")[1] - F.col(f"_{c}")[0])))).otherwise(0.0)
+    return pixels.join(bounds, FRAME).select(*FRAME, "y", "x", (unit(red) + unit(green) / 2).alias("value"))
+
+
 def top_surface(voxels: DataFrame, empty: float) -> DataFrame:
     """First z of a column that holds the empty value; 0 if none does."""
     first = F.coalesce(F.min(F.when(F.col("value") == empty, F.col("z"))), F.lit(0))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import lookups, shape, spatial, stages, stats, tracks, zonal
+from ..operators import divisions, lookups, shape, spatial, stages, stats, tracks, zonal
 from .fixtures import oracle, view
 
 _WT = "(PARTITION BY particle ORDER BY frame)"
@@ -21,6 +21,10 @@ SELECT frame, frame - lag(frame) OVER {_WT} AS dt, x - lag(x) OVER {_WT} AS ex,
 _QUART = ", ".join(f"quantile_cont({{0}}, 0.{p}) AS q{p}" for p in (25, 50, 75))
 _TILE = "CAST(greatest(0, ceil((max({0}) - min({0})) / 400.0) - 1) AS BIGINT)"
 
+_CANDIDATES = """, ends AS (SELECT particle, max(frame) AS f, arg_max(x, frame) AS x, arg_max(y, frame) AS y FROM div GROUP BY particle), begins AS (SELECT particle, min(frame) AS f, arg_min(x, frame) AS x, arg_min(y, frame) AS y FROM div GROUP BY particle),
+found AS (SELECT e.particle AS mother, b.particle AS daughter, b.f AS frame FROM ends e JOIN begins b ON b.f = e.f + 1 WHERE sqrt((e.x - b.x) * (e.x - b.x) + (e.y - b.y) * (e.y - b.y)) <= 20)"""
+_PAIRS = ", pairs AS (SELECT a.mother, a.daughter AS daughter1, b.daughter AS daughter2, a.frame FROM found a JOIN found b ON a.mother = b.mother AND a.daughter < b.daughter)"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -268,6 +272,105 @@ SELECT frame, y, x, z, coalesce((lead(value) OVER w - lag(value) OVER w) / 2, le
         _on("div", lambda t: lookups.lifetimes(t).drop("stack_id")),
         oracle("div", "SELECT particle, birth, death, n, birth <> 0 AS born, count(*) OVER (PARTITION BY birth) > 1 AS together FROM (SELECT particle, min(frame) AS birth, max(frame) AS death, count(*) AS n FROM div GROUP BY particle) t"),
     ),
+    "b11_every_third_frame": (
+        _on("trk", lambda t: tracks.substack(t, t.where("frame % 3 = 0").select("frame", (F.col("frame") / 3).cast("int").alias("place")).distinct()).select("particle", "frame", "x")),
+        oracle("trk", "SELECT particle, frame // 3 AS frame, x FROM trk WHERE frame % 3 = 0"),
+    ),
+    "b27_combine_nuclear": (
+        _on("pix", lambda p: _rounded(zonal.combine_nuclear(p, "ch1", "ch0").drop("stack_id"), "value")),
+        oracle(
+            "pix",
+            """SELECT frame, y, x, round(CASE WHEN r1 > r0 THEN least(1.0, greatest(0.0, (ch1 - r0) / (r1 - r0))) ELSE 0 END + CASE WHEN g1 > g0 THEN least(1.0, greatest(0.0, (ch0 - g0) / (g1 - g0))) ELSE 0 END / 2, 6) AS value
+FROM pix JOIN (SELECT frame, quantile_cont(ch1, 0.01) AS r0, quantile_cont(ch1, 0.99) AS r1, quantile_cont(ch0, 0.01) AS g0, quantile_cont(ch0, 0.99) AS g1 FROM pix GROUP BY frame) q USING (frame)""",
+        ),
+    ),
+    "c05_daughter_pairs": (
+        _on("div", lambda t: divisions.daughter_pairs(spatial.division_candidates(t, 20.0)).drop("stack_id")),
+        oracle("div", f"{_CANDIDATES} {_PAIRS} SELECT mother, daughter1, daughter2, frame FROM pairs"),
+    ),
+    "c07_conflicts": (
+        _on("div", lambda t: divisions.conflicts(divisions.daughter_pairs(spatial.division_candidates(t, 20.0))).drop("stack_id")),
+        oracle(
+            "div",
+            f"""{_CANDIDATES} {_PAIRS} SELECT a.mother, a.daughter1, a.daughter2, b.mother AS other_mother, b.daughter1 AS other_daughter1, b.daughter2 AS other_daughter2
+FROM pairs a JOIN pairs b ON (a.mother, a.daughter1, a.daughter2) < (b.mother, b.daughter1, b.daughter2)
+AND (a.mother = b.mother OR a.daughter1 IN (b.daughter1, b.daughter2) OR a.daughter2 IN (b.daughter1, b.daughter2))""",
+        ),
+    ),
+    "d28_weighted_histogram": (
+        _on("li", lambda r: _rounded(stats.weighted_histogram(r, ["cond"], "volume", 30, 0.0, 60000.0), "share")),
+        oracle(
+            "li",
+            """, b AS (SELECT cond, CAST(CASE WHEN volume = 60000 THEN 29 ELSE floor(volume / 2000) END AS BIGINT) AS bin, count(*) AS c FROM li WHERE volume BETWEEN 0 AND 60000 GROUP BY 1, 2),
+m AS (SELECT cond, count(volume) AS n, quantile_cont(volume, 0.5) AS med FROM li GROUP BY cond) SELECT cond, bin, round(c / n, 6) AS share, floor(med / 2000) = bin AS has_median FROM b JOIN m USING (cond)""",
+        ),
+    ),
+    "d29_kernel_density": (
+        _on("li", lambda r: stats.kernel_density(r, ["cond"], "volume", 30, 0.0, 58000.0).select("cond", "i", F.round(F.col("density") * 1e4, 6).alias("density"))),
+        oracle(
+            "li",
+            """, m AS (SELECT cond, count(*) AS n, stddev_samp(volume) * pow(count(*), -0.2) AS h FROM li GROUP BY cond)
+SELECT cond, i, round(1e4 * sum(exp(-pow((i * 2000.0::DOUBLE - volume) / h, 2) / 2)) / any_value(n) / any_value(h) / sqrt(2 * pi()), 6) AS density FROM li JOIN m USING (cond) CROSS JOIN (SELECT CAST(range AS INT) AS i FROM range(30)) g GROUP BY cond, i""",
+        ),
+    ),
+    "e11_mother_g2": (
+        _on("trk", lambda t: stages.mother_g2(t).select("particle", "frame", "cycle_stage")),
+        oracle(
+            "trk",
+            f"""SELECT t.particle, t.frame, CASE WHEN t.frame >= f.first_frame THEN 3 ELSE t.cycle_stage END AS cycle_stage FROM trk t LEFT JOIN (
+SELECT particle, first_frame FROM (SELECT *, lag(cycle_stage) OVER (PARTITION BY particle ORDER BY run) AS before, lead(run) OVER (PARTITION BY particle ORDER BY run) AS nxt FROM ({_RUNS}) r) s
+WHERE nxt IS NULL AND before = 3 AND cycle_stage = 2 AND length <= 6) f USING (particle)""",
+        ),
+    ),
+    "e12_daughter_g1": (
+        _on("trk", lambda t: stages.daughter_g1(t, 2).select("particle", "frame", "cycle_stage")),
+        oracle(
+            "trk",
+            """, p AS (SELECT *, row_number() OVER (PARTITION BY particle ORDER BY frame) AS place FROM trk),
+s AS (SELECT particle, min(place) AS stop, arg_min(cycle_stage, place) AS stage FROM p WHERE cycle_stage NOT IN (2, 3) GROUP BY particle)
+SELECT particle, frame, CASE WHEN stage = 1 AND stop > 2 AND place < stop THEN 1 ELSE cycle_stage END AS cycle_stage FROM p LEFT JOIN s USING (particle)""",
+        ),
+    ),
+    "e14_remove_sandwiched": (
+        _on("trk", lambda t: stages.remove_sandwiched(t, (1, 3, 1)).select("particle", "frame", "cycle_stage")),
+        oracle(
+            "trk",
+            f"""SELECT t.particle, t.frame, CASE WHEN f.particle IS NOT NULL THEN 1 ELSE t.cycle_stage END AS cycle_stage FROM trk t LEFT JOIN (SELECT particle, first_frame, stop FROM (
+SELECT *, lag(cycle_stage) OVER w AS a, lead(cycle_stage) OVER w AS c, lag(length) OVER w + lead(length) OVER w AS outside, lead(first_frame) OVER w AS stop FROM ({_RUNS}) r WINDOW w AS (PARTITION BY particle ORDER BY run)) s
+WHERE a = 1 AND cycle_stage = 3 AND c = 1 AND outside > length) f ON f.particle = t.particle AND t.frame >= f.first_frame AND t.frame < f.stop""",
+        ),
+    ),
+    "e19_peak_heights": (
+        _on("vox", lambda v: zonal.peak_heights(v.withColumn("value", (F.col("z") * 7 + F.col("y") * 3 + F.col("x") * 5) % 11 + F.lit(0.0)), 4.0).drop("stack_id")),
+        oracle(
+            "vox",
+            """, v AS (SELECT frame, y, x, z, CAST((z * 7 + y * 3 + x * 5) % 11 AS DOUBLE) AS value FROM vox), n AS (SELECT *, lag(value) OVER w AS b, lead(value) OVER w AS a FROM v WINDOW w AS (PARTITION BY frame, y, x ORDER BY z))
+SELECT frame, y, x, coalesce(max(CASE WHEN value > a AND value > b AND value - least(a, b) >= 4 THEN z END), 0) AS height FROM n GROUP BY frame, y, x""",
+        ),
+    ),
+    "h17_good_cells": (
+        _on("pixg", lambda p: spatial.good_cells(p).drop("stack_id")),
+        oracle(
+            "pixg",
+            """, own AS (SELECT frame, y, x, label FROM pixg WHERE label <> 0), s(dy, dx) AS (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)),
+full_ AS (SELECT o.frame, o.y, o.x FROM own o CROSS JOIN s JOIN own q ON q.frame = o.frame AND q.y = o.y + dy AND q.x = o.x + dx GROUP BY 1, 2, 3 HAVING count(*) = 4),
+bad AS (SELECT DISTINCT frame, label FROM own ANTI JOIN full_ USING (frame, y, x)),
+corners AS (SELECT frame, y + dy AS y, x + dx AS x, label FROM own CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) c(dy, dx)),
+met AS (SELECT frame, y, x FROM corners GROUP BY 1, 2, 3 HAVING count(*) = 4 AND count(DISTINCT label) >= 3)
+SELECT frame, label, n_junctions FROM (SELECT frame, label, count(*) AS n_junctions FROM (SELECT DISTINCT frame, y, x, label FROM corners JOIN met USING (frame, y, x)) d GROUP BY 1, 2 HAVING count(*) >= 3) g ANTI JOIN bad USING (frame, label)""",
+        ),
+    ),
+    "i01_outline": (
+        _on("pixg", lambda p: spatial.outline(p).drop("stack_id")),
+        oracle(
+            "pixg",
+            """, s(dy, dx) AS (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)),
+inside AS (SELECT p.frame, p.y, p.x FROM pixg p CROSS JOIN s JOIN pixg q ON q.frame = p.frame AND q.y = p.y + dy AND q.x = p.x + dx AND q.label = p.label GROUP BY 1, 2, 3 HAVING count(*) = 4)
+SELECT frame, y, x, label FROM pixg ANTI JOIN inside USING (frame, y, x) WHERE label <> 0""",
+        ),
+    ),
+    "i05_pool": (_on("pix", lambda p: _rounded(zonal.pool(p, "ch0", 5).drop("stack_id"), "mean")), oracle("pix", "SELECT frame, y // 5 AS y, x // 5 AS x, round(avg(ch0), 6) AS mean FROM pix GROUP BY 1, 2, 3")),
+    "i09_filled": (_on("pix", lambda p: zonal.filled(p).drop("stack_id")), oracle("vox", "SELECT frame, y, x, z FROM pix JOIN zs ON z < height")),
 }
 
 
