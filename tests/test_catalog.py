@@ -38,3 +38,11 @@ def test_four_quarter_turns_are_none(spark):
     for _ in range(4):
         turned, h, w = rotate(turned, h, w, 1), w, h
     assert sorted(turned.select("y", "x", "label").collect()) == sorted(pixels.select("y", "x", "label").collect())
+
+
+def test_start_before_g1_is_g1(spark):
+    from tissuelake.operators.stages import daughter_g1
+
+    rows = [(0, p, f, s) for p, track in enumerate(([2, 3, 3, 2, 1, 1], [3, 3, 3, 1], [3, 3, 3, 3, 0, 1])) for f, s in enumerate(track)]
+    fixed = daughter_g1(spark.createDataFrame(rows, "stack_id int, particle int, frame int, cycle_stage int")).orderBy("particle", "frame").collect()
+    assert [r.cycle_stage for r in fixed] == [1, 1, 1, 1, 1, 1, 3, 3, 3, 1, 3, 3, 3, 3, 0, 1]
