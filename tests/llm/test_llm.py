@@ -215,3 +215,27 @@ def test_fit_on_empty_partitions():
     from tissuelake.llm import quality_classifier
 
     assert list(quality_classifier._train(iter([]))) == []
+
+
+def test_hub_with_many_copies(spark):
+    """op4_near_dedup: copies that link to the hub but not to each other all get its group, as by brute force."""
+    draw = random.Random(11)
+    hub = [f"h{i}" for i in range(200)]
+    texts = [hub]
+    for c in range(1000):
+        copy = list(hub)
+        for k, at in enumerate(sorted(draw.sample(range(1, 199), 9))):
+            copy[at] = f"c{c}x{k}"
+        texts.append(copy)
+    draw.shuffle(texts)
+    sets = [{tuple(t[i : i + 2]) for i in range(len(t) - 1)} for t in texts]
+    group = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if group[i] != group[j] and 100 * common >= 80 * (len(sets[i]) + len(sets[j]) - common):
+                x, y = sorted((group[i], group[j]))
+                group = [x if g == y else g for g in group]
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table, shingle_words=2, percent=80).collect()}
+    assert got == dict(enumerate(group)) and len(set(group)) < 100

@@ -11,6 +11,11 @@ standard deviations below what resemblance 0.8 gives) before they are confirmed
 shingle are one node throughout. Confirmation runs in two steps: first the direct neighbours of two orders, which joins up most
 groups; then every candidate whose ends are still in different groups. A dense group of n sets so costs about 2n comparisons
 and not n squared, and no candidate that could join two groups is left out.
+
+Where more than WINDOW + 1 sets share MIN_DEPTH values of an order, neighbours alone may miss links. Such a crowd is closed exactly: all
+pairs in it whose ends are still in different groups are compared, in cells of two blocks of about BLOCK sets (so no task holds a
+crowd), each pair in the first order that it shares. A cell gives only the links that join its groups, so a crowd gives no
+squares of rows. Only crowds whose sets stay apart cost the square of their size in comparisons.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from .graph import components
 
 TREES, DEPTH = 24, 8
 MIN_DEPTH, WINDOW, MIN_AGREE = 3, 8, 148
-FIRST_TREES = 2
+FIRST_TREES, BLOCK = 2, 128
 _VALUES = TREES * DEPTH
 _RNG = np.random.default_rng(0xF0357)
 _FLIP = _RNG.integers(0, 2**32, _VALUES, dtype=np.uint32)
@@ -198,6 +203,90 @@ def _confirm(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     return sized.where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b")
 
 
+def _closed(percent: int):
+    least = max(0, int(_VALUES * percent / 100 - 6 * (_VALUES * percent * (100 - percent)) ** 0.5 / 100))  # equal values, six standard deviations below what the resemblance gives
+
+    def run(cell: pa.Table) -> pa.Table:
+        """The links that join groups of a cell: pairs of its two blocks (or within its one), those with most equal values first."""
+        tree, n = cell["tree"][0].as_py(), len(cell)
+        sig = np.frombuffer(b"".join(cell["sig"].to_pylist()), dtype=np.uint16).reshape(n, _VALUES)
+        column = cell["shingles"].combine_chunks()
+        offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+        sets = [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        size, rep, right = np.diff(offsets), cell["rep"].to_numpy(), cell["right"].to_numpy(zero_copy_only=False)
+        two = right.any()
+        _, group = np.unique(cell["group_id"].to_numpy(), return_inverse=True)
+        root = group.tolist()
+        prefix = np.zeros((n, tree + 1), dtype=np.uint64)
+        for j in range(MIN_DEPTH):
+            prefix = (prefix << np.uint64(16)) | sig[:, j : DEPTH * (tree + 1) : DEPTH][:, : tree + 1]
+        found = [], [], []
+        for i in range(n):
+            j = np.flatnonzero(right) if two else np.arange(i + 1, n)
+            if two and right[i]:
+                continue
+            j = j[(group[j] != group[i]) & (100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i]))]
+            j = j[~(prefix[j, :tree] == prefix[i, :tree]).any(axis=1)]
+            same = (sig[j] == sig[i]).sum(axis=1)
+            j, same = j[same >= least], same[same >= least]
+            for into, x in zip(found, (np.full(len(j), i), j, same), strict=True):
+                into.append(x)
+        left, other, same = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in found)
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        root = list(range(max(root) + 1))
+        a, b = [], []
+        for at in np.argsort(-same, kind="stable").tolist():
+            i, j = int(left[at]), int(other[at])
+            x, y = top(int(group[i])), top(int(group[j]))
+            if x == y:
+                continue
+            small, large = (sets[i], sets[j]) if size[i] < size[j] else (sets[j], sets[i])
+            common = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+            if 100 * common >= percent * (len(small) + len(large) - common):
+                root[x] = y
+                a.append(int(rep[i]))
+                b.append(int(rep[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def crowd_links(docs: DataFrame, sets: DataFrame, groups: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """Links (a, b) that join groups (node, component) in each crowd: sets (rep, n, sig) with equal first MIN_DEPTH values in an order, more than WINDOW + 1 of them."""
+    run = ["tree", "prefix"]
+    entries = sets.select("rep", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    entries = entries.select("tree", F.substring("sig", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * MIN_DEPTH)).alias("prefix"), "rep", "n")
+    crowded = entries.groupBy(*run).count().where(F.col("count") > WINDOW + 1).drop("count")
+    placed = entries.join(crowded, run).join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    placed = materialise(placed.select(*run, "rep", "n", F.coalesce("component", "rep").alias("group_id")))
+    of_group = placed.groupBy(*run, "group_id").agg(F.count("*").alias("m"))
+    large = F.col("m") > BLOCK
+    totals = of_group.groupBy(*run).agg(F.count("*").alias("n_groups"), F.sum(F.when(~large, F.col("m"))).alias("small")).where("n_groups > 1")
+    # blocks of a group of more than BLOCK sets hold only that group; the smaller groups share theirs
+    of_group = of_group.join(totals.drop("n_groups"), run).select(*run, "group_id", F.when(large, F.col("group_id")).alias("own"), F.ceil(F.when(large, F.col("m")).otherwise(F.col("small")) / BLOCK).alias("blocks"))
+    of_group = materialise(of_group)
+    salt = F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    rows = placed.join(of_group, [*run, "group_id"]).select(*run, "rep", "n", "group_id", F.struct("own", salt.alias("salt")).alias("block"))
+    blocks = of_group.select(*run, "own", "blocks").distinct().select(*run, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("salt"), "own").select(*run, F.struct("own", "salt").alias("block"))
+    x, y = blocks.withColumnRenamed("block", "x"), blocks.withColumnRenamed("block", "y")
+    cells = x.join(y, run).where("x <= y AND (x.own IS NULL OR y.own IS NULL OR x.own <> y.own)")
+    sides = cells.withColumn("right", F.explode(F.when(F.col("x") == F.col("y"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
+    sides = sides.withColumn("block", F.when(F.col("right"), F.col("y")).otherwise(F.col("x")))
+    rows = materialise(rows)
+    involved = rows.select(F.col("rep").alias("doc_id")).distinct()
+    shingles = docs.join(involved.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(shingle_words), "doc_id long, shingles array<long>").distinct()
+    shingles = shingles.select(F.col("doc_id").alias("rep"), F.size("shingles").cast("long").alias("n"), F.array_sort("shingles").alias("shingles"))
+    whole = materialise(involved.withColumnRenamed("doc_id", "rep").join(sets.select("rep", "n", "sig"), "rep").join(shingles, ["rep", "n"]))
+    placed = rows.join(sides, [*run, "block"]).select(*run, "x", "y", "right", "rep", "n", "group_id").join(whole, ["rep", "n"])
+    return placed.groupBy(*run, "x", "y").applyInArrow(_closed(percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """Groups of documents linked by shingle sets of resemblance percent / 100 or more.
 
@@ -223,6 +312,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     apart = apart.where(F.coalesce("a_group", "a") != F.coalesce("b_group", "b")).select("a", "b")
     more = _confirm(apart, shingles, percent)
     groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    rest = materialise(crowd_links(docs, usable, groups, shingle_words, percent))
+    if not rest.isEmpty():
+        groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest))
     labelled = sets.join(groups, sets.rep == groups.node, "left").select("k1", "k2", F.coalesce("component", "rep").alias("c"))
     rows = base.select("doc_id", "n", "k1", "k2").join(labelled, ["k1", "k2"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("c", "doc_id")).otherwise(F.col("doc_id"))
