@@ -239,3 +239,12 @@ def test_hub_with_many_copies(spark):
     table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table, shingle_words=2, percent=80).collect()}
     assert got == dict(enumerate(group)) and len(set(group)) < 100
+
+
+def test_keep_one_by_rows(spark):
+    """pipeline (near duplicates): rows without doc_id and other texts of a doc_id stay unless their group keeps another row."""
+    text = lambda name, n=40: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(1, text("a")), (1, text("b")), (1, text("b")), (None, text("c")), (None, text("a")), (None, text("d")), (None, text("d")), (2, text("b", 41)), (None, None), (3, " "), (3, " ")]
+    got = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(1, text("a")), (1, text("b")), (None, text("c")), (None, text("d")), (None, None), (3, " "), (3, " ")]
+    assert Counter(map(tuple, got)) == Counter(want)

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, byte_slices, materialise, mix64
+from .common import Words, byte_slices, materialise, mix64, text_or_empty
 from .graph import components
 
 TREES, DEPTH = 24, 8
@@ -322,6 +322,16 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
 
 
 def keep_one(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row for each group of near duplicates: that of the smallest doc_id. Rows without doc_id have no group of their own and go only with a group."""
-    kept = near_duplicates(docs, shingle_words, percent).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """docs with one row for each group of near duplicates: that of the smallest doc_id (rows without doc_id come last, then a hash of the row decides).
+
+    Each row is told by a hash of its columns, so rows that share a doc_id or have none are grouped by their own texts. Texts that are null or have no word are all kept.
+    """
+    keyed = docs.withColumn("_key", F.xxhash64(*docs.columns))
+    bare = keyed.select(F.col("_key").alias("doc_id"), "text")
+    groups = near_duplicates(bare, shingle_words, percent).select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    owners = keyed.select("_key", F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("first")
+    kept = materialise(groups.join(owners, "_key").groupBy("component_id").agg(first).select("first._key"))
+    # equal rows share a key and one stays, but rows without words have a place each
+    place = F.when(~text_or_empty().rlike(r"[^\x20\x09-\x0D]"), F.monotonically_increasing_id())
+    return keyed.withColumn("_place", place).join(kept, "_key", "left_semi").dropDuplicates(["_key", "_place"]).select(*docs.columns)
