@@ -248,3 +248,47 @@ def test_keep_one_by_rows(spark):
     got = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = [(1, text("a")), (1, text("b")), (None, text("c")), (None, text("d")), (None, None), (3, " "), (3, " ")]
     assert Counter(map(tuple, got)) == Counter(want)
+
+
+def crowd_of_pages(n, pairs, body, own, common):
+    """Texts with the same body and `own` words of their own; the first 2 * pairs of them share `common` of these by twos."""
+    draw = random.Random(n)
+    words = [f"b{i}" for i in range(body)]
+    texts = []
+    for i in range(n):
+        tail = [f"u{i}x{k}" for k in range(own)]
+        if i < 2 * pairs:
+            tail[:common] = [f"p{i // 2}x{k}" for k in range(common)]
+        texts.append(words + tail)
+    draw.shuffle(texts)
+    return texts
+
+
+def groups_by_brute_force(texts, percent=80):
+    """The smallest place that each text reaches by links of two-word shingle sets; shingles of one text alone only count for its size."""
+    sets = [{tuple(t[i : i + 2]) for i in range(len(t) - 1)} for t in texts]
+    often = {g: i for i, g in enumerate(g for g, c in Counter(g for s in sets for g in s).items() if c > 1)}
+    has = np.zeros((len(sets), len(often)), dtype=np.float32)
+    for i, s in enumerate(sets):
+        has[i, [often[g] for g in s if g in often]] = 1
+    common = has @ has.T
+    size = np.array([len(s) for s in sets])
+    linked = 100 * common >= percent * (size[:, None] + size[None, :] - common) - 1e-3
+    np.fill_diagonal(linked, True)
+    group = np.arange(len(sets))
+    while True:
+        least = np.where(linked, group[None, :], len(sets)).min(axis=1)
+        if (least == group).all():
+            return dict(enumerate(group.tolist()))
+        group = least
+
+
+@pytest.mark.parametrize(("n", "pairs", "common"), [(2000, 200, 9), (3000, 300, 7)])
+def test_crowds_of_pages_from_one_template(spark, n, pairs, common):
+    """op4_near_dedup: pairs nearer than their crowd (resemblance about 0.76) are all found."""
+    texts = crowd_of_pages(n, pairs, 160, 25, common)
+    want = groups_by_brute_force(texts)
+    assert len(set(want.values())) == n - pairs
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table, shingle_words=2, percent=80).collect()}
+    assert got == want

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
+#: Number of keys at most that spread_join broadcasts.
+HUBS = 1024
+
 
 def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replace the links of a batch by stars with the same components, so that long chains shrink before the first shuffle."""
@@ -31,20 +34,33 @@ def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in leaves], pa.int64()), pa.array([r for _, r in leaves], pa.int64())], ["u", "v"])
 
 
+def spread_join(rows: DataFrame, sides: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """rows joined with sides, which has each key once and its number of rows as `degree`; total is the number of rows.
+
+    Keys with more than one in HUBS of all rows are HUBS at most, so they are broadcast, and their rows stay where they are. The others are
+    shuffled. No task so gets more than its share of a hot key.
+    """
+    limit = max(HUBS, total // HUBS)
+    hubs = F.broadcast(sides.where(F.col("degree") > limit))
+    rest = rows.join(F.broadcast(sides.where(F.col("degree") > limit).select(*keys)), keys, "left_anti")
+    return rows.join(hubs, keys).unionByName(rest.join(sides.where(F.col("degree") <= limit), keys))
+
+
 def components(links: DataFrame) -> DataFrame:
     """links(a, b) to (node, component): each linked node with the smallest node it reaches. A component's smallest node has no row.
 
-    Null ends and self-links are ignored. Every round is written to the shared folder, so a lost executor costs one round at most.
-    A hub is never gathered: minima are aggregated before they are shuffled, and joins on a hub are plain equi-joins that Spark may split.
+    Null ends and self-links are ignored; an empty table gives an empty one. Every round is written to the shared folder, so a lost executor
+    costs one round at most. A hub is never gathered: minima are aggregated before they are shuffled, and hubs are joined by spread_join.
     """
     stars = materialise(links.where("a <> b").mapInArrow(_local_forest, "u long, v long").distinct())
     seen = None
     while True:
+        total = 2 * stars.count()
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        first = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(first, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(first.select("u", F.col("m").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("degree"))
+        large = spread_join(both.where("v > u"), least, ["u"], total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        first = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+        small = spread_join(large, first, ["u"], total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(first.select("u", F.col("m").alias("v")))
         stars = materialise(small.distinct())
         now = tuple(stars.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == seen:

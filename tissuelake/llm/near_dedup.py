@@ -12,10 +12,13 @@ shingle are one node throughout. Confirmation runs in two steps: first the direc
 groups; then every candidate whose ends are still in different groups. A dense group of n sets so costs about 2n comparisons
 and not n squared, and no candidate that could join two groups is left out.
 
-Where more than WINDOW + 1 sets share MIN_DEPTH values of an order, neighbours alone may miss links. Such a crowd is closed exactly: all
-pairs in it whose ends are still in different groups are compared, in cells of two blocks of about BLOCK sets (so no task holds a
-crowd), each pair in the first order that it shares. A cell gives only the links that join its groups, so a crowd gives no
-squares of rows. Only crowds whose sets stay apart cost the square of their size in comparisons.
+Where more than WINDOW + 1 sets share MIN_DEPTH values of an order, neighbours alone may miss links, however deep the order goes: pages
+made from one template share most values with each other, and a pair that is nearer than the rest does not stand out. Such a crowd, if its
+sets are still in different groups, is closed exactly by prefix filtering: a set's shingles are ordered from rare to frequent (by counts in a
+table of SLOTS places, so that the order is the same everywhere and its size is fixed), and two sets of sizes x >= y with resemblance t must
+share one of the first x - ceil(t x) + 1 of the one and the first y - ceil(2 t y / (1 + t)) + 1 of the other. What template pages have in common
+is frequent and stays out of these, so their crowd costs rows in proportion to its size. Links are looked for between groups only: first
+each set's likeliest partner in another group, then, with the groups that this leaves, all that is left.
 """
 
 from __future__ import annotations
@@ -29,11 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, byte_slices, materialise, mix64, text_or_empty
-from .graph import components
+from .graph import components, spread_join
 
 TREES, DEPTH = 24, 8
 MIN_DEPTH, WINDOW, MIN_AGREE = 3, 8, 148
-FIRST_TREES, BLOCK = 2, 128
+FIRST_TREES, SLOTS, BLOCK = 2, 1 << 20, 1024
 _VALUES = TREES * DEPTH
 _RNG = np.random.default_rng(0xF0357)
 _FLIP = _RNG.integers(0, 2**32, _VALUES, dtype=np.uint32)
@@ -110,7 +113,7 @@ class _Rows:
         wide = lambda name, kind, width: np.frombuffer(b"".join(batch[name].to_pylist()), dtype=kind).reshape(-1, width)
         return cls(batch["tree"].to_numpy(), wide("key", np.uint16, DEPTH), batch["rep"].to_numpy(), batch["n"].to_numpy(), wide("bits", np.uint64, _VALUES // 64))
 
-    def slice(self, part: slice) -> _Rows:
+    def slice(self, part: slice | np.ndarray) -> _Rows:
         return _Rows(self.tree[part], self.key[part], self.rep[part], self.n[part], self.bits[part])
 
     def __add__(self, other: _Rows) -> _Rows:
@@ -134,7 +137,16 @@ class _Rows:
             out[2].append((self.tree[i] < FIRST_TREES) & (lag == 1))
         return tuple(np.concatenate(x) if x else np.zeros(0, kind) for x, kind in zip(out, (np.int64, np.int64, bool), strict=True))
 
-    def out(self, border: int) -> pa.RecordBatch:
+    def crowded(self) -> _Rows:
+        """Rows in runs of more than WINDOW + 1 with an equal prefix."""
+        i = np.arange(max(0, len(self.rep) - WINDOW - 1))
+        i = i[(self.tree[i] == self.tree[i + WINDOW + 1]) & (self.prefix[i] == self.prefix[i + WINDOW + 1]).all(axis=1)]
+        depth = np.zeros(len(self.rep) + 1, dtype=np.int32)
+        np.add.at(depth, i, 1)
+        np.add.at(depth, np.minimum(i + WINDOW + 2, len(self.rep)), -1)
+        return self.slice(np.flatnonzero(np.cumsum(depth)[:-1]))
+
+    def out(self, border: int | None) -> pa.RecordBatch:
         n = len(self.rep)
         none = [pa.nulls(n, kind) for kind in (pa.int64(), pa.int64(), pa.bool_())]
         keys, bits = (pa.array([x.tobytes() for x in rows], pa.binary()) for rows in (self.key, self.bits))
@@ -161,35 +173,36 @@ def _neighbours(percent: int):
                 continue
             rows = _Rows.of(batch)
             if tail is None:
-                yield rows.slice(slice(0, WINDOW)).out(part - 1)
+                yield rows.slice(slice(0, WINDOW + 1)).out(part - 1)
             both = rows if tail is None else tail + rows
             yield _found(*both.pairs(percent, len(both.rep) - len(rows.rep)))
-            tail = both.slice(slice(max(0, len(both.rep) - WINDOW), None))
+            yield both.crowded().out(None)
+            tail = both.slice(slice(max(0, len(both.rep) - WINDOW - 1), None))
         if tail is not None:
             yield tail.out(part)
 
     return run
 
 
-def candidates(sets: DataFrame, percent: int, orders: int) -> DataFrame:
-    """Candidate links (a, b, first) between the sets (rep, n, sig, bits), by sorted neighbourhood in each tree's order."""
-    spark = sets.sparkSession
+def candidates(sets: DataFrame, percent: int, orders: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate links (a, b, first) between the sets (rep, n, sig, bits) by sorted neighbourhood in each tree's order, and the crowds (tree, prefix, rep) in them."""
     entries = sets.select(F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "rep", "n", "sig", "bits")
     width = 2 * DEPTH
     entries = entries.select("tree", F.substring("sig", F.col("tree") * width + 1, F.lit(width)).alias("key"), "rep", "n", "bits")
     ordered = entries.repartitionByRange(orders, "tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
     found = materialise(ordered.mapInArrow(_neighbours(percent), _FOUND))
-    borders = found.where("border is not null").groupBy("border")
-    across = borders.applyInArrow(_across_sorted(percent), "a long, b long, first boolean")
-    return materialise(found.where("border is null").select("a", "b", "first").union(across).groupBy("a", "b").agg(F.max("first").alias("first")))
+    across = found.where("border is not null").groupBy("border").applyInArrow(_across_sorted(percent), _FOUND)
+    both = materialise(found.where("border is null").union(across))
+    pairs = both.where("a is not null").groupBy("a", "b").agg(F.max("first").alias("first"))
+    return materialise(pairs), both.where("rep is not null").select("tree", F.substring("key", 1, 2 * MIN_DEPTH).alias("prefix"), "rep")
 
 
 def _across_sorted(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        """The ends of two adjoining partitions, 2 * WINDOW rows at most."""
+        """The ends of two adjoining partitions, 2 * (WINDOW + 1) rows at most."""
         order = sorted(range(len(table)), key=lambda i: (table["tree"][i].as_py(), table["key"][i].as_py(), table["rep"][i].as_py()))
-        a, b, first = _Rows.of(table.take(order).combine_chunks().to_batches()[0]).pairs(percent)
-        return pa.table({"a": pa.array(a), "b": pa.array(b), "first": pa.array(first)})
+        rows = _Rows.of(table.take(order).combine_chunks().to_batches()[0])
+        return pa.Table.from_batches([_found(*rows.pairs(percent)), rows.crowded().out(None)])
 
     return run
 
@@ -203,88 +216,95 @@ def _confirm(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     return sized.where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b")
 
 
-def _closed(percent: int):
-    least = max(0, int(_VALUES * percent / 100 - 6 * (_VALUES * percent * (100 - percent)) ** 0.5 / 100))  # equal values, six standard deviations below what the resemblance gives
-
-    def run(cell: pa.Table) -> pa.Table:
-        """The links that join groups of a cell: pairs of its two blocks (or within its one), those with most equal values first."""
-        tree, n = cell["tree"][0].as_py(), len(cell)
-        sig = np.frombuffer(b"".join(cell["sig"].to_pylist()), dtype=np.uint16).reshape(n, _VALUES)
-        column = cell["shingles"].combine_chunks()
-        offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
-        sets = [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        size, rep, right = np.diff(offsets), cell["rep"].to_numpy(), cell["right"].to_numpy(zero_copy_only=False)
-        two = right.any()
-        _, group = np.unique(cell["group_id"].to_numpy(), return_inverse=True)
-        root = group.tolist()
-        prefix = np.zeros((n, tree + 1), dtype=np.uint64)
-        for j in range(MIN_DEPTH):
-            prefix = (prefix << np.uint64(16)) | sig[:, j : DEPTH * (tree + 1) : DEPTH][:, : tree + 1]
-        found = [], [], []
-        for i in range(n):
-            j = np.flatnonzero(right) if two else np.arange(i + 1, n)
-            if two and right[i]:
-                continue
-            j = j[(group[j] != group[i]) & (100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i]))]
-            j = j[~(prefix[j, :tree] == prefix[i, :tree]).any(axis=1)]
-            same = (sig[j] == sig[i]).sum(axis=1)
-            j, same = j[same >= least], same[same >= least]
-            for into, x in zip(found, (np.full(len(j), i), j, same), strict=True):
-                into.append(x)
-        left, other, same = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in found)
-
-        def top(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        root = list(range(max(root) + 1))
-        a, b = [], []
-        for at in np.argsort(-same, kind="stable").tolist():
-            i, j = int(left[at]), int(other[at])
-            x, y = top(int(group[i])), top(int(group[j]))
-            if x == y:
-                continue
-            small, large = (sets[i], sets[j]) if size[i] < size[j] else (sets[j], sets[i])
-            common = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
-            if 100 * common >= percent * (len(small) + len(large) - common):
-                root[x] = y
-                a.append(int(rep[i]))
-                b.append(int(rep[j]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def _slot(shingles: np.ndarray) -> np.ndarray:
+    return (shingles.view(np.uint64) % np.uint64(SLOTS)).astype(np.int64)
+
+
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(SLOTS, dtype=np.int64)
+    for batch in batches:
+        counts += np.bincount(_slot(batch["shingles"].flatten().to_numpy()), minlength=SLOTS)
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["slot", "n"])
+
+
+def _prefixes(counts: np.ndarray, percent: int):
+    """A row for each of a set's rarest shingles that a partner may have to share; `index` if it counts as the smaller set's too."""
+    ceil = lambda a, b: -(-a // b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, offsets = batch["shingles"].flatten().to_numpy(), np.cumsum([0, *batch["shingles"].value_lengths().to_pylist()])
+            rows, tokens, index = [], [], []
+            for i, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                s, n = flat[lo:hi], hi - lo
+                probe = n - ceil(percent * n, 100) + 1
+                token = s[np.lexsort((s, counts[_slot(s)]))[:probe]]
+                tokens.append(token)
+                index.append(np.arange(len(token)) < n - ceil(2 * percent * n, 100 + percent) + 1)
+                rows.append(np.full(len(token), i))
+            rows = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
+            join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+            yield pa.RecordBatch.from_arrays([pa.array(join(tokens, np.int64)), pa.array(join(index, bool)), *(batch[c].take(rows) for c in ("rep", "n", "b0", "b1", "b2"))], ["token", "index", "rep", "n", "b0", "b1", "b2"])
 
     return run
 
 
-def crowd_links(docs: DataFrame, sets: DataFrame, groups: DataFrame, shingle_words: int, percent: int) -> DataFrame:
-    """Links (a, b) that join groups (node, component) in each crowd: sets (rep, n, sig) with equal first MIN_DEPTH values in an order, more than WINDOW + 1 of them."""
-    run = ["tree", "prefix"]
-    entries = sets.select("rep", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    entries = entries.select("tree", F.substring("sig", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * MIN_DEPTH)).alias("prefix"), "rep", "n")
-    crowded = entries.groupBy(*run).count().where(F.col("count") > WINDOW + 1).drop("count")
-    placed = entries.join(crowded, run).join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = materialise(placed.select(*run, "rep", "n", F.coalesce("component", "rep").alias("group_id")))
-    of_group = placed.groupBy(*run, "group_id").agg(F.count("*").alias("m"))
-    large = F.col("m") > BLOCK
-    totals = of_group.groupBy(*run).agg(F.count("*").alias("n_groups"), F.sum(F.when(~large, F.col("m"))).alias("small")).where("n_groups > 1")
-    # blocks of a group of more than BLOCK sets hold only that group; the smaller groups share theirs
-    of_group = of_group.join(totals.drop("n_groups"), run).select(*run, "group_id", F.when(large, F.col("group_id")).alias("own"), F.ceil(F.when(large, F.col("m")).otherwise(F.col("small")) / BLOCK).alias("blocks"))
-    of_group = materialise(of_group)
-    salt = F.pmod(F.xxhash64("rep"), F.col("blocks"))
-    rows = placed.join(of_group, [*run, "group_id"]).select(*run, "rep", "n", "group_id", F.struct("own", salt.alias("salt")).alias("block"))
-    blocks = of_group.select(*run, "own", "blocks").distinct().select(*run, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("salt"), "own").select(*run, F.struct("own", "salt").alias("block"))
-    x, y = blocks.withColumnRenamed("block", "x"), blocks.withColumnRenamed("block", "y")
-    cells = x.join(y, run).where("x <= y AND (x.own IS NULL OR y.own IS NULL OR x.own <> y.own)")
-    sides = cells.withColumn("right", F.explode(F.when(F.col("x") == F.col("y"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
-    sides = sides.withColumn("block", F.when(F.col("right"), F.col("y")).otherwise(F.col("x")))
-    rows = materialise(rows)
-    involved = rows.select(F.col("rep").alias("doc_id")).distinct()
-    shingles = docs.join(involved.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(shingle_words), "doc_id long, shingles array<long>").distinct()
-    shingles = shingles.select(F.col("doc_id").alias("rep"), F.size("shingles").cast("long").alias("n"), F.array_sort("shingles").alias("shingles"))
-    whole = materialise(involved.withColumnRenamed("doc_id", "rep").join(sets.select("rep", "n", "sig"), "rep").join(shingles, ["rep", "n"]))
-    placed = rows.join(sides, [*run, "block"]).select(*run, "x", "y", "right", "rep", "n", "group_id").join(whole, ["rep", "n"])
-    return placed.groupBy(*run, "x", "y").applyInArrow(_closed(percent), "a long, b long")
+def _open_sets(crowd: DataFrame, groups: DataFrame) -> DataFrame:
+    """The sets (rep) in runs of crowd(tree, prefix, rep) whose sets are in more than one group."""
+    placed = materialise(crowd.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("tree", "prefix", "rep", F.coalesce("component", "rep").alias("g")))
+    runs = placed.groupBy("tree", "prefix").agg(F.count("*").alias("degree"), F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("tree", "prefix", "degree")
+    return spread_join(placed, runs, ["tree", "prefix"], placed.count()).select("rep").distinct()
+
+
+def _pairs_of_groups(tokens: DataFrame, groups: DataFrame, percent: int, likeliest: bool) -> DataFrame:
+    """Pairs (a, b) of sets in different groups that share a token as prefix filtering asks, and enough of their signatures; of each set the likeliest, or all.
+
+    A token of f sets is split in f / BLOCK blocks of probing sets, each of which meets all of its indexed ones, so that no task holds its pairs.
+    """
+    placed = tokens.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("g", F.coalesce("component", "rep")).drop("component")
+    placed = materialise(placed)
+    shared = placed.groupBy("token").agg(F.count("*").alias("degree"), F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi")
+    shared = shared.select("token", "degree", F.ceil(F.col("degree") / BLOCK).cast("int").alias("blocks"))
+    met = materialise(spread_join(placed, shared, ["token"], placed.count()).drop("degree"))
+    x = met.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("blocks", "index")
+    y = met.where("index").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks", "index")
+    y = y.select("token", "block", *(F.col(c).alias(f"{c}_y") for c in ("rep", "n", "g", "b0", "b1", "b2")))
+    other = sum((F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"b{i}_y"))) for i in range(3)), F.lit(0))
+    agree = _VALUES - other
+    smaller = (F.col("n_y") < F.col("n")) | ((F.col("n_y") == F.col("n")) & (F.col("rep_y") < F.col("rep")))
+    near = (F.col("g") != F.col("g_y")) & smaller & (100 * F.col("n_y") >= percent * F.col("n")) & (agree >= MIN_AGREE)
+    found = x.join(y, ["token", "block"]).where(near).select(F.least("rep", "rep_y").alias("a"), F.greatest("rep", "rep_y").alias("b"), agree.alias("agree"))
+    if not likeliest:
+        return found.select("a", "b").distinct()
+    ends = found.select(F.explode(F.array(F.struct(F.col("a").alias("rep"), F.struct("agree", F.col("b").alias("o")).alias("best")), F.struct(F.col("b").alias("rep"), F.struct("agree", F.col("a").alias("o")).alias("best")))).alias("e"))
+    best = ends.groupBy("e.rep").agg(F.max("e.best").alias("best"))
+    return best.select(F.least("rep", "best.o").alias("a"), F.greatest("rep", "best.o").alias("b")).distinct()
+
+
+def _edges(groups: DataFrame) -> DataFrame:
+    return groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
+def close_crowds(docs: DataFrame, sets: DataFrame, crowd: DataFrame, groups: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """groups (node, component) with all links between sets of one crowd (tree, prefix, rep); sets have (rep, n, bits)."""
+    open_ = materialise(_open_sets(crowd, groups))
+    if open_.isEmpty():
+        return groups
+    shingles = docs.join(open_.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(shingle_words), "doc_id long, shingles array<long>").distinct()
+    word = lambda i: F.conv(F.hex(F.substring("bits", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"b{i}")
+    shingles = materialise(shingles)
+    whole = sets.select("rep", "n", *map(word, range(3))).join(shingles.withColumnRenamed("doc_id", "rep"), "rep").where(F.size("shingles") == F.col("n"))
+    whole = materialise(whole)
+    slots = whole.mapInArrow(_slot_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
+    counts = np.zeros(SLOTS, dtype=np.int64)
+    counts[slots["slot"].to_numpy()] = slots["n"].to_numpy()
+    tokens = materialise(whole.mapInArrow(_prefixes(counts, percent), "token long, index boolean, rep long, n long, b0 long, b1 long, b2 long"))
+    for likeliest in (True, False):
+        links = materialise(_confirm(_pairs_of_groups(tokens, groups, percent, likeliest), shingles, percent))
+        if not links.isEmpty():
+            groups = components(_edges(groups).union(links))
+    return groups
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -302,7 +322,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     usable = sets.where("rep is not null")
     orders = max(1, min(shuffles, usable.count() * TREES // (64 * WINDOW)))
-    pairs = candidates(usable, percent, orders)
+    pairs, crowd = candidates(usable, percent, orders)
     involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     shingles = materialise(docs.join(involved.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(shingle_words), "doc_id long, shingles array<long>").distinct())
     links = materialise(_confirm(pairs.where("first"), shingles, percent))
@@ -311,10 +331,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     apart = pairs.where("not first").join(label("a"), "a", "left").join(label("b"), "b", "left")
     apart = apart.where(F.coalesce("a_group", "a") != F.coalesce("b_group", "b")).select("a", "b")
     more = _confirm(apart, shingles, percent)
-    groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    rest = materialise(crowd_links(docs, usable, groups, shingle_words, percent))
-    if not rest.isEmpty():
-        groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest))
+    groups = close_crowds(docs, usable, crowd, components(_edges(groups).union(more)), shingle_words, percent)
     labelled = sets.join(groups, sets.rep == groups.node, "left").select("k1", "k2", F.coalesce("component", "rep").alias("c"))
     rows = base.select("doc_id", "n", "k1", "k2").join(labelled, ["k1", "k2"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("c", "doc_id")).otherwise(F.col("doc_id"))
