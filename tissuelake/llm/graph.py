@@ -34,13 +34,17 @@ def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in leaves], pa.int64()), pa.array([r for _, r in leaves], pa.int64())], ["u", "v"])
 
 
-def spread_join(rows: DataFrame, sides: DataFrame, keys: list[str], total: int) -> DataFrame:
-    """rows joined with sides, which has each key once and its number of rows as `degree`; total is the number of rows.
+def hot_degree(total: int) -> int:
+    """Keys with more rows than this are HUBS at most, among so many rows."""
+    return max(HUBS, total // HUBS)
 
-    Keys with more than one in HUBS of all rows are HUBS at most, so they are broadcast, and their rows stay where they are. The others are
-    shuffled. No task so gets more than its share of a hot key.
+
+def spread_join(rows: DataFrame, sides: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """rows joined with sides, which has each key once and its number of rows as `degree`.
+
+    Keys with more than `limit` rows, HUBS at most if that is hot_degree(number of rows), are broadcast, and their rows stay where they are. The
+    others are shuffled. No task so gets more than its share of a hot key.
     """
-    limit = max(HUBS, total // HUBS)
     hubs = F.broadcast(sides.where(F.col("degree") > limit))
     rest = rows.join(F.broadcast(sides.where(F.col("degree") > limit).select(*keys)), keys, "left_anti")
     return rows.join(hubs, keys).unionByName(rest.join(sides.where(F.col("degree") <= limit), keys))
@@ -49,20 +53,22 @@ def spread_join(rows: DataFrame, sides: DataFrame, keys: list[str], total: int)
 def components(links: DataFrame) -> DataFrame:
     """links(a, b) to (node, component): each linked node with the smallest node it reaches. A component's smallest node has no row.
 
-    Null ends and self-links are ignored; an empty table gives an empty one. Every round is written to the shared folder, so a lost executor
-    costs one round at most. A hub is never gathered: minima are aggregated before they are shuffled, and hubs are joined by spread_join.
+    Null ends and self-links are ignored; an empty table gives an empty one. Rounds end when each node has one root and no root has one itself.
+    Every round is written to the shared folder, so a lost executor costs one round at most. A hub is never gathered: minima are aggregated
+    before they are shuffled, and where there is a hub, spread_join joins it.
     """
     stars = materialise(links.where("a <> b").mapInArrow(_local_forest, "u long, v long").distinct())
-    seen = None
     while True:
-        total = 2 * stars.count()
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        nodes = both.groupBy("u").agg(F.count_if(F.col("v") < F.col("u")).alias("roots"), F.count("*").alias("degree"))
+        leaf, root = F.col("roots") > 0, F.col("roots") < F.col("degree")
+        state = nodes.agg(F.coalesce(F.max("roots"), F.lit(0)).alias("roots"), F.coalesce(F.bool_or(leaf & root), F.lit(False)).alias("both"), F.coalesce(F.sum("degree"), F.lit(0)).alias("total"), F.max("degree").alias("degree")).first()
+        if state["roots"] <= 1 and not state["both"]:
+            return stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        limit = hot_degree(state["total"])
+        joined = (lambda rows, sides: spread_join(rows, sides, ["u"], limit)) if state["degree"] > limit else (lambda rows, sides: rows.join(sides, "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("degree"))
-        large = spread_join(both.where("v > u"), least, ["u"], total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = joined(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         first = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
-        small = spread_join(large, first, ["u"], total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(first.select("u", F.col("m").alias("v")))
+        small = joined(large, first).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(first.select("u", F.col("m").alias("v")))
         stars = materialise(small.distinct())
-        now = tuple(stars.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if now == seen:
-            return stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        seen = now

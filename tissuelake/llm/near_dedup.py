@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, byte_slices, materialise, mix64, text_or_empty
-from .graph import components, spread_join
+from .graph import components, hot_degree, spread_join
 
 TREES, DEPTH = 24, 8
 MIN_DEPTH, WINDOW, MIN_AGREE = 3, 8, 148
-FIRST_TREES, SLOTS, BLOCK = 2, 1 << 20, 1024
+FIRST_TREES, SLOTS, BLOCK = 2, 1 << 18, 1024
 _VALUES = TREES * DEPTH
 _RNG = np.random.default_rng(0xF0357)
 _FLIP = _RNG.integers(0, 2**32, _VALUES, dtype=np.uint32)
@@ -254,7 +254,7 @@ def _open_sets(crowd: DataFrame, groups: DataFrame) -> DataFrame:
     """The sets (rep) in runs of crowd(tree, prefix, rep) whose sets are in more than one group."""
     placed = materialise(crowd.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("tree", "prefix", "rep", F.coalesce("component", "rep").alias("g")))
     runs = placed.groupBy("tree", "prefix").agg(F.count("*").alias("degree"), F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("tree", "prefix", "degree")
-    return spread_join(placed, runs, ["tree", "prefix"], placed.count()).select("rep").distinct()
+    return spread_join(placed, runs, ["tree", "prefix"], hot_degree(placed.count())).select("rep").distinct()
 
 
 def _pairs_of_groups(tokens: DataFrame, groups: DataFrame, percent: int, likeliest: bool) -> DataFrame:
@@ -266,7 +266,7 @@ def _pairs_of_groups(tokens: DataFrame, groups: DataFrame, percent: int, likelie
     placed = materialise(placed)
     shared = placed.groupBy("token").agg(F.count("*").alias("degree"), F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi")
     shared = shared.select("token", "degree", F.ceil(F.col("degree") / BLOCK).cast("int").alias("blocks"))
-    met = materialise(spread_join(placed, shared, ["token"], placed.count()).drop("degree"))
+    met = materialise(spread_join(placed, shared, ["token"], hot_degree(placed.count())).drop("degree"))
     x = met.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("blocks", "index")
     y = met.where("index").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks", "index")
     y = y.select("token", "block", *(F.col(c).alias(f"{c}_y") for c in ("rep", "n", "g", "b0", "b1", "b2")))
@@ -301,9 +301,10 @@ def close_crowds(docs: DataFrame, sets: DataFrame, crowd: DataFrame, groups: Dat
     counts[slots["slot"].to_numpy()] = slots["n"].to_numpy()
     tokens = materialise(whole.mapInArrow(_prefixes(counts, percent), "token long, index boolean, rep long, n long, b0 long, b1 long, b2 long"))
     for likeliest in (True, False):
-        links = materialise(_confirm(_pairs_of_groups(tokens, groups, percent, likeliest), shingles, percent))
-        if not links.isEmpty():
-            groups = components(_edges(groups).union(links))
+        pairs = materialise(_pairs_of_groups(tokens, groups, percent, likeliest))
+        if pairs.isEmpty():
+            break
+        groups = components(_edges(groups).union(_confirm(pairs, shingles, percent)))
     return groups
 
 
