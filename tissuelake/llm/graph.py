@@ -36,7 +36,7 @@ def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def hot_degree(total: int) -> int:
     """Keys with more rows than this are HUBS at most, among so many rows."""
-    return max(HUBS, total // HUBS)
+    return max(64, total // HUBS)
 
 
 def spread_join(rows: DataFrame, sides: DataFrame, keys: list[str], limit: int) -> DataFrame:

@@ -17,8 +17,9 @@ made from one template share most values with each other, and a pair that is nea
 sets are still in different groups, is closed exactly by prefix filtering: a set's shingles are ordered from rare to frequent (by counts in a
 table of SLOTS places, so that the order is the same everywhere and its size is fixed), and two sets of sizes x >= y with resemblance t must
 share one of the first x - ceil(t x) + 1 of the one and the first y - ceil(2 t y / (1 + t)) + 1 of the other. What template pages have in common
-is frequent and stays out of these, so their crowd costs rows in proportion to its size. Links are looked for between groups only: first
-each set's likeliest partner in another group, then, with the groups that this leaves, all that is left.
+is frequent and stays out of these, so their crowd costs rows in proportion to its size. A pair then has to pass a bound that loses nothing:
+each set has a bitmap of PARITY bits, each the parity of the shingles hashed to it, and no two sets differ in fewer shingles than their
+bitmaps differ in bits. Links are looked for between groups only.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, byte_slices, materialise, mix64, text_or_empty
@@ -36,7 +37,7 @@ from .graph import components, hot_degree, spread_join
 
 TREES, DEPTH = 24, 8
 MIN_DEPTH, WINDOW, MIN_AGREE = 3, 8, 148
-FIRST_TREES, SLOTS, BLOCK = 2, 1 << 18, 1024
+FIRST_TREES, SLOTS, PARITY, BLOCK = 2, 1 << 18, 1024, 1024
 _VALUES = TREES * DEPTH
 _RNG = np.random.default_rng(0xF0357)
 _FLIP = _RNG.integers(0, 2**32, _VALUES, dtype=np.uint32)
@@ -228,24 +229,30 @@ def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["slot", "n"])
 
 
+_BITS = [f"b{i}" for i in range(_VALUES // 64)]
+_PARITY = [f"p{i}" for i in range(PARITY // 64)]
+
+
 def _prefixes(counts: np.ndarray, percent: int):
-    """A row for each of a set's rarest shingles that a partner may have to share; `index` if it counts as the smaller set's too."""
+    """A row for each of a set's rarest shingles that a partner may have to share, with the set's bitmap; `index` if it counts as the smaller set's too."""
     ceil = lambda a, b: -(-a // b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, offsets = batch["shingles"].flatten().to_numpy(), np.cumsum([0, *batch["shingles"].value_lengths().to_pylist()])
-            rows, tokens, index = [], [], []
+            rows, tokens, index = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+            parity = np.zeros((len(batch), PARITY // 64), dtype=np.int64)
             for i, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                 s, n = flat[lo:hi], hi - lo
                 probe = n - ceil(percent * n, 100) + 1
-                token = s[np.lexsort((s, counts[_slot(s)]))[:probe]]
-                tokens.append(token)
-                index.append(np.arange(len(token)) < n - ceil(2 * percent * n, 100 + percent) + 1)
-                rows.append(np.full(len(token), i))
-            rows = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
-            join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-            yield pa.RecordBatch.from_arrays([pa.array(join(tokens, np.int64)), pa.array(join(index, bool)), *(batch[c].take(rows) for c in ("rep", "n", "b0", "b1", "b2"))], ["token", "index", "rep", "n", "b0", "b1", "b2"])
+                tokens.append(s[np.lexsort((s, counts[_slot(s)]))[:probe]])
+                index.append(np.arange(len(tokens[-1])) < n - ceil(2 * percent * n, 100 + percent) + 1)
+                rows.append(np.full(len(tokens[-1]), i))
+                odd = np.bincount((s.view(np.uint64) >> np.uint64(40)).astype(np.int64) % PARITY, minlength=PARITY) & 1
+                parity[i] = np.packbits(odd.astype(np.uint8)).view(np.int64)
+            rows = np.concatenate(rows)
+            kept = (batch[c].take(pa.array(rows)) for c in ("rep", "n", *_BITS))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(index)), *kept, *(pa.array(c) for c in parity[rows].T)], ["token", "index", "rep", "n", *_BITS, *_PARITY])
 
     return run
 
@@ -257,8 +264,12 @@ def _open_sets(crowd: DataFrame, groups: DataFrame) -> DataFrame:
     return spread_join(placed, runs, ["tree", "prefix"], hot_degree(placed.count())).select("rep").distinct()
 
 
-def _pairs_of_groups(tokens: DataFrame, groups: DataFrame, percent: int, likeliest: bool) -> DataFrame:
-    """Pairs (a, b) of sets in different groups that share a token as prefix filtering asks, and enough of their signatures; of each set the likeliest, or all.
+def _differing(columns: list[str]) -> Column:
+    return sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_y"))) for c in columns[1:]), F.bit_count(F.col(columns[0]).bitwiseXOR(F.col(f"{columns[0]}_y"))))
+
+
+def _pairs_of_groups(tokens: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets in different groups that share a token as prefix filtering asks and pass the bounds of their bitmaps and signatures.
 
     A token of f sets is split in f / BLOCK blocks of probing sets, each of which meets all of its indexed ones, so that no task holds its pairs.
     """
@@ -269,17 +280,11 @@ def _pairs_of_groups(tokens: DataFrame, groups: DataFrame, percent: int, likelie
     met = materialise(spread_join(placed, shared, ["token"], hot_degree(placed.count())).drop("degree"))
     x = met.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("blocks", "index")
     y = met.where("index").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks", "index")
-    y = y.select("token", "block", *(F.col(c).alias(f"{c}_y") for c in ("rep", "n", "g", "b0", "b1", "b2")))
-    other = sum((F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"b{i}_y"))) for i in range(3)), F.lit(0))
-    agree = _VALUES - other
+    y = y.select("token", "block", *(F.col(c).alias(f"{c}_y") for c in ("rep", "n", "g", *_BITS, *_PARITY)))
     smaller = (F.col("n_y") < F.col("n")) | ((F.col("n_y") == F.col("n")) & (F.col("rep_y") < F.col("rep")))
-    near = (F.col("g") != F.col("g_y")) & smaller & (100 * F.col("n_y") >= percent * F.col("n")) & (agree >= MIN_AGREE)
-    found = x.join(y, ["token", "block"]).where(near).select(F.least("rep", "rep_y").alias("a"), F.greatest("rep", "rep_y").alias("b"), agree.alias("agree"))
-    if not likeliest:
-        return found.select("a", "b").distinct()
-    ends = found.select(F.explode(F.array(F.struct(F.col("a").alias("rep"), F.struct("agree", F.col("b").alias("o")).alias("best")), F.struct(F.col("b").alias("rep"), F.struct("agree", F.col("a").alias("o")).alias("best")))).alias("e"))
-    best = ends.groupBy("e.rep").agg(F.max("e.best").alias("best"))
-    return best.select(F.least("rep", "best.o").alias("a"), F.greatest("rep", "best.o").alias("b")).distinct()
+    both, apart = F.col("n") + F.col("n_y"), _differing(_PARITY)
+    near = (F.col("g") != F.col("g_y")) & smaller & (100 * F.col("n_y") >= percent * F.col("n")) & (100 * (both - apart) >= percent * (both + apart)) & (_differing(_BITS) <= _VALUES - MIN_AGREE)
+    return x.join(y, ["token", "block"]).where(near).select(F.least("rep", "rep_y").alias("a"), F.greatest("rep", "rep_y").alias("b")).distinct()
 
 
 def _edges(groups: DataFrame) -> DataFrame:
@@ -294,18 +299,15 @@ def close_crowds(docs: DataFrame, sets: DataFrame, crowd: DataFrame, groups: Dat
     shingles = docs.join(open_.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(shingle_words), "doc_id long, shingles array<long>").distinct()
     word = lambda i: F.conv(F.hex(F.substring("bits", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"b{i}")
     shingles = materialise(shingles)
-    whole = sets.select("rep", "n", *map(word, range(3))).join(shingles.withColumnRenamed("doc_id", "rep"), "rep").where(F.size("shingles") == F.col("n"))
+    whole = sets.select("rep", "n", *map(word, range(_VALUES // 64))).join(shingles.withColumnRenamed("doc_id", "rep"), "rep").where(F.size("shingles") == F.col("n"))
     whole = materialise(whole)
     slots = whole.mapInArrow(_slot_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
     counts = np.zeros(SLOTS, dtype=np.int64)
     counts[slots["slot"].to_numpy()] = slots["n"].to_numpy()
-    tokens = materialise(whole.mapInArrow(_prefixes(counts, percent), "token long, index boolean, rep long, n long, b0 long, b1 long, b2 long"))
-    for likeliest in (True, False):
-        pairs = materialise(_pairs_of_groups(tokens, groups, percent, likeliest))
-        if pairs.isEmpty():
-            break
-        groups = components(_edges(groups).union(_confirm(pairs, shingles, percent)))
-    return groups
+    longs = ", ".join(f"{c} long" for c in ("rep", "n", *_BITS, *_PARITY))
+    tokens = materialise(whole.mapInArrow(_prefixes(counts, percent), f"token long, index boolean, {longs}"))
+    pairs = materialise(_pairs_of_groups(tokens, groups, percent))
+    return groups if pairs.isEmpty() else components(_edges(groups).union(_confirm(pairs, shingles, percent)))
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
