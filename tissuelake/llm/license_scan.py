@@ -1,9 +1,12 @@
-"""License scan in DataFrame functions: TF-IDF cosine of lines to license templates, then inheritance from the nearest directory above.
-
-Inverse document frequencies of the templates' terms are counted over all files. A line can only reach the threshold if it has one of
-a template's weighty terms: without these, the rest of the template's vector is too short for it, whatever the line says. So a pattern of
-those terms finds the few lines worth scoring, exactly. Files that are mostly license lines (or are named like it) speak for their directory; other files without
-a license of their own take that of the nearest directory at or above theirs. Paths are joined directory by directory, not file by file.
+"""License scan in DataFrame functions: sparse TF-IDF cosine of headers and license files to templates, then inheritance from the nearest directory above.
+
+A file's pieces are its whole text, its paragraphs (between blank lines), its runs of comment lines and its single lines, so license files, wrapped
+headers and one-line notices are each met whole. A vector has (1 + ln count) * idf for each term; inverse document frequencies are counted over all
+files, and terms of no template count as unseen. A piece can only reach the threshold if it has enough of a template's terms, for even its heaviest
+ones make up only so much of its vector (Cauchy-Schwarz); so whole texts are tested for their distinct template terms first, pieces next, and only the few
+that pass become rows of terms, joined with the templates' terms and summed by piece. Files named like a license, or of which the whole text is one,
+speak for their directory; other files without a license of their own take that of the nearest directory at or above theirs. Paths are joined
+directory by directory, not file by file.
 """
 
 from __future__ import annotations
@@ -14,105 +17,100 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, bind, materialise, text_or_empty
-
-#: Notices by SPDX identifier.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD License.",
-    "CC-BY-4.0": "Licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0-only": "This work is licensed under the GNU General Public License, version 3.",
-    "LGPL-3.0-only": "This library is licensed under the GNU Lesser General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-}
+from .common import materialise, text_or_empty
+from .license_texts import TEMPLATES
+
 LEAST = 0.6
 LICENSE_NAMES = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
-LICENSE_SHARE = 0.2
 _SPLIT = "[^a-z0-9]+"
+#: Lines that begin with a comment mark.
+_COMMENTS = r"(?m)((?:^[ \t]*(?:#|//|/\*|\*|--|;|%|<!--|\"\"\")[^\n]*(?:\n|\z))+)"
+#: Weight of a term that all files have.
+_FLOOR = 0.1
 
 
-def _terms(text: str) -> list[str]:
+def terms_of(text: str) -> list[str]:
     return [t for t in re.split(_SPLIT, text.lower()) if t]
 
 
-def _terms_of(text: Column) -> Column:
+def _terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), _SPLIT), lambda t: t != "")
 
 
-def template_weights(idf: dict[str, float], templates: dict[str, str]) -> dict[str, dict[str, float]]:
-    """Unit TF-IDF vectors of the templates."""
-    out = {}
-    for name, text in templates.items():
-        terms = _terms(text)
-        vector = {t: terms.count(t) * idf[t] for t in set(terms)}
-        norm = math.sqrt(sum(v * v for v in vector.values()))
-        out[name] = {t: v / norm for t, v in sorted(vector.items())}
+def template_weights(idf: dict[str, float], templates: dict[str, list[str]]) -> list[tuple[str, dict[str, float]]]:
+    """Each template's identifier and unit vector."""
+    out = []
+    for name, texts in templates.items():
+        for text in texts:
+            terms = terms_of(text)
+            vector = {t: (1 + math.log(terms.count(t))) * idf[t] for t in set(terms)}
+            norm = math.sqrt(sum(v * v for v in vector.values()))
+            out.append((name, {t: v / norm for t, v in sorted(vector.items())}))
     return out
 
 
-def anchors(weights: dict[str, dict[str, float]], least: float = LEAST) -> list[str]:
-    """Terms of which a line must have one to reach `least` with any template: the others' part of each template is shorter than that."""
-    found: set[str] = set()
-    for vector in weights.values():
-        light = 0.0
-        for term, w in sorted(vector.items(), key=lambda x: x[1]):
-            light += w * w
-            if light >= least * least:
-                found.add(term)
-    return sorted(found)
-
-
-def _table(values: dict[str, float]) -> Column:
-    return F.create_map(*(F.lit(x) for pair in sorted(values.items()) for x in pair))
-
-
-def _dot(terms: Column, table: Column) -> Column:
-    return F.aggregate(terms, F.lit(0.0), lambda a, t: a + F.coalesce(F.try_element_at(table, t), F.lit(0.0)))
-
-
-def _best(line: Column, idf: dict[str, float], weights: dict[str, dict[str, float]], unseen: float) -> Column:
-    """struct(score, license) of the template nearest to a line by cosine; ties go to the last identifier."""
+def fewest_terms(vector: dict[str, float], least: float = LEAST) -> int:
+    """The number of a template's terms without which no text reaches `least`: its heaviest ones are not enough before."""
+    total, n = 0.0, 0
+    for w in sorted((w * w for w in vector.values()), reverse=True):
+        if total >= least * least - 1e-9:
+            break
+        total, n = total + w, n + 1
+    return n
 
-    def of_terms(terms: Column) -> Column:
-        squares = F.transform(F.array_distinct(terms), lambda t: F.pow(F.size(F.filter(terms, lambda x: x == t)) * F.coalesce(F.try_element_at(_table(idf), t), F.lit(unseen)), 2))
-        norm = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda a, x: a + x))
-        dots = [_dot(terms, _table({t: w * idf[t] for t, w in vector.items()})) for vector in weights.values()]
-        return F.array_max(F.array(*(F.struct(F.try_divide(d, norm).alias("score"), F.lit(name).alias("license")) for name, d in zip(weights, dots, strict=True))))
 
-    return bind(_terms_of(line), of_terms)
+def _may_match(met: Column, weights: list[tuple[str, dict[str, float]]], least: float) -> Column:
+    tests = [F.size(F.array_intersect(met, F.array(*map(F.lit, v)))) >= fewest_terms(v, least) for _, v in weights]
+    any_ = tests[0]
+    for test in tests[1:]:
+        any_ = any_ | test
+    return any_
 
 
-def scan(files: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
+def scan(files: DataFrame, templates: dict[str, list[str]] | None = None, least: float = LEAST) -> DataFrame:
     """Licenses of files (path, text).
 
-    Returns a row for each path: path, license, score (cosine of the best line), inherited_from (the directory that gave the license; null if it is the file's own).
-    license is null where neither the file nor a directory above has one. Null texts have no lines; null paths are scanned but inherit
-    nothing; rows of one path count as one file. Other columns are ignored. An empty table gives an empty one.
+    Returns a row for each row: path, license, score (cosine of the nearest piece if it reaches `least`), inherited_from (the directory that gave the
+    license; null if it is the file's own). license is null where neither the file nor a directory above has one. Rows of one path count as one
+    file. Rows without path are files of their own, scanned but without inheritance. Null texts have no pieces; ties go to the last identifier;
+    other columns are ignored. An empty table gives an empty one.
     """
     templates = templates or TEMPLATES
-    files = files.select("path", text_or_empty().alias("text"))
-    terms = sorted({t for text in templates.values() for t in _terms(text)})
-    met = F.array_intersect(_terms_of(F.col("text")), F.array(*map(F.lit, terms)))
-    counted = files.select(F.explode(F.concat(F.array(F.lit("")), met)).alias("term")).groupBy("term").count()  # a row a template term
-    df = {r["term"]: r["count"] for r in counted.toLocalIterator()}
+    key = F.coalesce(F.concat(F.lit("p"), "path"), F.concat(F.lit("t"), F.md5(text_or_empty())))  # equal texts without path share their result
+    files = files.select("path", text_or_empty().alias("text"), key.alias("key"))
+    terms = sorted({t for texts in templates.values() for text in texts for t in terms_of(text)})
+    vocabulary = F.array(*map(F.lit, terms))
+    counted = files.select(F.explode(F.concat(F.array(F.lit("")), F.array_intersect(_terms(F.col("text")), vocabulary))).alias("term")).groupBy("term").count()
+    df = {r["term"]: r["count"] for r in counted.toLocalIterator()}  # a row a template term
     n = df.get("", 0)
-    idf = {t: math.log((1 + n) / (1 + df.get(t, 0))) + 1 for t in terms}
+    idf = {t: math.log((1 + n) / (1 + df.get(t, 0))) + _FLOOR for t in terms}
     weights = template_weights(idf, templates)
-    needed = r"(?i)(^|[^a-z0-9])(" + "|".join(anchors(weights, least)) + r")([^a-z0-9]|$)"
-    lines = F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    split = files.select("path", F.size(lines).alias("n_lines"), F.filter(lines, lambda x: x.rlike(needed)).alias("lines"))
-    scored = split.withColumn("line", F.explode_outer("lines")).withColumn("best", _best(F.col("line"), idf, weights, math.log(1 + n) + 1))
-    good = F.col("best.score") >= least
-    share = F.try_divide(F.count_if(good), F.max("n_lines"))
-    own = scored.groupBy("path").agg(F.max(F.when(good, F.col("best"))).alias("best"), F.coalesce(share, F.lit(0.0)).alias("share"))
-    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
-    own = materialise(own.select("path", "best.license", "best.score", folder.alias("folder"), (F.col("path").rlike(LICENSE_NAMES) | (F.col("share") >= LICENSE_SHARE)).alias("speaks")))
-    speakers = own.where("speaks and license is not null").groupBy("folder").agg(F.max_by("license", F.struct("score", "path")).alias("folder_license"))
+    spark = files.sparkSession
+    idfs = F.broadcast(spark.createDataFrame(list(idf.items()), "term string, idf double"))
+    vectors = F.broadcast(spark.createDataFrame([(name, i, t, w) for i, (name, v) in enumerate(weights) for t, w in v.items()], "license string, template int, term string, weight double"))
+
+    passing = files.where(_may_match(F.array_intersect(_terms(F.col("text")), vocabulary), weights, least))
+    blocks = F.concat(F.split("text", r"\n[ \t\r]*\n"), F.regexp_extract_all("text", F.lit(_COMMENTS), 1), F.split("text", "\n"))
+    piece = F.explode(F.array_distinct(F.concat(F.array(F.col("text")), blocks))).alias("piece")
+    pieces = passing.select("key", "text", piece).withColumn("terms", _terms(F.col("piece")))
+    pieces = pieces.where(_may_match(F.array_intersect("terms", vocabulary), weights, least))
+    pieces = pieces.select("key", F.md5("piece").alias("part"), (F.col("piece") == F.col("text")).alias("whole"), "terms").dropDuplicates(["key", "part"])
+    rows = pieces.select("key", "part", "whole", F.explode("terms").alias("term")).groupBy("key", "part", "whole", "term").agg(F.count("*").alias("c"))
+    weighed = materialise(rows.join(idfs, "term", "left").select("key", "part", "whole", "term", ((1 + F.log("c")) * F.coalesce("idf", F.lit(math.log(1 + n) + _FLOOR))).alias("w")))
+    norms = weighed.groupBy("key", "part").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = weighed.join(vectors, "term").groupBy("key", "part", "whole", "license", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    scores = dots.join(norms, ["key", "part"]).withColumn("score", F.col("dot") / F.col("norm")).where(F.col("score") >= least)
+    best = scores.groupBy("key").agg(F.max(F.struct(F.round("score", 9).alias("score"), "license")).alias("best"), F.max("whole").alias("is_text"))
+    best = materialise(best.select("key", "best.license", "best.score", "is_text"))
+
+    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder")
+    own = files.select("path", "key", folder).join(best, "key", "left")
+    speaks = F.col("license").isNotNull() & F.col("path").isNotNull() & (F.col("is_text") | F.col("path").rlike(LICENSE_NAMES))
+    speakers = own.where(speaks).groupBy("folder").agg(F.max_by("license", F.struct("score", "path")).alias("folder_license"))
     parts = F.split("folder", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    steps = own.select("folder").where("folder is not null").distinct().select("folder", F.posexplode(above).alias("depth", "ancestor"))
+    above = F.when(F.col("folder") == "", F.array(F.lit(""))).otherwise(F.concat(F.array(F.lit("")), above))
+    steps = own.where("license is null and folder is not null").select("folder").distinct().select("folder", F.posexplode(above).alias("depth", "ancestor"))
     near = steps.join(speakers.withColumnRenamed("folder", "ancestor"), "ancestor").groupBy("folder").agg(F.max_by(F.struct("ancestor", "folder_license"), "depth").alias("near"))
     joined = own.join(near, "folder", "left")
     inherits = F.col("license").isNull() & F.col("near").isNotNull()

@@ -101,15 +101,18 @@ def plan(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, m
 def mix(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, most: int = 3) -> DataFrame:
     """docs as the mix takes them: a row for each copy, under the same columns and doc_id; a copy taken in part has its first words, joined by single spaces.
 
-    Documents without words carry nothing into the mix and go. n_chars, if there, is counted anew.
+    Documents without words carry nothing into the mix and go. Rows with the same doc_id and text share what the mix takes of them, to a word evenly.
+    n_chars, if there, is counted anew. An empty table gives an empty one.
     """
-    chosen = plan(docs, seed, weights, most).where("taken > 0").groupBy("doc_id", "print").agg(F.first("repeats").alias("repeats"), F.first("extra").alias("extra"), F.first("size").alias("size"))
-    chosen = chosen.select(F.col("doc_id").alias("_d"), F.col("print").alias("_p"), F.col("repeats").alias("_r"), F.col("extra").alias("_x"), F.col("size").alias("_s"))
-    joined = docs.join(chosen, docs.doc_id.eqNullSafe(chosen._d) & (F.xxhash64(text_or_empty()) == chosen._p))
-    copies = joined.withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_r") + F.when(F.col("_x") > 0, 1).otherwise(0))))
-    part = (F.col("_c") > F.col("_r")) & (F.col("_x") < F.col("_s"))
-    text = F.when(part, F.array_join(F.slice(words_of(F.col("text")), F.lit(1), F.col("_x").cast("int")), " ")).otherwise(F.col("text"))
-    out = copies.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    chosen = plan(docs, seed, weights, most).where("size > 0").groupBy("doc_id", "print").agg(F.sum("taken").alias("all"), F.count("*").alias("n"), F.max("size").alias("size"))
+    chosen = chosen.select(F.col("doc_id").alias("of"), F.col("print").alias("of_print"), "all", "n", "size")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text_or_empty()).alias("print"))
+    joined = rows.join(chosen, F.col("id").eqNullSafe(F.col("of")) & (F.col("print") == F.col("of_print")))
+    place = F.when(F.col("n") > 1, F.row_number().over(W.partitionBy("id", "print").orderBy("all"))).otherwise(1)
+    share = joined.withColumn("place", place).withColumn("share", F.floor(F.col("all") / F.col("n")) + (F.col("place") <= F.col("all") % F.col("n")).cast("long")).where("share > 0")
+    left = F.col("share") - (F.col("copy") - 1) * F.col("size")
+    copies = share.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("share") / F.col("size")))))
+    text = F.when(left < F.col("size"), F.array_join(F.slice(words_of(F.col("row.text")), F.lit(1), left.cast("int")), " ")).otherwise(F.col("row.text"))
+    new = copies.withColumn("new", text)
+    changed = {"text": F.col("new").alias("text"), "n_chars": F.length("new").cast("long").alias("n_chars")}
+    return new.select(*(changed.get(c, F.col(f"row.`{c}`").alias(c)) for c in docs.columns))

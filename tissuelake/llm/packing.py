@@ -9,6 +9,7 @@ length are dealt by a salt, so that a length which a third of all pieces share i
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from pathlib import PurePath
@@ -30,20 +31,31 @@ class ChunkEncoder:
     """Token ids of whole texts by the model of a byte-level BPE tokenizer, remembering the ids of recurring chunks.
 
     A space after a character that is no white space always starts a pre-token, so texts are cut there and chunks encoded apart.
-    A chunk that ends in white space would hide such a run of spaces; texts with one are encoded whole.
+    A chunk that ends in white space would hide such a run of spaces; texts with one, or with one of the tokenizer's own tokens as a string,
+    are encoded whole by the tokenizer itself, as are all texts if it splits them in another way than the one assumed here.
     """
 
+    #: The public pattern by which byte-level BPE splits texts, and its order of bytes that stand for themselves.
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    PRINTABLE = (*range(33, 127), *range(161, 173), *range(174, 256))
+
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        others = [b for b in range(256) if b not in printable]
-        self.bytes_to_text = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
-        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+        self.bytes_to_text = {b: chr(b) for b in self.PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in self.PRINTABLE)}
+        self.pieces = regex.compile(self.SPLIT)
+        own = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.own = regex.compile("|".join(map(regex.escape, own))) if own else None
         self.known: dict[str, bytes | None] = {}
+        parts = json.loads(self.whole.to_str())
+        pre = parts["pre_tokenizer"] or {}
+        self.plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not parts["normalizer"]
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _ids(self, text: str) -> bytes:
         ids = []
@@ -55,14 +67,19 @@ class ChunkEncoder:
         """The ids of a text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
+        if not self.plain or self.own is not None and self.own.search(text):
+            return self._whole(text)
         first, *rest = text.split(" ")
-        known = self.known
         try:
-            return self._ids(first) * bool(first) + b"".join([known[x] if x in known else self._learn(x) for x in rest])
-        except TypeError:  # a chunk that cannot stand alone
-            return self._ids(text)
+            ids = list(map(self.known.__getitem__, rest))
+        except KeyError:
+            ids = [self.known[x] if x in self.known else self._learn(x) for x in rest]
+        if None in ids:
+            return self._whole(text)
+        return self._ids(first) * bool(first) + b"".join(ids)
 
     def _learn(self, chunk: str) -> bytes | None:
+        """The ids of a chunk with the space before it; None if it cannot stand alone."""
         if len(self.known) >= CACHE_ENTRIES:
             self.known.clear()
         self.known[chunk] = out = None if not chunk or chunk[-1].isspace() else self._ids(" " + chunk)
@@ -164,7 +181,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
 
     docs needs doc_id and text; other columns are ignored. Returns a row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset;
     sequences have no gap from 0 on. Null and empty texts are one end token. Repeated rows are packed each for itself; which of them comes first
-    is open, as they are equal. Special-token strings in a text are ordinary text. A null doc_id is passed through. An empty table gives an empty one.
+    is open, as they are equal. Strings that are tokens of the tokenizer's own in a text are these tokens, as it has them. A null doc_id is passed through. An empty table gives an empty one.
     """
     cut = materialise(pieces(docs, tokenizer or tokenizer_path(), capacity))
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().toLocalIterator()}  # capacity rows at most

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import pairwise
 from os.path import commonprefix
 
 import numpy as np
@@ -16,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import byte_slices
+
 #: Pre-tokens that a worker may remember before it forgets all.
 CACHE_WORDS = 400_000
 SPACE = "▁"
@@ -85,8 +88,10 @@ def count_tokens(docs: DataFrame, pieces: dict[str, float]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(shared.value)
         for batch in batches:
-            rows = counter.counts([t or b"" for t in batch["text"].cast(pa.binary()).to_pylist()])
-            table = np.array(rows, dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(table[:, 1]), pa.array(table[:, 0])], ["doc_id", "n_words", "n_tokens"])
+            for at, data, offsets in byte_slices(batch["text"]):
+                raw = data.tobytes()
+                table = np.array(counter.counts([raw[lo:hi] for lo, hi in pairwise(offsets.tolist())]), dtype=np.int64).reshape(-1, 2)
+                ids = batch["doc_id"].slice(at, len(table)).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([ids, pa.array(table[:, 1]), pa.array(table[:, 0])], ["doc_id", "n_words", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, n_tokens long")
