@@ -55,7 +55,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Null ends and self-links are ignored; an empty table gives an empty one. Rounds end when each node has one root and no root has one itself.
     Every round is written to the shared folder, so a lost executor costs one round at most. A hub is never gathered: minima are aggregated
-    before they are shuffled, and where there is a hub, spread_join joins it.
+    before they are shuffled, and in joins the rows of hubs, HUBS nodes at most, are dealt by a salt.
     """
     stars = materialise(links.where("a <> b").mapInArrow(_local_forest, "u long, v long").distinct())
     while True:
@@ -66,9 +66,18 @@ def components(links: DataFrame) -> DataFrame:
         if state["roots"] <= 1 and not state["both"]:
             return stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
         limit = hot_degree(state["total"])
-        joined = (lambda rows, sides: spread_join(rows, sides, ["u"], limit)) if state["degree"] > limit else (lambda rows, sides: rows.join(sides, "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("degree"))
+        hubs = [r["u"] for r in nodes.where(F.col("degree") > limit).select("u").toLocalIterator()] if state["degree"] > limit else []  # HUBS at most
+        is_hub, salts = F.col("u").isin(hubs), -(-state["degree"] // limit)
+
+        def joined(rows: DataFrame, sides: DataFrame) -> DataFrame:
+            if not hubs:
+                return rows.join(sides, "u")
+            salted = rows.withColumn("salt", F.when(is_hub, F.pmod(F.xxhash64("v"), F.lit(salts))).otherwise(0).cast("int"))
+            every = F.when(is_hub, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+            return salted.join(sides.withColumn("salt", F.explode(every)), ["u", "salt"])
+
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = joined(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        first = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+        first = large.groupBy("u").agg(F.min("v").alias("m"))
         small = joined(large, first).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(first.select("u", F.col("m").alias("v")))
         stars = materialise(small.distinct())

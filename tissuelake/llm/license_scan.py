@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,22 +51,30 @@ def template_weights(idf: dict[str, float], templates: dict[str, list[str]]) ->
     return out
 
 
-def fewest_terms(vector: dict[str, float], least: float = LEAST) -> int:
-    """The number of a template's terms without which no text reaches `least`: its heaviest ones are not enough before."""
-    total, n = 0.0, 0
-    for w in sorted((w * w for w in vector.values()), reverse=True):
+def needed_terms(vector: dict[str, float], least: float = LEAST) -> tuple[list[str], int]:
+    """A template's heavy terms, and the number of them without which no text reaches `least`.
+
+    The light ones make up less than half of what is needed; even the heaviest of the others have to bring the rest.
+    """
+    light, heavy = 0.0, []
+    for term, w in sorted(vector.items(), key=lambda x: x[1]):
+        if heavy or light + w * w >= least * least / 2:
+            heavy.append((w * w, term))
+        else:
+            light += w * w
+    total, n = light, 0
+    for square, _ in sorted(heavy, reverse=True):
         if total >= least * least - 1e-9:
             break
-        total, n = total + w, n + 1
-    return n
+        total, n = total + square, n + 1
+    return sorted(t for _, t in heavy), n
 
 
 def _may_match(met: Column, weights: list[tuple[str, dict[str, float]]], least: float) -> Column:
-    tests = [F.size(F.array_intersect(met, F.array(*map(F.lit, v)))) >= fewest_terms(v, least) for _, v in weights]
-    any_ = tests[0]
-    for test in tests[1:]:
-        any_ = any_ | test
-    return any_
+    """Whether a text with these distinct terms can reach `least` with a template. Templates with the same needs are one test."""
+    needs = {(tuple(terms), n) for terms, n in (needed_terms(v, least) for _, v in weights)}
+    tests = [F.size(F.array_intersect(met, F.array(*map(F.lit, terms)))) >= n for terms, n in sorted(needs)]
+    return reduce(or_, tests)
 
 
 def scan(files: DataFrame, templates: dict[str, list[str]] | None = None, least: float = LEAST) -> DataFrame:
