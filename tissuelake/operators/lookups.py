@@ -63,8 +63,8 @@ def link_candidates(tracks: DataFrame, radius: float) -> DataFrame:
 
 
 def clear_frames(rows: DataFrame, frames: DataFrame) -> DataFrame:
-    """Without the rows of frames(frame)."""
-    return rows.join(frames, "frame", "left_anti")
+    """Without the rows of frames(stack_id, frame)."""
+    return rows.join(frames, FRAME, "left_anti")
 
 
 def expand_ranges(specs: DataFrame, spec: str, name: str = "index") -> DataFrame:
@@ -117,3 +117,44 @@ def steepest_descent(voxels: DataFrame) -> DataFrame:
 def counts(tracks: DataFrame) -> DataFrame:
     """Number of tracks and of cells of each stack."""
     return tracks.groupBy("stack_id").agg(F.count_distinct("particle").alias("n_particles"), F.count("*").alias("n_cells"))
+
+
+def rows_at(tracks: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The tracking rows of wanted(stack_id, keys): by frame and cell, or frame and particle."""
+    return tracks.join(wanted.select("stack_id", *keys).distinct(), ["stack_id", *keys], "left_semi")
+
+
+def set_stage(tracks: DataFrame, edits: DataFrame) -> DataFrame:
+    """Stages set by hand, edits(stack_id, particle, frame, stage): each holds for its track from its frame on, until the next one."""
+    by_time = W.partitionBy(*TRACK).orderBy("frame")
+    spans = edits.select(*TRACK, F.col("frame").alias("_from"), F.lead("frame").over(by_time).alias("_to"), F.col("stage").alias("_stage"))
+    held = (F.col("frame") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("frame") < F.col("_to")))
+    hits = tracks.select(*TRACK, "frame").join(spans, TRACK).where(held).select(*TRACK, "frame", "_stage")
+    return tracks.join(hits, [*TRACK, "frame"], "left").withColumn("cycle_stage", F.coalesce("_stage", "cycle_stage")).drop("_stage")
+
+
+def reorder_channels(pixels: DataFrame, order: list[str]) -> DataFrame:
+    """Channels ch0, ch1, ... anew, each from the column that `order` names."""
+    return pixels.withColumns({f"ch{i}": F.col(c) for i, c in enumerate(order)})
+
+
+def labels_at(points: DataFrame, pixels: DataFrame) -> DataFrame:
+    """points(stack_id, frame, y, x, ...) with the label there; null outside of the image."""
+    return points.join(pixels.select(*FRAME, "y", "x", "label"), [*FRAME, "y", "x"], "left")
+
+
+def untracked(cells_: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Cells (stack_id, frame, label) that no track has."""
+    return cells_.select(*CELL).distinct().join(tracks.select(*FRAME, (F.col("cell_number") + 1).alias("label")), CELL, "left_anti")
+
+
+def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row for each key: the first in order."""
+    first = F.min_by(F.struct(*(c for c in rows.columns if c not in keys)), F.struct(*order)).alias("_r")
+    return rows.groupBy(*keys).agg(first).select(*keys, "_r.*")
+
+
+def division_frames(tracks: DataFrame) -> DataFrame:
+    """Frames in which a track begins and before which one ends."""
+    life = lifetimes(tracks)
+    return life.select("stack_id", F.col("birth").alias("frame")).intersect(life.select("stack_id", (F.col("death") + 1).alias("frame")))

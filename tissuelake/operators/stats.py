@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from .spatial import grid_join
+from .zonal import FRAME
 
 
 def boxes(rows: DataFrame, groups: list[str], value: str) -> DataFrame:
@@ -27,6 +31,12 @@ def histogram(rows: DataFrame, value: str) -> DataFrame:
     return counts.select("bin", "count", (F.col("low") + F.col("bin") * F.col("width")).alias("start"), (F.col("count") / (F.col("n") * F.col("width"))).alias("density"))
 
 
+def _with_group(rows: DataFrame, whole: DataFrame, groups: list[str]) -> DataFrame:
+    """rows with the columns of their group, a row of whole; null is a group like any other."""
+    named = whole.withColumnsRenamed({g: f"_{g}" for g in groups})
+    return rows.join(named, [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups]).drop(*(f"_{g}" for g in groups))
+
+
 def weighted_histogram(rows: DataFrame, groups: list[str], value: str, bins: int, low: float, high: float) -> DataFrame:
     """Share of a group's values in each bin of a fixed range, the last bin closed, and whether the median is there. Values outside count in the total."""
     width = (high - low) / bins
@@ -34,16 +44,17 @@ def weighted_histogram(rows: DataFrame, groups: list[str], value: str, bins: int
     v = F.col(value)
     whole = rows.groupBy(*groups).agg(F.count(v).alias("n"), F.percentile(v, F.lit(0.5)).alias("median"))
     counts = rows.where((v >= low) & (v <= high)).groupBy(*groups, place(v).alias("bin")).agg(F.count("*").alias("count"))
-    return counts.join(whole, groups).select(*groups, "bin", (F.col("count") / F.col("n")).alias("share"), (place(F.col("median")) == F.col("bin")).alias("has_median"))
+    return _with_group(counts, whole, groups).select(*groups, "bin", (F.col("count") / F.col("n")).alias("share"), (place(F.col("median")) == F.col("bin")).alias("has_median"))
 
 
 def kernel_density(rows: DataFrame, groups: list[str], value: str, bins: int, low: float, high: float) -> DataFrame:
     """Gaussian density of each group's values at `bins` points of a fixed range, bandwidth std * n ** (-1/5). Equal values are counted first."""
-    v = rows.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*groups, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    rows = rows.where(F.col(value).isNotNull() & ~F.isnan(value))
+    v = rows.groupBy(*groups, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
     whole = rows.groupBy(*groups).agg(F.count(value).alias("n"), F.stddev_samp(value).alias("s")).select(*groups, "n", (F.col("s") * F.pow("n", F.lit(-0.2))).alias("h"))
     point = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.struct(i.alias("i"), (low + i * ((high - low) / (bins - 1))).alias("at")))).alias("p")
     z = (F.col("p.at") - F.col("v")) / F.col("h")
-    spread = v.join(whole, groups).select("*", point).groupBy(*groups, F.col("p.i").alias("i"), F.col("p.at").alias("at"))
+    spread = _with_group(v, whole, groups).select("*", point).groupBy(*groups, F.col("p.i").alias("i"), F.col("p.at").alias("at"))
     return spread.agg((F.sum(F.col("c") * F.exp(-z * z / 2)) / F.first("n") / F.first("h") / F.sqrt(2 * F.pi())).alias("density"))
 
 
@@ -54,3 +65,40 @@ def tiles(stage: DataFrame, spacing: float) -> DataFrame:
     )
     count = lambda lo, hi: F.greatest(F.lit(0), F.ceil((F.col(hi) - F.col(lo)) / spacing) - 1).cast("long")
     return box.withColumn("nx", count("x0", "x1")).withColumn("ny", count("y0", "y1"))
+
+
+def range_parameters(rows: DataFrame, value: str) -> DataFrame:
+    """Least, greatest and step of a column for a slider: the step is the smallest gap between different values; a constant is widened by 0.5 to both sides.
+
+    Distinct values are put in buckets of 1,024th parts of the range; gaps are taken within buckets, and between their ends in a table of that size.
+    """
+    v = rows.where(F.col(value).isNotNull() & ~F.isnan(value)).select(F.col(value).cast("double").alias("v")).distinct()
+    ends = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    placed = v.crossJoin(F.broadcast(ends)).withColumn("b", F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 1024)).otherwise(0))
+    inner = placed.withColumn("gap", F.col("v") - F.lag("v").over(W.partitionBy("b").orderBy("v")))
+    of_bucket = inner.groupBy("b").agg(F.min("gap").alias("gap"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    outer = of_bucket.withColumn("gap", F.least("gap", F.col("lo") - F.lag("hi").over(W.orderBy("b"))))
+    found = outer.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("gap").alias("step"))
+    flat = F.col("lo") == F.col("hi")
+    return found.select(F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"), "step")
+
+
+def autocorrelation(points: DataFrame, value: str, radius: float, bins: int) -> DataFrame:
+    """Spatial autocorrelation of a value over points(stack_id, frame, particle, x, y): for each bin of distances, the mean product of centred values by the mean variance, its standard error and n.
+
+    Values are centred in their frame. Pairs within the radius come from a grid join; the last bin is closed. Frames' means are a row a frame.
+    """
+    whole = points.groupBy(*FRAME).agg(F.avg(value).alias("_m"), F.var_pop(value).alias("_v"))
+    centred = points.join(whole, FRAME).withColumn("c", F.col(value) - F.col("_m"))
+    side = lambda s: centred.select(*FRAME, F.col("particle").alias(f"{s}p"), F.col("c").alias(f"{s}c"), F.col("x").alias(f"{s}x"), F.col("y").alias(f"{s}y"))
+    pairs = grid_join(side("l"), side("r"), FRAME, radius).where("lp < rp")
+    bin_ = F.least(F.floor(F.col("distance") / (radius / bins)), F.lit(bins - 1)).cast("long")
+    sums = pairs.groupBy("stack_id", bin_.alias("bin")).agg(F.count("*").alias("n"), F.avg(F.col("lc") * F.col("rc")).alias("mean"), F.stddev_pop(F.col("lc") * F.col("rc")).alias("dev"))
+    variance = whole.groupBy("stack_id").agg(F.avg("_v").alias("variance"))
+    both = sums.join(variance, "stack_id")
+    return both.select("stack_id", "bin", "n", F.try_divide("mean", "variance").alias("correlation"), F.try_divide(F.col("dev") / F.sqrt("n"), F.col("variance")).alias("error"))
+
+
+def characteristic_length(acf: DataFrame, width: float, threshold: float = 0.36787944117144233) -> DataFrame:
+    """The least distance (middle of a bin) at which the correlation is below the threshold, 1 / e."""
+    return acf.where(F.col("correlation") < threshold).groupBy("stack_id").agg(F.min((F.col("bin") + 0.5) * width).alias("length"))

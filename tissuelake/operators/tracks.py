@@ -82,22 +82,66 @@ def drop_frame(tracks: DataFrame, frame: int) -> DataFrame:
 
 
 def substack(tracks: DataFrame, frames: DataFrame) -> DataFrame:
-    """Frames listed in frames(frame, place), renumbered by place."""
-    return tracks.join(frames, "frame").withColumn("frame", F.col("place")).drop("place")
+    """Frames listed in frames(stack_id, frame, place), renumbered by place."""
+    return tracks.join(frames, ["stack_id", "frame"]).withColumn("frame", F.col("place")).drop("place")
 
 
 def delete_parts(tracks: DataFrame, edits: DataFrame) -> DataFrame:
-    """Without heads (to a frame) or tails (from a frame) of tracks, by edits(op, particle, frame) of delete_head and delete_tail."""
-    bounds = edits.groupBy("particle").agg(F.max(F.when(F.col("op") == "delete_head", F.col("frame"))).alias("head"), F.min(F.when(F.col("op") == "delete_tail", F.col("frame"))).alias("tail"))
-    joined = tracks.join(bounds, "particle", "left").where("(head is null or frame > head) and (tail is null or frame < tail)")
+    """Without heads (to a frame) or tails (from a frame) of tracks, by edits(stack_id, op, particle, frame) of delete_head and delete_tail."""
+    bounds = edits.groupBy(*TRACK).agg(F.max(F.when(F.col("op") == "delete_head", F.col("frame"))).alias("head"), F.min(F.when(F.col("op") == "delete_tail", F.col("frame"))).alias("tail"))
+    joined = tracks.join(bounds, TRACK, "left").where("(head is null or frame > head) and (tail is null or frame < tail)")
     return joined.drop("head", "tail")
 
 
 def split(tracks: DataFrame, edits: DataFrame) -> DataFrame:
-    """Split tracks at frames, by edits(particle, frame), one a track: the part from the frame on gets a new id, unless nothing comes before it."""
+    """Split tracks at frames, by edits(stack_id, particle, frame), one a track: the part from the frame on gets a new id, unless nothing comes before it."""
     top = tracks.groupBy("stack_id").agg(F.max("particle").alias("top"))
     begun = tracks.groupBy(*TRACK).agg(F.min("frame").alias("begin"))
-    cuts = edits.select("particle", F.col("frame").alias("at")).join(begun, "particle").where("begin < at")
+    cuts = edits.select(*TRACK, F.col("frame").alias("at")).join(begun, TRACK).where("begin < at")
     cuts = cuts.withColumn("k", F.row_number().over(W.partitionBy("stack_id").orderBy("particle"))).join(top, "stack_id").select(*TRACK, "at", (F.col("top") + F.col("k")).alias("new_id"))
     joined = tracks.join(cuts, TRACK, "left")
     return joined.withColumn("particle", F.when(F.col("frame") >= F.col("at"), F.col("new_id")).otherwise(F.col("particle"))).drop("at", "new_id")
+
+
+def add_drift(tracks: DataFrame, shift: DataFrame) -> DataFrame:
+    """Positions with their frame's drift added back; frames without one stay."""
+    joined = tracks.join(shift, ["stack_id", "frame"], "left")
+    return joined.withColumns({c: F.col(c) + F.coalesce(f"d{c}", F.lit(0.0)) for c in "xy"}).drop("dx", "dy")
+
+
+def merge(tracks: DataFrame, merges: DataFrame) -> DataFrame:
+    """Merge tracks by merges(stack_id, first, second, frame): from the frame on, `second` goes on as `first`, and what `first` had there becomes a new track.
+
+    A track is in one merge at most. What `second` had before the frame stays. Ids are contiguous after it.
+    """
+    top = tracks.groupBy("stack_id").agg(F.max("particle").alias("top"))
+    k = F.row_number().over(W.partitionBy("stack_id").orderBy("first"))
+    found = merges.withColumn("k", k).join(top, "stack_id").select("stack_id", "first", "second", F.col("frame").alias("at"), (F.col("top") + F.col("k")).alias("tail"))
+    moves = found.select("stack_id", F.col("first").alias("particle"), "at", F.col("tail").alias("to")).union(found.select("stack_id", "second", "at", "first"))
+    joined = tracks.join(moves, TRACK, "left").withColumn("particle", F.when(F.col("frame") >= F.col("at"), F.col("to")).otherwise(F.col("particle")))
+    return renumber(joined.drop("at", "to"))
+
+
+def reconcile(tracks: DataFrame, cells: DataFrame) -> DataFrame:
+    """Tracks of cells(stack_id, frame, label) alone: rows without a cell go, cells without a row become tracks of their own; ids are contiguous. Labels are cell numbers + 1.
+
+    New ids are numbered within frames and moved on by the frames' counts, so that no task sees all new cells.
+    """
+    key = ["stack_id", "frame", "cell_number"]
+    own = cells.select("stack_id", "frame", (F.col("label") - 1).alias("cell_number")).distinct()
+    kept = tracks.select(*TRACK, "frame", "cell_number").join(own, key, "left_semi")
+    missing = own.join(kept, key, "left_anti")
+    counts = missing.groupBy("stack_id", "frame").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("stack_id").orderBy("frame").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(W.partitionBy("stack_id", "frame").orderBy("cell_number"))
+    top = tracks.groupBy("stack_id").agg(F.max("particle").alias("top"))
+    new = missing.withColumn("place", place).join(counts.withColumn("before", before).drop("n"), ["stack_id", "frame"]).join(top, "stack_id", "left")
+    new = new.select("stack_id", (F.coalesce("top", F.lit(-1)) + F.col("before") + F.col("place")).alias("particle"), "frame", "cell_number")
+    return renumber(kept.unionByName(new))
+
+
+def shared_frames(tracks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """For pairs(stack_id, first, second): frames of `second`, and whether `first` is there too."""
+    second = pairs.join(tracks.select("stack_id", F.col("particle").alias("second"), "frame"), ["stack_id", "second"])
+    first = tracks.select("stack_id", F.col("particle").alias("first"), "frame", F.lit(True).alias("both")).distinct()
+    return second.join(first, ["stack_id", "first", "frame"], "left").withColumn("both", F.coalesce("both", F.lit(False)))

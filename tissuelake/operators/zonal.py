@@ -131,6 +131,6 @@ def rotate(pixels: DataFrame, height: int, width: int, turns: int) -> DataFrame:
 
 def match_nuclei(nuclei: DataFrame, pixels: DataFrame) -> DataFrame:
     """The cell under each nucleus's centre, rounded half to even; of several nuclei the first keeps the cell."""
-    at = nuclei.select("frame", "nuc", F.bround("cy").cast("int").alias("y"), F.bround("cx").cast("int").alias("x"))
-    hit = at.join(cells(pixels).select("frame", "y", "x", "label"), ["frame", "y", "x"])
-    return hit.groupBy("frame", "label").agg(F.min("nuc").alias("nuc"))
+    at = nuclei.select(*FRAME, "nuc", F.bround("cy").cast("int").alias("y"), F.bround("cx").cast("int").alias("x"))
+    hit = at.join(cells(pixels).select(*FRAME, "y", "x", "label"), [*FRAME, "y", "x"])
+    return hit.groupBy(*CELL).agg(F.min("nuc").alias("nuc"))

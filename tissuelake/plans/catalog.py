@@ -71,7 +71,7 @@ CATALOG: dict[str, tuple[Query, str]] = {
         oracle("pix", "SELECT frame, y, x, round(CASE WHEN hi > lo THEN least(1.0, greatest(0.0, (ch0 - lo) / (hi - lo))) ELSE 0.0 END, 6) AS value FROM pix JOIN (SELECT frame, quantile_cont(ch0, 0.01) AS lo, quantile_cont(ch0, 0.99) AS hi FROM pix GROUP BY frame) q USING (frame)"),
     ),
     "c03_nuclei_to_cells": (
-        _on2("nuc", "pixg", zonal.match_nuclei),
+        _on2("nuc", "pixg", lambda n, p: zonal.match_nuclei(n, p).drop("stack_id")),
         oracle("nuc pixg", "SELECT n.frame, p.label, min(n.nuc) AS nuc FROM nuc n JOIN pixg p ON p.frame = n.frame AND p.y = CAST(round_even(cy, 0) AS INT) AND p.x = CAST(round_even(cx, 0) AS INT) WHERE p.label <> 0 GROUP BY n.frame, p.label"),
     ),
     "c04_division_candidates": (
@@ -94,7 +94,7 @@ SELECT mother, daughter, frame, round(distance, 6) AS distance FROM found WHERE
     ),
     "d03_label_check": (_on("pixg", lambda p: zonal.label_check(p).drop("stack_id")), oracle("pixg", "SELECT frame, count(DISTINCT label) AS n_cells, count(DISTINCT label) = max(label) AS contiguous FROM pixg WHERE label <> 0 GROUP BY frame")),
     "d04_polygons": (
-        _on("poly", lambda v: _rounded(shape.polygons(v), "area", "perimeter", "circularity", "cx", "cy", "spherical_volume")),
+        _on("poly", lambda v: _rounded(shape.polygons(v).drop("stack_id"), "area", "perimeter", "circularity", "cx", "cy", "spherical_volume")),
         oracle(
             "poly",
             """, e AS (SELECT a.frame, a.label, a.px, a.py, b.px AS nx, b.py AS ny, a.px * b.py - b.px * a.py AS c FROM poly a JOIN poly b ON a.frame = b.frame AND a.label = b.label AND b.k = (a.k + 1) % 6),
@@ -225,7 +225,7 @@ SELECT CASE WHEN frame >= cut_at THEN new_id ELSE t.particle END AS particle, fr
         oracle("trk pixg", "SELECT particle, t.frame, coalesce(area, -1.0) AS area FROM trk t LEFT JOIN (SELECT frame, label - 1 AS cell_number, CAST(count(*) AS DOUBLE) AS area FROM pixg WHERE label <> 0 GROUP BY ALL) a USING (frame, cell_number)"),
     ),
     "b13_clear_frames": (
-        _on2("trk", "edit", lambda t, e: lookups.clear_frames(t, e.select("frame")).select("particle", "frame")),
+        _on2("trk", "edit", lambda t, e: lookups.clear_frames(t, e.select("stack_id", "frame")).select("particle", "frame")),
         oracle("trk edit", "SELECT particle, frame FROM trk WHERE frame NOT IN (SELECT frame FROM edit)"),
     ),
     "b22_highlights": (
@@ -273,7 +273,7 @@ SELECT frame, y, x, z, coalesce((lead(value) OVER w - lag(value) OVER w) / 2, le
         oracle("div", "SELECT particle, birth, death, n, birth <> 0 AS born, count(*) OVER (PARTITION BY birth) > 1 AS together FROM (SELECT particle, min(frame) AS birth, max(frame) AS death, count(*) AS n FROM div GROUP BY particle) t"),
     ),
     "b11_every_third_frame": (
-        _on("trk", lambda t: tracks.substack(t, t.where("frame % 3 = 0").select("frame", (F.col("frame") / 3).cast("int").alias("place")).distinct()).select("particle", "frame", "x")),
+        _on("trk", lambda t: tracks.substack(t, t.where("frame % 3 = 0").select("stack_id", "frame", (F.col("frame") / 3).cast("int").alias("place")).distinct()).select("particle", "frame", "x")),
         oracle("trk", "SELECT particle, frame // 3 AS frame, x FROM trk WHERE frame % 3 = 0"),
     ),
     "b27_combine_nuclear": (
@@ -298,19 +298,19 @@ AND (a.mother = b.mother OR a.daughter1 IN (b.daughter1, b.daughter2) OR a.daugh
         ),
     ),
     "d28_weighted_histogram": (
-        _on("li", lambda r: _rounded(stats.weighted_histogram(r, ["cond"], "volume", 30, 0.0, 60000.0), "share")),
+        _on("li", lambda r: _rounded(stats.weighted_histogram(r, ["cond"], "volume", 30, 0.0, 120000.0), "share")),
         oracle(
             "li",
-            """, b AS (SELECT cond, CAST(CASE WHEN volume = 60000 THEN 29 ELSE floor(volume / 2000) END AS BIGINT) AS bin, count(*) AS c FROM li WHERE volume BETWEEN 0 AND 60000 GROUP BY 1, 2),
-m AS (SELECT cond, count(volume) AS n, quantile_cont(volume, 0.5) AS med FROM li GROUP BY cond) SELECT cond, bin, round(c / n, 6) AS share, floor(med / 2000) = bin AS has_median FROM b JOIN m USING (cond)""",
+            """, b AS (SELECT cond, CAST(CASE WHEN volume = 120000 THEN 29 ELSE floor(volume / 4000) END AS BIGINT) AS bin, count(*) AS c FROM li WHERE volume BETWEEN 0 AND 120000 GROUP BY 1, 2),
+m AS (SELECT cond, count(volume) AS n, quantile_cont(volume, 0.5) AS med FROM li GROUP BY cond) SELECT cond, bin, round(c / n, 6) AS share, floor(med / 4000) = bin AS has_median FROM b JOIN m USING (cond)""",
         ),
     ),
     "d29_kernel_density": (
-        _on("li", lambda r: stats.kernel_density(r, ["cond"], "volume", 30, 0.0, 58000.0).select("cond", "i", F.round(F.col("density") * 1e4, 6).alias("density"))),
+        _on("li", lambda r: stats.kernel_density(r, ["cond"], "volume", 30, 0.0, 116000.0).select("cond", "i", F.round(F.col("density") * 1e4, 6).alias("density"))),
         oracle(
             "li",
             """, m AS (SELECT cond, count(*) AS n, stddev_samp(volume) * pow(count(*), -0.2) AS h FROM li GROUP BY cond)
-SELECT cond, i, round(1e4 * sum(exp(-pow((i * 2000.0::DOUBLE - volume) / h, 2) / 2)) / any_value(n) / any_value(h) / sqrt(2 * pi()), 6) AS density FROM li JOIN m USING (cond) CROSS JOIN (SELECT CAST(range AS INT) AS i FROM range(30)) g GROUP BY cond, i""",
+SELECT cond, i, round(1e4 * sum(exp(-pow((i * 4000.0::DOUBLE - volume) / h, 2) / 2)) / any_value(n) / any_value(h) / sqrt(2 * pi()), 6) AS density FROM li JOIN m USING (cond) CROSS JOIN (SELECT CAST(range AS INT) AS i FROM range(30)) g GROUP BY cond, i""",
         ),
     ),
     "e11_mother_g2": (
@@ -371,6 +371,85 @@ SELECT frame, y, x, label FROM pixg ANTI JOIN inside USING (frame, y, x) WHERE l
     ),
     "i05_pool": (_on("pix", lambda p: _rounded(zonal.pool(p, "ch0", 5).drop("stack_id"), "mean")), oracle("pix", "SELECT frame, y // 5 AS y, x // 5 AS x, round(avg(ch0), 6) AS mean FROM pix GROUP BY 1, 2, 3")),
     "i09_filled": (_on("pix", lambda p: zonal.filled(p).drop("stack_id")), oracle("vox", "SELECT frame, y, x, z FROM pix JOIN zs ON z < height")),
+    "b02_cell_of_particle": (
+        _on("trk", lambda t: lookups.unique_lookup(t, ["frame", "particle"], "cell_number").drop("stack_id")),
+        oracle("trk", "SELECT frame, particle, CASE WHEN count(DISTINCT cell_number) = 1 THEN min(cell_number) END AS cell_number, count(DISTINCT cell_number) AS n FROM trk GROUP BY frame, particle"),
+    ),
+    "b05_tracking_rows": (_on2("trk", "edit", lambda t, e: lookups.rows_at(t, e, ["frame", "particle"]).select("particle", "frame", "x")), oracle("trk edit", "SELECT particle, frame, x FROM trk SEMI JOIN edit USING (particle, frame)")),
+    "b09_set_stage": (
+        _on2("trk", "edit", lambda t, e: lookups.set_stage(t, e.withColumn("stage", F.col("frame") % 3 + 1)).select("particle", "frame", "cycle_stage")),
+        oracle("trk edit", "SELECT particle, t.frame, CASE WHEN t.frame >= e.frame THEN e.frame % 3 + 1 ELSE cycle_stage END AS cycle_stage FROM trk t LEFT JOIN edit e USING (particle)"),
+    ),
+    "b19_reorder_channels": (_on("pix", lambda p: lookups.reorder_channels(p, ["ch1", "ch0"]).select("frame", "y", "x", "ch0", "ch1")), oracle("pix", "SELECT frame, y, x, ch1 AS ch0, ch0 AS ch1 FROM pix")),
+    "b20_labels_at": (
+        _on2("trk", "pixg", lambda t, p: lookups.labels_at(t.select("stack_id", "particle", F.lit(0).alias("frame"), F.floor(F.col("y") / 10).cast("int").alias("y"), F.floor(F.col("x") / 8).cast("int").alias("x")), p).drop("stack_id")),
+        oracle("trk pixg", "SELECT particle, 0 AS frame, t.y, t.x, label FROM (SELECT particle, CAST(floor(y / 10) AS INT) AS y, CAST(floor(x / 8) AS INT) AS x FROM trk) t LEFT JOIN (SELECT y, x, label FROM pixg WHERE frame = 0) p ON p.y = t.y AND p.x = t.x"),
+    ),
+    "c01_reconcile": (
+        _on2("trk", "pixg", lambda t, p: tracks.reconcile(t, zonal.cells(p)).drop("stack_id")),
+        oracle(
+            "trk pixg",
+            """, own AS (SELECT DISTINCT frame, label - 1 AS cell_number FROM pixg WHERE label <> 0), kept AS (SELECT particle, frame, cell_number FROM trk SEMI JOIN own USING (frame, cell_number)),
+new AS (SELECT (SELECT max(particle) FROM trk) + row_number() OVER (ORDER BY frame, cell_number) AS particle, frame, cell_number FROM own ANTI JOIN kept USING (frame, cell_number))
+SELECT dense_rank() OVER (ORDER BY particle) - 1 AS particle, frame, cell_number FROM (SELECT * FROM kept UNION ALL SELECT * FROM new) u""",
+        ),
+    ),
+    "c02_drift_and_back": (_on("trk", lambda t: _rounded(tracks.add_drift(tracks.subtract_drift(t, tracks.drift(t)), tracks.drift(t)).select("particle", "frame", "x", "y"), "x", "y")), oracle("trk", "SELECT particle, frame, round(x, 6) AS x, round(y, 6) AS y FROM trk")),
+    "d09_vertex_axis": (
+        _on("poly", lambda v: _rounded(shape.vertex_axis(v).drop("stack_id"), "theta", "ratio")),
+        oracle(
+            "poly",
+            """, m AS (SELECT frame, label, var_pop(px) AS xx, round(covar_pop(px, py), 9) + 0.0 AS xy, var_pop(py) AS yy FROM poly GROUP BY frame, label), s AS (SELECT *, sqrt((xx - yy) / 2 * ((xx - yy) / 2) + xy * xy) AS d, (xx + yy) / 2 AS h FROM m)
+SELECT frame, label, round(atan2(2 * xy, round(xx - yy, 9) + 0.0) / 2, 6) AS theta, round(CASE WHEN h + d <> 0 THEN (h - d) / (h + d) END, 6) AS ratio FROM s""",
+        ),
+    ),
+    "d10_perimeter_axis": (
+        _on("poly", lambda v: _rounded(shape.perimeter_axis(v).drop("stack_id"), "theta", "ratio")),
+        oracle(
+            "poly",
+            """, e AS (SELECT a.frame, a.label, a.px, a.py, b.px AS nx, b.py AS ny, sqrt((b.px - a.px) * (b.px - a.px) + (b.py - a.py) * (b.py - a.py)) AS l FROM poly a JOIN poly b ON a.frame = b.frame AND a.label = b.label AND b.k = (a.k + 1) % 6),
+c AS (SELECT frame, label, sum((px + nx) / 2 * l) / sum(l) AS cx, sum((py + ny) / 2 * l) / sum(l) AS cy FROM e GROUP BY frame, label), z AS (SELECT e.frame, e.label, l, px - cx AS px, py - cy AS py, nx - cx AS nx, ny - cy AS ny FROM e JOIN c USING (frame, label)),
+m AS (SELECT frame, label, sum(l * (nx * nx + px * px + nx * px) / 3) AS xx, round(sum(l * ((nx * ny + px * py) / 3 + (nx * py + px * ny) / 6)), 9) + 0.0 AS xy, sum(l * (ny * ny + py * py + ny * py) / 3) AS yy FROM z GROUP BY frame, label),
+s AS (SELECT *, sqrt((xx - yy) / 2 * ((xx - yy) / 2) + xy * xy) AS d, (xx + yy) / 2 AS h FROM m) SELECT frame, label, round(atan2(2 * xy, round(xx - yy, 9) + 0.0) / 2, 6) AS theta, round(CASE WHEN h + d <> 0 THEN (h - d) / (h + d) END, 6) AS ratio FROM s""",
+        ),
+    ),
+    "d32_range_parameters": (
+        _on("li", lambda r: _rounded(stats.range_parameters(r, "volume"), "lo", "hi", "step")),
+        oracle("li", "SELECT round(min(v), 6) AS lo, round(max(v), 6) AS hi, round(min(g), 6) AS step FROM (SELECT volume AS v, volume - lag(volume) OVER (ORDER BY volume) AS g FROM (SELECT DISTINCT volume FROM li) d) t"),
+    ),
+    "d33_autocorrelation": (
+        _on("trk", lambda t: _rounded(stats.autocorrelation(t, "cycle_stage", 40.0, 10).drop("stack_id"), "correlation", "error")),
+        oracle(
+            "trk",
+            """, m AS (SELECT *, cycle_stage - avg(cycle_stage) OVER (PARTITION BY frame) AS c FROM trk), v AS (SELECT avg(vp) AS v FROM (SELECT var_pop(cycle_stage) AS vp FROM trk GROUP BY frame) t),
+p AS (SELECT a.c * b.c AS c, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM m a JOIN m b ON a.frame = b.frame AND a.particle < b.particle)
+SELECT CAST(least(floor(d / 4.0), 9) AS BIGINT) AS bin, count(*) AS n, round(avg(c) / any_value(v), 6) AS correlation, round(stddev_pop(c) / sqrt(count(*)) / any_value(v), 6) AS error FROM p CROSS JOIN v WHERE d <= 40 GROUP BY 1""",
+        ),
+    ),
+    "f02_sorted_vertices": (
+        _on("poly", lambda v: shape.sort_vertices(v).select("frame", "label", F.col("k").cast("long").alias("k"), "px", "py")),
+        oracle(
+            "poly",
+            "SELECT frame, label, row_number() OVER (PARTITION BY frame, label ORDER BY round(atan2(py - cy, px - cx), 9), py, px) - 1 AS k, px, py FROM (SELECT *, avg(px) OVER (PARTITION BY frame, label) AS cx, avg(py) OVER (PARTITION BY frame, label) AS cy FROM poly) p",
+        ),
+    ),
+    "f05_keep_first": (_on("trk", lambda t: lookups.keep_first(t.select("frame", "cycle_stage", "particle", "x"), ["frame", "cycle_stage"], ["particle"])), oracle("trk", "SELECT frame, cycle_stage, min(particle) AS particle, arg_min(x, particle) AS x FROM trk GROUP BY frame, cycle_stage")),
+    "g01_all_frames": (_on2("trk", "div", lambda t, d: t.select("particle", "frame", "x").unionByName(d.select("particle", "frame", "x"))), oracle("trk div", "SELECT particle, frame, x FROM trk UNION ALL SELECT particle, frame, x FROM div")),
+    "g02_division_frames": (_on("div", lambda t: lookups.division_frames(t).select("frame")), oracle("div", "SELECT min(frame) AS frame FROM div GROUP BY particle INTERSECT SELECT max(frame) + 1 FROM div GROUP BY particle")),
+    "g03_untracked_cells": (_on2("pixg", "trk", lambda p, t: lookups.untracked(zonal.cells(p), t).drop("stack_id")), oracle("pixg trk", "SELECT DISTINCT frame, label FROM pixg ANTI JOIN (SELECT frame, cell_number + 1 AS label FROM trk) t USING (frame, label) WHERE label <> 0")),
+    "g04_shared_frames": (
+        _on2("trk", "edit", lambda t, e: tracks.shared_frames(t, e.select("stack_id", F.col("particle").alias("first"), (F.col("particle") + 1).alias("second"))).drop("stack_id")),
+        oracle("trk edit", "SELECT e.particle AS first, b.particle AS second, b.frame, a.particle IS NOT NULL AS both FROM edit e JOIN trk b ON b.particle = e.particle + 1 LEFT JOIN trk a ON a.particle = e.particle AND a.frame = b.frame"),
+    ),
+    "g05_label_counts": (_on("pixg", lambda p: p.groupBy("label").agg(F.count("*").alias("n"))), oracle("pixg", "SELECT label, count(*) AS n FROM pixg GROUP BY label")),
+    "h06_merge_tracks": (
+        _on2("trk", "edit", lambda t, e: tracks.merge(t, _edits(e, "merge").select("stack_id", F.col("particle").alias("first"), (F.col("particle") + 1).alias("second"), "frame")).select("particle", "frame", "x")),
+        oracle(
+            "trk edit",
+            """, m AS (SELECT particle AS a, particle + 1 AS b, frame AS f, (SELECT max(particle) FROM trk) + row_number() OVER (ORDER BY particle) AS tail FROM edit WHERE op = 'merge')
+SELECT dense_rank() OVER (ORDER BY p) - 1 AS particle, frame, x FROM (SELECT CASE WHEN t.particle = m.a AND t.frame >= m.f THEN m.tail WHEN n.b IS NOT NULL AND t.frame >= n.f THEN n.a ELSE t.particle END AS p, t.frame, x FROM trk t LEFT JOIN m ON m.a = t.particle LEFT JOIN m n ON n.b = t.particle) u""",
+        ),
+    ),
 }
 
 

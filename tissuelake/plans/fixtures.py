@@ -5,40 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 _HELPERS = {
-    "spark": {"grid": "SELECT CAST(floor(id / 64.0) AS INT) AS y, CAST(id % 64 AS INT) AS x FROM range(3072)", "ks": "SELECT CAST(id AS INT) AS k FROM range(40)", "zs": "SELECT CAST(id AS INT) AS z FROM range(16)"},
-    "duckdb": {"grid": "SELECT CAST(floor(range / 64.0) AS INT) AS y, CAST(range % 64 AS INT) AS x FROM range(3072)", "ks": "SELECT CAST(range AS INT) AS k FROM range(40)", "zs": "SELECT CAST(range AS INT) AS z FROM range(16)"},
+    "spark": {"ks": "SELECT CAST(id AS INT) AS k FROM range(40)", "zs": "SELECT CAST(id AS INT) AS z FROM range(16)"},
+    "duckdb": {"ks": "SELECT CAST(range AS INT) AS k FROM range(40)", "zs": "SELECT CAST(range AS INT) AS z FROM range(16)"},
 }
 
-TABLES = ("events", "nation", "lineitem", "customer")
+TABLES = ("events", "lineitem", "customer")
 
 #: In order of use.
 VIEWS = {
     "trk": """SELECT 0 AS stack_id, particle, frame, CAST(row_number() OVER (PARTITION BY frame ORDER BY particle) - 1 AS INT) AS cell_number, x, y, cycle_stage
-FROM (SELECT user_id AS particle, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 + user_id % 5 AS INT) AS frame,
+FROM (SELECT user_id AS particle, event_id, CAST(n + floor(n / 10.0) + user_id % 5 AS INT) AS frame,
   value AS x, CAST((event_id * 37) % 500 AS DOUBLE) AS y,
-  CASE event_type WHEN 'signup' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 ELSE 0 END AS cycle_stage FROM events) e
-WHERE event_id % 11 <> 0""",
+  CASE event_type WHEN 'signup' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 ELSE 0 END AS cycle_stage
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events) n) e""",
     "users": "SELECT DISTINCT user_id AS u FROM events",
     "div": """SELECT 0 AS stack_id, particle, frame, x, y FROM (
-SELECT u AS particle, f.k AS frame, CAST(u % 12 * 40 AS DOUBLE) + f.k * CAST(0.25 AS DOUBLE) AS x, CAST(floor(u / 12.0) * 40 AS DOUBLE) AS y FROM users CROSS JOIN ks f WHERE f.k <= 10 + u % 20
+SELECT 4 * u AS particle, f.k AS frame, CAST(u % 12 * 40 AS DOUBLE) + f.k * CAST(0.25 AS DOUBLE) AS x, CAST(floor(u / 12.0) * 40 AS DOUBLE) AS y FROM users CROSS JOIN ks f WHERE f.k <= 10 + u % 20
 UNION ALL
-SELECT 1000 + 3 * u + d.k, f.k, CAST(u % 12 * 40 AS DOUBLE) + f.k * CAST(0.25 AS DOUBLE) + (d.k - CAST(0.5 AS DOUBLE)) * (4 + u % 5), CAST(floor(u / 12.0) * 40 AS DOUBLE) + d.k
+SELECT 4 * u + 1 + d.k, f.k, CAST(u % 12 * 40 AS DOUBLE) + f.k * CAST(0.25 AS DOUBLE) + (d.k - CAST(0.5 AS DOUBLE)) * (4 + u % 5), CAST(floor(u / 12.0) * 40 AS DOUBLE) + d.k
 FROM users CROSS JOIN ks f CROSS JOIN ks d WHERE f.k > 10 + u % 20 AND d.k < CASE WHEN u % 10 = 0 THEN 3 ELSE 2 END) t""",
-    "pix": """SELECT 0 AS stack_id, frame, y, x, r * 9 + c + 1 AS label, CAST((y * 31 + x * 17 + frame * 7) % 256 AS DOUBLE) AS ch0, CAST((y * 13 + x * 29 + frame * 3) % 256 AS DOUBLE) AS ch1,
+    "pix": """SELECT 0 AS stack_id, frame, y, x, r * 9 + c + 1 AS label, ch0, ch1,
   CAST(floor((x + y) / 16.0) AS INT) + (r * 9 + c + 1) % 3 AS height
-FROM (SELECT n_nationkey AS frame, y, x, CAST(floor(y / 8.0) AS INT) AS r, CAST(floor((x + (CAST(floor(y / 8.0) AS INT) % 2) * 4) / 8.0) AS INT) AS c FROM nation CROSS JOIN grid) g""",
+FROM (SELECT frame, y, x, ch0, ch1, CAST(floor(y / 8.0) AS INT) AS r, CAST(floor((x + (CAST(floor(y / 8.0) AS INT) % 2) * 4) / 8.0) AS INT) AS c
+FROM (SELECT CAST(floor(event_id / 3072.0) AS INT) AS frame, CAST(floor(event_id % 3072 / 64.0) AS INT) AS y, CAST(event_id % 64 AS INT) AS x, value AS ch0, CAST(user_id * 17 % 256 AS DOUBLE) AS ch1 FROM events) e) g""",
     "pixg": "SELECT stack_id, frame, y, x, CASE WHEN (y * 64 + x + frame) % 97 = 0 OR (y < 12 AND x < 12) THEN 0 ELSE label END AS label, ch0, ch1, height FROM pix",
-    "nuc": "SELECT frame, label * 10 AS nuc, avg(y) AS cy, avg(x) AS cx FROM pix GROUP BY frame, label",
-    "poly": """SELECT frame, label, k, CAST(CASE k WHEN 0 THEN x0 WHEN 1 THEN x1 WHEN 2 THEN x1 + 2 WHEN 3 THEN x1 WHEN 4 THEN x0 ELSE x0 - 2 END AS DOUBLE) AS px,
+    "nuc": "SELECT stack_id, frame, label * 10 AS nuc, avg(y) AS cy, avg(x) AS cx FROM pix GROUP BY stack_id, frame, label",
+    "poly": """SELECT 0 AS stack_id, frame, label, k, CAST(CASE k WHEN 0 THEN x0 WHEN 1 THEN x1 WHEN 2 THEN x1 + 2 WHEN 3 THEN x1 WHEN 4 THEN x0 ELSE x0 - 2 END AS DOUBLE) AS px,
   CASE WHEN k < 2 THEN CAST(y0 AS DOUBLE) WHEN k = 2 OR k = 5 THEN (y0 + y1) / CAST(2 AS DOUBLE) ELSE CAST(y1 AS DOUBLE) END AS py
 FROM (SELECT frame, label, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pix GROUP BY frame, label) b CROSS JOIN ks WHERE k < 6""",
     "vox": "SELECT stack_id, frame, z, y, x, CASE WHEN z <= height THEN CAST(200 - z AS DOUBLE) ELSE CAST(10 AS DOUBLE) END AS value FROM pix CROSS JOIN zs",
     "li": "SELECT l_linestatus AS cond, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS stage, l_extendedprice AS volume FROM lineitem",
     "stg": "SELECT c_custkey - 1 AS place, (c_custkey * 613) % 5000 AS x, (c_custkey * 331) % 4000 AS y, CAST(c_nationkey AS DOUBLE) AS current_z FROM customer",
-    "edit": """SELECT CASE n_regionkey WHEN 0 THEN 'split' WHEN 1 THEN 'merge' WHEN 2 THEN 'delete_head' WHEN 3 THEN 'delete_tail' ELSE 'set_stage' END AS op,
-  CAST(n_nationkey * 3 AS BIGINT) AS particle, 20 + n_nationkey AS frame FROM nation""",
+    "edit": """SELECT 0 AS stack_id, CASE u % 5 WHEN 0 THEN 'split' WHEN 1 THEN 'merge' WHEN 2 THEN 'delete_head' WHEN 3 THEN 'delete_tail' ELSE 'set_stage' END AS op,
+  u AS particle, CAST(20 + u % 25 AS INT) AS frame FROM users""",
 }
-_NEEDS = {"trk": (), "users": (), "div": ("ks", "users"), "pix": ("grid",), "pixg": ("grid", "pix"), "nuc": ("grid", "pix"), "poly": ("grid", "pix", "ks"), "vox": ("grid", "pix", "zs"), "li": (), "stg": (), "edit": ()}
+_NEEDS = {"trk": (), "users": (), "div": ("ks", "users"), "pix": (), "pixg": ("pix",), "nuc": ("pix",), "poly": ("pix", "ks"), "vox": ("pix", "zs"), "li": (), "stg": (), "edit": ("users",)}
 
 
 def _ctes(views: tuple[str, ...], engine: str) -> str:
@@ -49,7 +50,7 @@ def _ctes(views: tuple[str, ...], engine: str) -> str:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if t in _ctes((name,), "spark")}
-    return spark.sql(f"WITH {_ctes((name,), 'spark')} SELECT * FROM {name}".replace("FROM events", "FROM {events}").replace("FROM nation", "FROM {nation}").replace("FROM lineitem", "FROM {lineitem}").replace("FROM customer", "FROM {customer}"), **tables)
+    return spark.sql(f"WITH {_ctes((name,), 'spark')} SELECT * FROM {name}".replace("FROM events", "FROM {events}").replace("FROM lineitem", "FROM {lineitem}").replace("FROM customer", "FROM {customer}"), **tables)
 
 
 def oracle(views: str, sql: str) -> str:

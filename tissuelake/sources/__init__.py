@@ -1 +1 @@
-"""Part of the cell-population analytics library."""
+"""Tables in and out."""
