@@ -158,3 +158,9 @@ def division_frames(tracks: DataFrame) -> DataFrame:
     """Frames in which a track begins and before which one ends."""
     life = lifetimes(tracks)
     return life.select("stack_id", F.col("birth").alias("frame")).intersect(life.select("stack_id", (F.col("death") + 1).alias("frame")))
+
+
+def attach(tracks: DataFrame, values: DataFrame) -> DataFrame:
+    """Tracks with the columns that values(stack_id, frame, label, ...) has for their cells, by key; cell numbers begin at 0, labels at 1."""
+    own = values.withColumn("cell_number", F.col("label") - 1).drop("label")
+    return tracks.join(own, ["stack_id", "frame", "cell_number"], "left")

@@ -63,3 +63,8 @@ def sort_vertices(vertices: DataFrame) -> DataFrame:
     mean = vertices.groupBy(*CELL).agg(F.avg("px").alias("_cx"), F.avg("py").alias("_cy"))
     turned = vertices.join(mean, CELL).withColumn("_a", F.round(F.atan2(F.col("py") - F.col("_cy"), F.col("px") - F.col("_cx")), 9))
     return turned.withColumn("k", F.row_number().over(W.partitionBy(*CELL).orderBy("_a", "py", "px")) - 1).drop("_a", "_cx", "_cy")
+
+
+def shape_parameters(vertices: DataFrame) -> DataFrame:
+    """Area and perimeter of each polygon, its vertices sorted by angle, and q, the perimeter by the area's root."""
+    return polygons(sort_vertices(vertices)).select(*CELL, "area", "perimeter", F.try_divide(F.col("perimeter"), F.sqrt("area")).alias("q"))

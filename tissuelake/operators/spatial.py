@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .zonal import FRAME, cells
 
@@ -49,6 +50,13 @@ def good_cells(pixels: DataFrame, least: int = 3) -> DataFrame:
     return met.join(open_, [*FRAME, "label"], "left_anti")
 
 
+def cell_vertices(pixels: DataFrame, least: int = 3) -> DataFrame:
+    """Vertices (k, px, py) of the good cells: their junctions, numbered row by row."""
+    at = junctions(pixels).select(*FRAME, F.col("x").alias("px"), F.col("y").alias("py"), F.explode("cells").alias("label"))
+    own = at.join(good_cells(pixels, least).select(*FRAME, "label"), [*FRAME, "label"], "left_semi")
+    return own.withColumn("k", F.row_number().over(W.partitionBy(*FRAME, "label").orderBy("py", "px")) - 1)
+
+
 def grid_join(left: DataFrame, right: DataFrame, keys: list[str], radius: Column | float) -> DataFrame:
     """Pairs within a radius on equal keys. Each left point meets the right points of its own and the eight cells around, of the radius's size.
 

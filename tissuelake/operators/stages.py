@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .tracks import TRACK, by_frame
+from .zonal import CELL, cells
 
 STAGE = "cycle_stage"
 
@@ -99,3 +102,69 @@ def occupancy(rows: DataFrame, condition: str, stage: str) -> DataFrame:
     """Share of each stage among the rows of a condition."""
     n = rows.groupBy(condition, stage).agg(F.count("*").alias("n"))
     return n.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy(condition)))
+
+
+#: Runs of stages that cannot be, in the order in which they are mended; the last stage takes the inner run.
+FLICKERS = ((1, 3, 1), (3, 2, 3), (1, 3, 2), (1, 0, 2), (2, 3, 2))
+
+
+def _steady(stages: np.ndarray, pattern: tuple[int, int, int]) -> np.ndarray:
+    """remove_sandwiched on one track until nothing changes."""
+    while True:
+        starts = np.flatnonzero(np.append(True, np.diff(stages) != 0))
+        length = np.diff(np.append(starts, len(stages)))
+        inner = [i for i in range(1, len(starts) - 1) if tuple(stages[starts[i - 1 : i + 2]]) == pattern and length[i - 1] + length[i + 1] > length[i]]
+        if not inner:
+            return stages
+        for i in inner:
+            stages[starts[i] : starts[i + 1]] = pattern[2]
+
+
+def remove_flickers(tracks: DataFrame, patterns: tuple[tuple[int, int, int], ...] = FLICKERS) -> DataFrame:
+    """remove_sandwiched for each pattern in turn, each until its track is stable. Other columns stay; a track is one group."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("frame")
+        stages = rows[STAGE].to_numpy(copy=True)
+        for pattern in patterns:
+            stages = _steady(stages, pattern)
+        return rows.assign(**{STAGE: stages})
+
+    return tracks.groupBy(*TRACK).applyInPandas(run, tracks.schema)
+
+
+def interpretable(tracks: DataFrame, impute_zeros: bool = True, zero_remainder: bool = True) -> DataFrame:
+    """Tracks with a step that cannot be are mended: zeros filled, single points smoothed, ends before and after divisions, then flickers.
+
+    Tracks without such a step stay as they are; those that still have one lose their stages if zero_remainder. Stages are integers without nulls.
+    """
+    tracks = tracks.withColumn(STAGE, F.col(STAGE).cast("int"))
+    odd = problematic(tracks)
+    bad = tracks.join(odd, TRACK, "left_semi")
+    bad = impute(bad) if impute_zeros else bad
+    mended = remove_flickers(daughter_g1(mother_g2(smooth(bad))).select(*tracks.columns))
+    if zero_remainder:
+        still = problematic(mended).withColumn("_still", F.lit(True))
+        mended = mended.join(still, TRACK, "left").withColumn(STAGE, F.when(F.col("_still"), 0).otherwise(F.col(STAGE))).select(*tracks.columns)
+    return tracks.join(odd, TRACK, "left_anti").unionByName(mended)
+
+
+def snapshot(pixels: DataFrame, red: str, green: str, red_above: float, green_above: float, brightness: float = 1.5, share: float = 0.15, orange_share: float | None = None) -> DataFrame:
+    """Stage of each cell by the shares of its pixels that are green, red and orange (red above red_above * brightness and green).
+
+    Orange at more than orange_share (share, if not given) is 3; else green alone is 1 and red alone 2, and of both the larger share counts, red if equal.
+    """
+    is_green, is_red = F.col(green) > green_above, F.col(red) > red_above
+    is_orange = (F.col(red) > red_above * brightness) & is_green
+    part = lambda c: F.avg(c.cast("double"))
+    parts = cells(pixels).groupBy(*CELL).agg(part(is_green).alias("g"), part(is_red).alias("r"), part(is_orange).alias("o"))
+    g, r = F.col("g"), F.col("r")
+    stage = F.when(F.col("o") > (share if orange_share is None else orange_share), 3).when((g > share) & (~(r > share) | (g > r)), 1).when(r > share, 2).otherwise(0)
+    return parts.select(*CELL, stage.alias(STAGE))
+
+
+def from_nuclei(green: DataFrame, red: DataFrame, green_above: float, red_above: float) -> DataFrame:
+    """Stage of each cell by its nucleus's ratios (stack_id, frame, label, ratio): 1 if green is high, plus 2 if red is."""
+    both = green.withColumnRenamed("ratio", "g").join(red.withColumnRenamed("ratio", "r"), CELL)
+    high = lambda c, t: F.coalesce((F.col(c) > t).cast("int"), F.lit(0))
+    return both.select(*CELL, (high("g", green_above) + 2 * high("r", red_above)).alias(STAGE))

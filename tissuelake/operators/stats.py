@@ -102,3 +102,9 @@ def autocorrelation(points: DataFrame, value: str, radius: float, bins: int) ->
 def characteristic_length(acf: DataFrame, width: float, threshold: float = 0.36787944117144233) -> DataFrame:
     """The least distance (middle of a bin) at which the correlation is below the threshold, 1 / e."""
     return acf.where(F.col("correlation") < threshold).groupBy("stack_id").agg(F.min((F.col("bin") + 0.5) * width).alias("length"))
+
+
+def first_below(bins: DataFrame, value: str, threshold: float, keys: list[str]) -> DataFrame:
+    """First bin whose value is below the threshold, and the bin with the greatest value (the first, if equal)."""
+    below = F.min(F.when(F.col(value) < threshold, F.col("bin"))).alias("first_below")
+    return bins.groupBy(*keys).agg(below, F.max_by("bin", F.struct(F.col(value), -F.col("bin"))).alias("peak"))

@@ -134,3 +134,24 @@ def match_nuclei(nuclei: DataFrame, pixels: DataFrame) -> DataFrame:
     at = nuclei.select(*FRAME, "nuc", F.bround("cy").cast("int").alias("y"), F.bround("cx").cast("int").alias("x"))
     hit = at.join(cells(pixels).select(*FRAME, "y", "x", "label"), [*FRAME, "y", "x"])
     return hit.groupBy(*CELL).agg(F.min("nuc").alias("nuc"))
+
+
+def with_labels(pixels: DataFrame, labels: DataFrame, inside: bool = True) -> DataFrame:
+    """Pixels of the listed cells (stack_id, frame, label), or of all others."""
+    return pixels.join(labels.select(*CELL).distinct(), CELL, "left_semi" if inside else "left_anti")
+
+
+def tile_edge_cells(pixels: DataFrame, channel: str, height: int, width: int, radius: int = 2) -> DataFrame:
+    """Cells at the image's edge or within `radius` pixels, in either direction, of a pixel whose channel is 0, as between stitched tiles."""
+    steps = F.sequence(F.lit(-radius), F.lit(radius))
+    seams = pixels.where(F.col(channel) == 0).select(*FRAME, "y", "x", F.explode(steps).alias("_dy")).select(*FRAME, (F.col("y") + F.col("_dy")).alias("y"), "x", F.explode(steps).alias("_dx"))
+    seams = seams.select(*FRAME, "y", (F.col("x") + F.col("_dx")).alias("x"))
+    beside = cells(pixels).join(seams.distinct(), [*FRAME, "y", "x"], "left_semi").select(*CELL)
+    return beside.union(edge_cells(pixels, height, width, 1).select(*CELL)).distinct()
+
+
+def merge_cells(pixels: DataFrame, merges: DataFrame) -> DataFrame:
+    """The pixels of cell `second` go to cell `first` (merges: stack_id, frame, first, second); the labels close up. Background goes."""
+    moved = merges.select(*FRAME, F.col("second").alias("label"), "first")
+    joined = pixels.join(moved, CELL, "left").withColumn("label", F.coalesce("first", "label")).drop("first")
+    return remove_cells(joined, joined.select(*CELL).limit(0))

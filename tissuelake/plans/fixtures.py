@@ -24,6 +24,8 @@ SELECT 4 * u AS particle, f.k AS frame, CAST(u % 12 * 40 AS DOUBLE) + f.k * CAST
 UNION ALL
 SELECT 4 * u + 1 + d.k, f.k, CAST(u % 12 * 40 AS DOUBLE) + f.k * CAST(0.25 AS DOUBLE) + (d.k - CAST(0.5 AS DOUBLE)) * (4 + u % 5), CAST(floor(u / 12.0) * 40 AS DOUBLE) + d.k
 FROM users CROSS JOIN ks f CROSS JOIN ks d WHERE f.k > 10 + u % 20 AND d.k < CASE WHEN u % 10 = 0 THEN 3 ELSE 2 END) t""",
+    "divc": """SELECT stack_id, particle, frame, x, y, CAST(40 + (floor(v) + frame) % 17 AS DOUBLE) AS area, CAST((floor(v) * 7 + particle * 3 + frame) % 10 AS DOUBLE) / 20 + CAST(0.5 AS DOUBLE) AS circularity
+FROM div JOIN (SELECT user_id, max(value) AS v FROM events GROUP BY user_id) w ON user_id = CAST(floor(particle / 4.0) AS BIGINT)""",
     "pix": """SELECT 0 AS stack_id, frame, y, x, r * 9 + c + 1 AS label, ch0, ch1,
   CAST(floor((x + y) / 16.0) AS INT) + (r * 9 + c + 1) % 3 AS height
 FROM (SELECT frame, y, x, ch0, ch1, CAST(floor(y / 8.0) AS INT) AS r, CAST(floor((x + (CAST(floor(y / 8.0) AS INT) % 2) * 4) / 8.0) AS INT) AS c
@@ -39,7 +41,7 @@ FROM (SELECT frame, label, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y
     "edit": """SELECT 0 AS stack_id, CASE u % 5 WHEN 0 THEN 'split' WHEN 1 THEN 'merge' WHEN 2 THEN 'delete_head' WHEN 3 THEN 'delete_tail' ELSE 'set_stage' END AS op,
   u AS particle, CAST(20 + u % 25 AS INT) AS frame FROM users""",
 }
-_NEEDS = {"trk": (), "users": (), "div": ("ks", "users"), "pix": (), "pixg": ("pix",), "nuc": ("pix",), "poly": ("pix", "ks"), "vox": ("pix", "zs"), "li": (), "stg": (), "edit": ("users",)}
+_NEEDS = {"trk": (), "users": (), "div": ("ks", "users"), "divc": ("ks", "users", "div"), "pix": (), "pixg": ("pix",), "nuc": ("pix",), "poly": ("pix", "ks"), "vox": ("pix", "zs"), "li": (), "stg": (), "edit": ("users",)}
 
 
 def _ctes(views: tuple[str, ...], engine: str) -> str:
