@@ -96,3 +96,27 @@ def test_components_of_a_chain_a_star_and_a_ring(spark):
     found = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a int, b int")).collect()}
     assert found == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}, **{200 + i: 200 for i in range(9)}, 300: 300}
     assert components.components(spark.createDataFrame([], "a int, b int")).count() == 0
+
+
+def test_quadratic_surface_is_least_squares(spark):
+    import numpy as np
+
+    from tissuelake.plans import catalog
+
+    fits = {r.frame: r for r in catalog.queries()["d37_quadratic_surface"](spark, "/root/testdata/sf0.001").collect()}
+    from tissuelake.plans.fixtures import view
+
+    pixels = view(spark, "/root/testdata/sf0.001", "pix").toPandas()
+    for frame, p in pixels.groupby("frame"):
+        basis = np.stack([p.x**2 + p.y**2, p.x, p.y, p.x * 0 + 1], axis=1).astype(float)
+        best = np.linalg.lstsq(basis, p.ch0.to_numpy(), rcond=None)[0]
+        f = fits[frame]
+        assert f.n == len(p) and np.allclose(basis @ best, basis @ [f.a, f.b, f.c, f.d], atol=1e-5)
+
+
+def test_nearest_label_is_found_far_away_or_not_at_all(spark):
+    from tissuelake.operators.planes import nearest_labels
+
+    rows = [(0, 0, 0, x, 7 if x == 40 else 0) for x in range(41)] + [(0, 1, 0, x, 0) for x in range(3)]
+    found = nearest_labels(spark.createDataFrame(rows, "stack_id int, frame int, y int, x int, label int"), 2.0).collect()
+    assert sorted(r.x for r in found) == list(range(40)) and {r.label for r in found} == {7} and {r.frame for r in found} == {0}

@@ -145,3 +145,9 @@ def shared_frames(tracks: DataFrame, pairs: DataFrame) -> DataFrame:
     second = pairs.join(tracks.select("stack_id", F.col("particle").alias("second"), "frame"), ["stack_id", "second"])
     first = tracks.select("stack_id", F.col("particle").alias("first"), "frame", F.lit(True).alias("both")).distinct()
     return second.join(first, ["stack_id", "first", "frame"], "left").withColumn("both", F.coalesce("both", F.lit(False)))
+
+
+def shown(tracks: DataFrame, frame: int, before: bool | None = None, particle: int | None = None) -> DataFrame:
+    """Points of the tracks before a frame, or from it on, or (None) all; of one particle if it is named."""
+    own = tracks if particle is None else tracks.where(F.col("particle") == particle)
+    return own if before is None else own.where(F.col("frame") < frame if before else F.col("frame") >= frame)

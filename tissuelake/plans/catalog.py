@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import components, divisions, lookups, shape, spatial, stages, stats, tracks, zonal
+from ..operators import components, divisions, lookups, planes, shape, spatial, stages, stats, tracks, zonal
+from ..sources import files
 from .fixtures import oracle, view
 
 _WT = "(PARTITION BY particle ORDER BY frame)"
@@ -44,6 +45,13 @@ sc AS (SELECT *, 40.79220969::DOUBLE * pow(mother_circ - 0.1::DOUBLE, 2) + 8.129
 _SNAPSHOT = """SELECT frame, label, CASE WHEN o > {0} THEN 3 WHEN g > 0.15 AND (r <= 0.15 OR g > r) THEN 1 WHEN r > 0.15 THEN 2 ELSE 0 END AS cycle_stage
 FROM (SELECT frame, label, avg(CAST(ch1 > 160 AS INT)) AS g, avg(CAST(ch0 > 60 AS INT)) AS r, avg(CAST(ch0 > 90 AND ch1 > 160 AS INT)) AS o FROM pixg WHERE label <> 0 GROUP BY frame, label) p"""
 
+_KEY = r"array_to_string(list_transform(regexp_extract_all(path, '\d+|\D+'), lambda t: CASE WHEN regexp_full_match(t, '\d{{1,20}}') THEN lpad(t, 20, '0') ELSE t END), '')".replace("{{", "{").replace("}}", "}")
+_PLACED = f", placed AS (SELECT *, {_KEY} AS k, row_number() OVER (PARTITION BY stack_id ORDER BY {_KEY}, path) - 1 AS n FROM files)"
+_BLUR = """, steps AS (SELECT t.t, d.d, exp(-0.5 * d.d * d.d / (0.8 * 0.8)) AS w FROM (SELECT unnest(range(64)) AS t) t CROSS JOIN (SELECT unnest(range(-3, 4)) AS d) d),
+wy AS (SELECT t, CASE WHEN t + d < 0 THEN -1 - t - d WHEN t + d > 47 THEN 95 - t - d ELSE t + d END AS src, w / sum(w) OVER (PARTITION BY t) AS w FROM steps WHERE t < 48),
+wx AS (SELECT t, CASE WHEN t + d < 0 THEN -1 - t - d WHEN t + d > 63 THEN 127 - t - d ELSE t + d END AS src, w / sum(w) OVER (PARTITION BY t) AS w FROM steps)
+SELECT frame, CAST(wy.t AS INT) AS y, CAST(wx.t AS INT) AS x, round(sum(ch0 * wy.w * wx.w), 6) AS value FROM pix JOIN wy ON wy.src = y JOIN wx ON wx.src = x GROUP BY frame, wy.t, wx.t"""
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -550,10 +558,53 @@ r AS (SELECT frame, y * 64 + x AS n, y * 64 + x AS c FROM pixg UNION SELECT r.fr
         _on("divc", lambda t: _rounded(divisions.choose(_scored(t), 12.0).select("mother", "daughter1", "daughter2", "frame", "score"), "score")),
         oracle("divc", f"{_FEATURES} SELECT mother, daughter1, daughter2, frame, round(score, 6) AS score FROM sc WHERE score < 12 QUALIFY row_number() OVER (PARTITION BY mother ORDER BY score, daughter1, daughter2) = 1"),
     ),
+    "a01_stack_frames": (_on("files", lambda f: files.stack_frames(f, 3)), oracle("files", f"{_PLACED} SELECT stack_id, path, CAST(n // 3 AS INT) AS frame FROM placed WHERE n % 3 = 0")),
+    "a15_export": (
+        _on("trk", lambda t: _rounded(t.join(tracks.velocities(t).select("stack_id", "particle", "frame", "v"), ["stack_id", "particle", "frame"], "left").select("particle", "frame", "cell_number", "x", "y", "cycle_stage", "v"), "v")),
+        oracle("trk", f"SELECT particle, frame, cell_number, x, y, cycle_stage, round(sqrt(ex / dt * (ex / dt) + ey / dt * (ey / dt)), 6) AS v FROM ({_STEP}) s"),
+    ),
+    "a17_outline_text": (
+        _on("poly", lambda v: planes.outline_text(v).drop("stack_id")),
+        oracle("poly", "SELECT frame, label, 'POLYGON ((' || string_agg(px || ' ' || py, ', ' ORDER BY k) || ', ' || min_by(px || ' ' || py, k) || '))' AS outline FROM poly GROUP BY frame, label"),
+    ),
+    "a18_blank": (_on("pix", lambda p: planes.blank(p).select("frame", "y", "x", "label")), oracle("pix", "SELECT frame, y, x, 0 AS label FROM pix")),
+    "a19_attach_images": (
+        _on("files", lambda f: files.attach_images(files.stack_frames(f, 4).select("stack_id", "frame"), f.where("lower(path) like '%tif'"))),
+        oracle("files", f"{_PLACED}, tifs AS (SELECT stack_id, path, row_number() OVER (PARTITION BY stack_id ORDER BY k, path) - 1 AS i FROM placed WHERE path ILIKE '%tif') SELECT p.stack_id, CAST(n // 4 AS INT) AS frame, t.path AS image FROM placed p LEFT JOIN tifs t ON t.stack_id = p.stack_id AND t.i = n // 4 WHERE n % 4 = 0"),
+    ),
+    "a20_route": (
+        _on("files", files.route),
+        oracle(
+            "files",
+            f"""{_PLACED}, kinds AS (SELECT *, CASE WHEN path LIKE '%seg.npy' THEN 'seg' WHEN regexp_matches(lower(path), '(tif|tiff|nd2)$') THEN 'image' WHEN path LIKE '%tracking.csv' THEN 'tracking' END AS kind FROM placed)
+SELECT stack_id, path, kind, CASE kind WHEN 'seg' THEN true WHEN 'image' THEN count(*) FILTER (WHERE kind = 'seg') OVER (PARTITION BY stack_id) = 0 WHEN 'tracking' THEN path = arg_max(CASE WHEN kind = 'tracking' THEN path END, CASE WHEN kind = 'tracking' THEN n END) OVER (PARTITION BY stack_id) ELSE false END AS used FROM kinds""",
+        ),
+    ),
+    "b15_add_cells": (
+        _on2("pixg", "drawn", lambda p, d: planes.add_cells(p, d, 5).select("frame", "y", "x", "label")),
+        oracle(
+            "pixg drawn",
+            """, free AS (SELECT frame, y, x, min(cell) AS cell FROM drawn SEMI JOIN (SELECT frame, y, x FROM pixg WHERE label = 0) b USING (frame, y, x) GROUP BY frame, y, x),
+sizes AS (SELECT frame, cell, row_number() OVER (PARTITION BY frame ORDER BY cell) AS place FROM free GROUP BY frame, cell HAVING count(*) >= 5), top AS (SELECT frame, max(label) AS top FROM pixg GROUP BY frame)
+SELECT frame, y, x, coalesce(top + place, label) AS label FROM pixg LEFT JOIN free USING (frame, y, x) LEFT JOIN sizes USING (frame, cell) LEFT JOIN top USING (frame)""",
+        ),
+    ),
+    "b23_before_and_after": (
+        _on("trk", lambda t: tracks.shown(t, 25, before=True).select("particle", "frame", "x").withColumn("part", F.lit("before")).union(tracks.shown(t, 25, before=False).select("particle", "frame", "x").withColumn("part", F.lit("after")))),
+        oracle("trk", "SELECT particle, frame, x, CASE WHEN frame < 25 THEN 'before' ELSE 'after' END AS part FROM trk"),
+    ),
+    "c11_nearest": (
+        _on("pixg", lambda p: planes.nearest_labels(p).drop("stack_id")),
+        oracle("pixg", """SELECT h.frame, h.y, h.x, arg_min(p.label, ((p.y - h.y) * (p.y - h.y) + (p.x - h.x) * (p.x - h.x)) * 10000 + p.y * 100 + p.x) AS label
+FROM pixg h JOIN pixg p ON p.frame = h.frame WHERE h.label = 0 AND p.label <> 0 GROUP BY h.frame, h.y, h.x"""),
+    ),
+    "f01_natural_key": (_on("files", lambda f: f.select("path", files.natural_key(F.col("path")).alias("key"))), oracle("files", f"SELECT path, {_KEY} AS key FROM files")),
+    "i03_blur": (_on("pix", lambda p: _rounded(planes.blur(p, "ch0", 48, 64, 0.8).drop("stack_id"), "value")), oracle("pix", _BLUR)),
 }
 
 #: Queries that SQL cannot express, each with a brute-force version in the tests.
 UNTWINNED: dict[str, Query] = {
+    "d37_quadratic_surface": _on("pix", lambda p: planes.quadratic_surface(p, "ch0")),
     "e14_stable": _on("trk", lambda t: stages.remove_flickers(t, ((1, 3, 1),)).select("particle", "frame", "cycle_stage")),
     "e16_interpretable": _on("trk", lambda t: stages.interpretable(t, zero_remainder=False).select("particle", "frame", "cycle_stage")),
 }

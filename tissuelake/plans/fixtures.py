@@ -40,8 +40,11 @@ FROM (SELECT frame, label, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y
     "stg": "SELECT c_custkey - 1 AS place, (c_custkey * 613) % 5000 AS x, (c_custkey * 331) % 4000 AS y, CAST(c_nationkey AS DOUBLE) AS current_z FROM customer",
     "edit": """SELECT 0 AS stack_id, CASE u % 5 WHEN 0 THEN 'split' WHEN 1 THEN 'merge' WHEN 2 THEN 'delete_head' WHEN 3 THEN 'delete_tail' ELSE 'set_stage' END AS op,
   u AS particle, CAST(20 + u % 25 AS INT) AS frame FROM users""",
+    "files": """SELECT user_id AS stack_id, concat('u', user_id, '/', event_type, event_id % 1000, CASE WHEN event_id % 7 = 0 THEN '_tracking.csv' WHEN event_id % 7 = 1 THEN '.TIF' WHEN event_id % 7 = 2 THEN '.txt'
+  WHEN user_id % 3 = 0 THEN '.nd2' ELSE '_seg.npy' END) AS path FROM (SELECT DISTINCT user_id, event_id, event_type FROM events) e""",
+    "drawn": "SELECT stack_id, frame, y, x, CAST(floor(y / 5.0) * 3 + floor((x + frame) / 5.0) AS INT) AS cell FROM pix WHERE y < 14 AND x < 15",
 }
-_NEEDS = {"trk": (), "users": (), "div": ("ks", "users"), "divc": ("ks", "users", "div"), "pix": (), "pixg": ("pix",), "nuc": ("pix",), "poly": ("pix", "ks"), "vox": ("pix", "zs"), "li": (), "stg": (), "edit": ("users",)}
+_NEEDS = {"trk": (), "users": (), "div": ("ks", "users"), "divc": ("ks", "users", "div"), "pix": (), "pixg": ("pix",), "nuc": ("pix",), "poly": ("pix", "ks"), "vox": ("pix", "zs"), "li": (), "stg": (), "edit": ("users",), "files": (), "drawn": ("pix",)}
 
 
 def _ctes(views: tuple[str, ...], engine: str) -> str:
