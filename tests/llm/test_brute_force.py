@@ -13,7 +13,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from tissuelake.llm import fingerprints, mixing, packing, quality_rules, queries, token_counts
+from tissuelake.llm import fingerprints, language_id, mixing, packing, quality_rules, queries, token_counts
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -230,3 +230,13 @@ def test_pipeline_stage_by_stage(spark):
 
     packed = stages["packing"](spark, cut, SF).collect()  # of the stage before mixing, whose doc_ids differ
     check_packed(packed, dict(pairs(cut)))
+
+
+def test_more_languages_than_bits(spark):
+    letters = [chr(0x4E00 + 8 * k + j) for k in range(70) for j in range(8)]
+    text = lambda k, seed: " ".join("".join(letters[8 * k + (seed * i + j * j) % 8] for j in range(6)) for i in range(60))
+    rows = [(k * 10 + s, text(k, s), f"l{k:02}") for k in range(70) for s in (1, 2, 3)]
+    filters = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(filters.languages) == 70 and filters.masks.shape[0] == 2
+    fresh = spark.createDataFrame([(k, text(k, 5)) for k in range(70)], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in language_id.predict(fresh, filters).collect()} == {k: f"l{k:02}" for k in range(70)}

@@ -1,7 +1,7 @@
 """Language identification by bit-sliced Bloom filters of character n-grams.
 
-All languages share one filter: each slot is a mask with a bit for each language, so one lookup gives all languages whose n-grams
-include a given one. Training counts 2- to 4-grams of letters (with word ends) by language in Spark and gives each to the languages where it is at least
+All languages share one filter: each slot is a mask with a bit for each language (one mask for each 63 of them), so one lookup gives all
+languages whose n-grams include a given one. Training counts 2- to 4-grams of letters (with word ends) by language in Spark and gives each to the languages where it is at least
 KEEP as frequent as where it is most frequent. A text's n-grams are looked up, hits are counted for each language and corrected for that
 language's false-positive rate, and the most hits win.
 """
@@ -23,7 +23,7 @@ SLOTS, HASHES, KEEP, LEAST = 1 << 20, 3, 0.5, 3
 FIT_ROWS = 8192
 CACHE_WORDS = 400_000
 UNKNOWN = "und"
-MOST_LANGUAGES = 63
+MASK_BITS = 63
 
 
 def _letters(word: bytes) -> list[str]:
@@ -82,24 +82,24 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        masks = batch["mask"].to_numpy()
+        blocks, masks = batch["block"].to_numpy(), batch["mask"].to_numpy()
         slots = _slots(batch["gram"].to_numpy().view(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(slots)), pa.array(np.tile(masks, HASHES))], ["slot", "mask"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(slots)), pa.array(np.tile(blocks, HASHES)), pa.array(np.tile(masks, HASHES))], ["slot", "block", "mask"])
 
 
 class Filters:
-    """The bit-sliced filter: a mask for each slot, the languages in bit order, and each language's false-positive rate."""
+    """The bit-sliced filter: masks by block of languages and slot, the languages in bit order, and each language's false-positive rate."""
 
     def __init__(self, masks: np.ndarray, languages: list[str]):
         self.masks, self.languages = masks, languages
-        fill = np.array([np.count_nonzero(masks >> i & 1) for i in range(len(languages))]) / SLOTS
+        fill = np.array([np.count_nonzero(masks[i // MASK_BITS] >> i % MASK_BITS & 1) for i in range(len(languages))]) / SLOTS
         self.false = fill**HASHES
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
-        """The mask of languages that contain each n-gram."""
-        found = np.full(len(hashes), -1, dtype=self.masks.dtype)
+        """By block, the mask of languages that contain each n-gram."""
+        found = np.full((len(self.masks), len(hashes)), -1, dtype=self.masks.dtype)
         for slots in _slots(hashes):
-            found &= self.masks[slots]
+            found &= self.masks[:, slots]
         return found
 
     def hits(self, words: list[bytes]) -> np.ndarray:
@@ -111,7 +111,7 @@ class Filters:
             owner = np.repeat(np.arange(len(words)), [len(rs) for rs in split])[owner]
             found = self.lookup(hashes)
             for i in range(len(self.languages)):
-                out[:, i] = np.bincount(owner, weights=(found >> i & 1), minlength=len(words))
+                out[:, i] = np.bincount(owner, weights=(found[i // MASK_BITS] >> i % MASK_BITS & 1), minlength=len(words))
             out[:, -1] = np.bincount(owner, minlength=len(words))
         return out
 
@@ -119,7 +119,7 @@ class Filters:
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Filters:
     """Filters from docs (text, lang) without null texts or languages; about fit_rows of them, chosen by a hash of doc_id.
 
-    n-gram counts are summed in Spark; what reaches the driver are the languages and the filter's slots, SLOTS at most.
+    n-gram counts are summed in Spark; what reaches the driver are the languages and the filter's slots, SLOTS at most for each MASK_BITS languages.
     """
     known = docs.where("text is not null and lang is not null")
     share = min(1.0, fit_rows / max(1, known.count()))
@@ -127,17 +127,16 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Filters:
     counts = sample.mapInArrow(_gram_counts, "gram long, lang string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")).cache()
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).toLocalIterator()}
     languages = sorted(totals)
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"a mask of 64 bits holds {MOST_LANGUAGES} languages; there are {len(languages)}")
-    masks = np.zeros(SLOTS, dtype=np.int64)
+    masks = np.zeros((-(-len(languages) // MASK_BITS), SLOTS), dtype=np.int64)
     if languages:
-        bit = F.create_map(*(F.lit(x) for i, lang in enumerate(languages) for x in (lang, 1 << i)))[F.col("lang")].cast("long")
+        place = F.create_map(*(F.lit(x) for i, lang in enumerate(languages) for x in (lang, i)))[F.col("lang")]
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place") % MASK_BITS)
         rate = F.col("n") / F.create_map(*(F.lit(x) for lang in languages for x in (lang, float(totals[lang]))))[F.col("lang")]
-        rated = counts.where(F.col("n") >= LEAST).select("gram", rate.alias("rate"), bit.alias("bit"))
+        rated = counts.where(F.col("n") >= LEAST).select("gram", rate.alias("rate"), place.alias("place")).select("gram", "rate", F.floor(F.col("place") / MASK_BITS).alias("block"), bit.alias("bit"))
         best = rated.groupBy("gram").agg(F.max("rate").alias("best"))
-        kept = rated.join(best, "gram").where(F.col("rate") >= KEEP * F.col("best")).groupBy("gram").agg(F.bit_or("bit").alias("mask"))
-        slots = kept.mapInArrow(_filled, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
-        masks[slots["slot"].to_numpy()] = slots["mask"].to_numpy()
+        kept = rated.join(best, "gram").where(F.col("rate") >= KEEP * F.col("best")).groupBy("gram", "block").agg(F.bit_or("bit").alias("mask"))
+        slots = kept.mapInArrow(_filled, "slot long, block long, mask long").groupBy("slot", "block").agg(F.bit_or("mask").alias("mask")).toArrow()
+        masks[slots["block"].to_numpy(), slots["slot"].to_numpy()] = slots["mask"].to_numpy()
     counts.unpersist()
     return Filters(masks, languages)
 
