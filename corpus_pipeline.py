@@ -41,7 +41,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("near duplicates", near_duplicates), ("repeated passages", repeated_passages), ("mixing", mixed), ("packing", packed)]
 
-#: Tokenizing cannot be expressed in SQL. The tests run the stages on awkward and empty tables; only near duplicates are held against expected rows.
+#: Tokenizing cannot be expressed in SQL. The tests run the stages on awkward and empty tables and hold each against plain Python at sf0.001.
 ORACLE_SQL = None
 
 

@@ -45,7 +45,7 @@ sc AS (SELECT *, 40.79220969::DOUBLE * pow(mother_circ - 0.1::DOUBLE, 2) + 8.129
 _SNAPSHOT = """SELECT frame, label, CASE WHEN o > {0} THEN 3 WHEN g > 0.15 AND (r <= 0.15 OR g > r) THEN 1 WHEN r > 0.15 THEN 2 ELSE 0 END AS cycle_stage
 FROM (SELECT frame, label, avg(CAST(ch1 > 160 AS INT)) AS g, avg(CAST(ch0 > 60 AS INT)) AS r, avg(CAST(ch0 > 90 AND ch1 > 160 AS INT)) AS o FROM pixg WHERE label <> 0 GROUP BY frame, label) p"""
 
-_KEY = r"array_to_string(list_transform(regexp_extract_all(path, '\d+|\D+'), lambda t: CASE WHEN regexp_full_match(t, '\d{{1,20}}') THEN lpad(t, 20, '0') ELSE t END), '')".replace("{{", "{").replace("}}", "}")
+_KEY = r"array_to_string(list_transform(regexp_extract_all(path, '\d+|\D+'), lambda t: CASE WHEN regexp_full_match(t, '\d{1,20}') THEN lpad(t, 20, '0') ELSE t END), '')"
 _PLACED = f", placed AS (SELECT *, {_KEY} AS k, row_number() OVER (PARTITION BY stack_id ORDER BY {_KEY}, path) - 1 AS n FROM files)"
 _BLUR = """, steps AS (SELECT t.t, d.d, exp(-0.5 * d.d * d.d / (0.8 * 0.8)) AS w FROM (SELECT unnest(range(64)) AS t) t CROSS JOIN (SELECT unnest(range(-3, 4)) AS d) d),
 wy AS (SELECT t, CASE WHEN t + d < 0 THEN -1 - t - d WHEN t + d > 47 THEN 95 - t - d ELSE t + d END AS src, w / sum(w) OVER (PARTITION BY t) AS w FROM steps WHERE t < 48),

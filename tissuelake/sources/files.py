@@ -21,7 +21,7 @@ def _ordinal() -> Column:
 
 
 def stack_frames(files: DataFrame, every: int = 1) -> DataFrame:
-    """Every so manieth file (stack_id, path) of a stack in natural order, with frames numbered from 0 after thinning."""
+    """One file (stack_id, path) of each `every` of a stack, in natural order, with frames numbered from 0 after thinning."""
     placed = files.withColumn("frame", _ordinal())
     return placed.where(F.col("frame") % every == 0).withColumn("frame", (F.col("frame") / every).cast("int"))
 
