@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_id, license_scan, mixing, near_dedup, packing, quality_classifier, quality_rules, substring_dedup, token_counts
+from . import conversation_trie, fingerprints, language_id, lexical_search, license_scan, mixing, near_dedup, packing, quality_classifier, quality_rules, substring_dedup, suffix_dedup, token_counts
 from .common import documents
 
 
@@ -80,6 +80,21 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(documents(spark, sf_dir), length=400)
+    return cut.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation goes on from the first turns of the conversation that begins its hundred."""
+    conv = F.col("conv_id")
+    return conversation_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"), conv - conv % 100, F.crc32(conv.cast("string")) % 6)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), top=20)
+
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP4_SQL = rf"""
@@ -126,9 +141,64 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, len(ws) - coalesce(n, 0) AS n
 """
 
 
+OP11_SQL = """
+WITH hexed AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS g FROM (SELECT doc_id, h, unnest(range(len(h) // 2 - 399)) AS i FROM hexed WHERE len(h) >= 800)),
+twice AS (SELECT doc_id, i FROM starts QUALIFY count(*) OVER (PARTITION BY g) > 1),
+fresh AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER w + 400 THEN 0 ELSE 1 END AS f FROM twice WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM (SELECT doc_id, i, sum(f) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM fresh) GROUP BY doc_id, s),
+edges AS (SELECT doc_id, b AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM (SELECT doc_id, a, b FROM spans UNION ALL SELECT DISTINCT doc_id, -1, 0 FROM spans)),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, len(h) // 2) - a)), '' ORDER BY a) AS t FROM edges JOIN hexed USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(b - a) AS n, count(*) AS c FROM spans GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(c, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(t, h))) AS kept_sha256
+FROM hexed LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII string in SQL: two steps of four bits a byte."""
+    table = []
+    for x in range(16):
+        for _ in range(4):
+            x = (x >> 1) ^ (0xEDB88320 if x & 1 else 0)
+        table.append(x)
+    step = lambda a: f"xor({a} >> 4, {table}[({a} & 15) + 1])"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT)), lambda a, b: {step(step('xor(a, b)'))}))"
+
+
+OP12_SQL = f"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT c, n, c - c % 100 AS base, {_crc32_sql("CAST(c AS VARCHAR)")} % 6 AS h FROM (SELECT c, count(*) AS n FROM t GROUP BY c)),
+z AS (SELECT k.*, least(k.h, coalesce(b.n, 0)) AS taken FROM k LEFT JOIN (SELECT c, n FROM k) b ON b.c = k.base),
+m AS (SELECT z.c, t.p AS d, r, x FROM z JOIN t ON t.c = z.base WHERE t.p <= h UNION ALL SELECT z.c, taken + p - h, r, x FROM z JOIN t ON t.c = z.c WHERE p > h),
+names AS (SELECT c, d, length(x) AS chars, string_agg(md5(length(r) || ':' || r || x), '' ORDER BY d) OVER (PARTITION BY c ORDER BY d) AS s FROM m),
+pre AS (SELECT c, CAST(d AS BIGINT) AS d, chars, md5(s) AS s FROM names UNION ALL SELECT c, 0, 0, '' FROM k),
+n AS (SELECT d, s, min(c) AS conv_id, count(*) AS n_convs, min(chars) AS chars FROM pre GROUP BY d, s),
+up AS (SELECT n.d, n.s, pre.s AS ps FROM n JOIN pre ON pre.c = n.conv_id AND pre.d = n.d - 1),
+kids AS (SELECT d - 1 AS d, ps AS s, count(*) AS n_children FROM up GROUP BY d, ps),
+sub AS (SELECT pre.d, pre.s, sum(CASE WHEN kids.s IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((n.n_convs - 1) * n.chars) AS saved_tokens
+  FROM n LEFT JOIN kids ON kids.d = n.d AND kids.s = n.s JOIN pre ON pre.c = n.conv_id AND pre.d <= n.d GROUP BY pre.d, pre.s),
+ends AS (SELECT pre.d, pre.s, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS ends_sha256 FROM pre JOIN (SELECT c, max(d) AS d FROM pre GROUP BY c) l USING (c, d) GROUP BY pre.d, pre.s)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, CAST(coalesce(n_children, 0) AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM n JOIN sub USING (d, s) LEFT JOIN up USING (d, s) LEFT JOIN n p ON p.d = n.d - 1 AND p.s = up.ps LEFT JOIN kids ON kids.d = n.d AND kids.s = n.s LEFT JOIN ends ON ends.d = n.d AND ends.s = n.s
+"""
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP13_SQL = f"""
+WITH bags AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ts FROM documents),
+total AS (SELECT count(*) FILTER (len(ts) > 0) AS n_docs, CAST(sum(len(ts)) AS BIGINT) AS n_terms FROM bags),
+q AS (SELECT item_id, term, count(*) AS q FROM (SELECT item_id, unnest({_TERMS}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY item_id, term),
+tf AS (SELECT r, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf FROM (SELECT r, doc_id, len(ts) AS n, unnest(ts) AS term FROM bags) WHERE term IN (SELECT term FROM q) GROUP BY r, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf CROSS JOIN total GROUP BY term),
+s AS (SELECT item_id, r, any_value(doc_id) AS doc_id, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score FROM tf JOIN q USING (term) JOIN w USING (term) CROSS JOIN total GROUP BY item_id, r)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM s WHERE score > 0) WHERE rank <= 20
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_classifier": op1_quality_classifier, "op2_license_scan": op2_license_scan, "op3_language_id": op3_language_id, "op4_near_dedup": op4_near_dedup, "op5_token_counts": op5_token_counts, "op6_quality_rules": op6_quality_rules, "op7_packing": op7_packing, "op8_mixing": op8_mixing, "op9_substring_dedup": op9_substring_dedup, "op10_fingerprints": op10_fingerprints}
+    return {"op1_quality_classifier": op1_quality_classifier, "op2_license_scan": op2_license_scan, "op3_language_id": op3_language_id, "op4_near_dedup": op4_near_dedup, "op5_token_counts": op5_token_counts, "op6_quality_rules": op6_quality_rules, "op7_packing": op7_packing, "op8_mixing": op8_mixing, "op9_substring_dedup": op9_substring_dedup, "op10_fingerprints": op10_fingerprints, "op11_suffix_dedup": op11_suffix_dedup, "op12_conversation_trie": op12_conversation_trie, "op13_lexical_search": op13_lexical_search}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_near_dedup": OP4_SQL, "op6_quality_rules": OP6_SQL, "op9_substring_dedup": OP9_SQL}
+    return {"op4_near_dedup": OP4_SQL, "op6_quality_rules": OP6_SQL, "op9_substring_dedup": OP9_SQL, "op11_suffix_dedup": OP11_SQL, "op12_conversation_trie": OP12_SQL, "op13_lexical_search": OP13_SQL}
