@@ -328,3 +328,20 @@ def test_crowds_of_pages_from_one_template(spark, n, pairs, common):
     table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table, shingle_words=2, percent=80).collect()}
     assert got == want
+
+
+def test_stages_leave_columns_of_any_name_alone(spark):
+    """pipeline: names that the operators use themselves, and names with a dot, keep their values."""
+    names = ["_key", "_place", "n_words", "n_removed", "kept_text", "row", "a.b", "id", "print", "component_id"]
+    prose = lambda seed: " ".join(f"word{random.Random(seed * 1000 + i).randrange(900)}" for i in range(120))
+    rows = [(i, prose(i), "en", f"s{i % 2}", 5, *(f"{i}-{k}" for k in range(len(names)))) for i in range(6)]
+    rows.append((6, rows[0][1], *rows[0][2:]))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in names)
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        got = out.select(F.col("doc_id"), F.array(*(F.col(f"`{c}`") for c in names)).alias("v")).collect()
+        assert got and all(tuple(r.v) == rows[r.doc_id][5:] for r in got), name
+        if name == "near duplicates":
+            assert sorted(r.doc_id for r in got) == list(range(6))

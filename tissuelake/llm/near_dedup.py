@@ -346,12 +346,12 @@ def keep_one(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> Data
 
     Each row is told by a hash of its columns, so rows that share a doc_id or have none are grouped by their own texts. Texts that are null or have no word are all kept.
     """
-    keyed = docs.withColumn("_key", F.xxhash64(*docs.columns))
-    bare = keyed.select(F.col("_key").alias("doc_id"), "text")
-    groups = near_duplicates(bare, shingle_words, percent).select(F.col("doc_id").alias("_key"), "component_id").distinct()
-    owners = keyed.select("_key", F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(F.struct(*columns).alias("row"), F.xxhash64(*columns).alias("_key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    groups = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), shingle_words, percent).select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    owners = keyed.select("_key", "doc_id").distinct()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("first")
     kept = materialise(groups.join(owners, "_key").groupBy("component_id").agg(first).select("first._key"))
     # equal rows share a key and one stays, but rows without words have a place each
     place = F.when(~text_or_empty().rlike(r"[^\x20\x09-\x0D]"), F.monotonically_increasing_id())
-    return keyed.withColumn("_place", place).join(kept, "_key", "left_semi").dropDuplicates(["_key", "_place"]).select(*docs.columns)
+    return keyed.select("row", "_key", place.alias("_place")).join(kept, "_key", "left_semi").dropDuplicates(["_key", "_place"]).select("row.*")

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window as W
 
 from .common import Words, byte_slices, materialise, mix64
@@ -403,7 +404,9 @@ def remove_repeats(docs: DataFrame, window: int = 20, separators: bool = True, k
     rank = F.rank().over(W.partitionBy("h1", "h2").orderBy("id", "print", "place"))
     later = windows.withColumn("rank", rank).where("places is not null or rank > 1").select("id", "print", "places", "place")
     repeats = later.groupBy("id", "print").agg(F.concat(F.collect_list("place"), F.flatten(F.collect_list("places"))).alias("repeats"))
-    types = "".join(f", {c} {own.schema[c].dataType.simpleString()}" for c in kept)
+    schema = StructType().add("id", "long").add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
+    for c in kept:
+        schema = schema.add(c, own.schema[c].dataType)
     whole = base.join(repeats, ["id", "print"], "left").select("id", "print", "text", "ranges", *kept, "repeats")
-    cut = whole.mapInArrow(_cut(window, separators, kept), f"id long, n_words long, n_removed long, kept_text string{types}")
+    cut = whole.mapInArrow(_cut(window, separators, kept), schema)
     return cut.select(F.when(F.col("id") != _NO_ID, F.col("id")).alias("doc_id"), "kept_text", "n_words", "n_removed", *(F.col(c).alias(name) for c, name in zip(kept, keep, strict=True)))
