@@ -2,6 +2,8 @@
 
 from itertools import combinations
 
+import pytest
+
 from tissuelake.operators import components, divisions, stages
 from tissuelake.plans import catalog
 
@@ -91,7 +93,9 @@ def test_best_divisions_over_chains(spark):
     assert divisions.choose(spark.createDataFrame([], schema)).count() == 0
 
 
-def test_components_of_a_chain_a_star_and_a_ring(spark):
+@pytest.mark.parametrize("one_task", [components.ONE_TASK, 0])
+def test_components_of_a_chain_a_star_and_a_ring(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
     links = [(i + 1, i) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200 + i, 200 + (i + 1) % 9) for i in range(9)] + [(None, 5), (300, 300)]
     found = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a int, b int")).collect()}
     assert found == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}, **{200 + i: 200 for i in range(9)}, 300: 300}

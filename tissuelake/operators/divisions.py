@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .components import components, saved
+from .networks import heaviest
 from .tracks import TRACK
 
 DIVISION = ["stack_id", "mother", "daughter1", "daughter2"]
@@ -75,32 +76,17 @@ def score(weights: tuple[float, ...] = (1, 1, 1, 1, 1, 1), biases: tuple[float,
 
 
 def _heaviest(rows: pd.DataFrame) -> pd.DataFrame:
-    """The rows of one cluster of conflicts that have the greatest sum of weights without a conflict. Members of a division are m, d and e."""
-    weight = rows["weight"].tolist()
-    members = [{("m", m), ("d", d), ("d", e)} for m, d, e in zip(rows["mother"], rows["daughter1"], rows["daughter2"], strict=True)]
-    order = sorted(range(len(rows)), key=lambda i: (-weight[i], rows["mother"].iat[i], rows["daughter1"].iat[i], rows["daughter2"].iat[i]))
-    best: tuple[float, list[int]] = (-1.0, [])
-    left = [0.0] * (len(order) + 1)
-    for j in reversed(range(len(order))):
-        left[j] = left[j + 1] + weight[order[j]]
-    stack: list[tuple[int, float, list[int], frozenset]] = [(0, 0.0, [], frozenset())]
-    while stack:
-        j, total, chosen, taken = stack.pop()
-        if total + left[j] <= best[0]:
-            continue
-        if j == len(order):
-            best = (total, chosen)
-            continue
-        stack.append((j + 1, total, chosen, taken))
-        if not members[order[j]] & taken:
-            stack.append((j + 1, total + weight[order[j]], [*chosen, order[j]], taken | members[order[j]]))
-    return rows.iloc[sorted(best[1])]
+    """The rows of one cluster of conflicts that have the greatest sum of weights without a conflict: one of each mother, no daughter twice."""
+    rows = rows.sort_values(["mother", "daughter1", "daughter2"]).reset_index(drop=True)
+    by_mother = [list(i) for i in rows.groupby("mother", sort=True).indices.values()]
+    options = [[(float(rows["weight"][i]), frozenset((rows["daughter1"][i], rows["daughter2"][i]))) for i in some] for some in by_mother]
+    return rows.iloc[sorted(by_mother[m][k] for m, k in heaviest(options))]
 
 
 def choose(scored: DataFrame, cutoff: float = 1.0) -> DataFrame:
     """Divisions with a score under the cutoff, or none (null or NaN: set by hand, counts as 0), so that no two conflict and the sum of (greatest score + 1 - score) is greatest.
 
-    Divisions without a conflict stay as they are. The others are solved exactly, one cluster of conflicts at a time (a mother's neighbourhood, not a whole movie). An empty table gives an empty one.
+    Divisions without a conflict stay as they are. The others are solved exactly, one cluster of conflicts at a time (a mother's neighbourhood, not a whole movie), mother by mother, so that rows of mothers of any length end soon. An empty table gives an empty one.
     """
     by_hand = F.col("score").isNull() | F.isnan("score")
     good = saved(scored.where((F.col("score") < cutoff) | by_hand).withColumn("_s", F.when(by_hand, 0.0).otherwise(F.col("score"))))

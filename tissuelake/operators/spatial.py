@@ -71,12 +71,18 @@ def grid_join(left: DataFrame, right: DataFrame, keys: list[str], radius: Column
     return spread.join(placed, [*keys, "_gx", "_gy"]).withColumn("distance", distance).where(F.col("distance") <= r).drop("_gx", "_gy")
 
 
-def division_candidates(tracks: DataFrame, radius: float) -> DataFrame:
-    """Tracks that end with two or more tracks that begin in the next frame within the radius: mother, daughter, frame, distance."""
-    last = tracks.groupBy("stack_id", "particle").agg(F.max_by(F.struct("frame", "x", "y"), "frame").alias("p"))
-    first = tracks.groupBy("stack_id", "particle").agg(F.min_by(F.struct("frame", "x", "y"), "frame").alias("p")).where("p.frame > 0")
-    mothers = last.select("stack_id", (F.col("p.frame") + 1).alias("frame"), F.col("particle").alias("mother"), F.col("p.x").alias("lx"), F.col("p.y").alias("ly"))
-    daughters = first.select("stack_id", "p.frame", F.col("particle").alias("daughter"), F.col("p.x").alias("rx"), F.col("p.y").alias("ry"))
-    found = grid_join(mothers, daughters, ["stack_id", "frame"], radius)
+def division_radius(areas: DataFrame, factor: float) -> float:
+    """The radius for division candidates by the size of cells: factor times the mean over frames of the root of the 90th percentile of areas(stack_id, frame, area)."""
+    sizes = areas.groupBy(*FRAME).agg(F.sqrt(F.percentile("area", F.lit(0.9))).alias("size"))
+    return factor * (sizes.agg(F.avg("size")).first()[0] or 0.0)
+
+
+def division_candidates(tracks: DataFrame, radius: float, persistence: int = 0) -> DataFrame:
+    """Tracks that end with two or more tracks that begin in the next frame nearer than the radius: mother, daughter, frame, distance. Tracks of `persistence` points or fewer do not count."""
+    point = F.struct("frame", "x", "y")
+    ends = tracks.groupBy("stack_id", "particle").agg(F.max_by(point, "frame").alias("last"), F.min_by(point, "frame").alias("first"), F.count("*").alias("n")).where(F.col("n") > persistence)
+    mothers = ends.select("stack_id", (F.col("last.frame") + 1).alias("frame"), F.col("particle").alias("mother"), F.col("last.x").alias("lx"), F.col("last.y").alias("ly"))
+    daughters = ends.where("first.frame > 0").select("stack_id", "first.frame", F.col("particle").alias("daughter"), F.col("first.x").alias("rx"), F.col("first.y").alias("ry"))
+    found = grid_join(mothers, daughters, ["stack_id", "frame"], radius).where(F.col("distance") < radius)
     enough = found.groupBy("stack_id", "mother").count().where("count >= 2").select("stack_id", "mother")
     return found.join(enough, ["stack_id", "mother"], "left_semi").select("stack_id", "mother", "daughter", "frame", "distance")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import components, divisions, lookups, planes, shape, spatial, stages, stats, tracks, zonal
+from ..operators import components, contours, divisions, linking, lookups, networks, planes, shape, spatial, stages, stats, tracks, zonal
 from ..sources import files
 from .fixtures import oracle, view
 
@@ -23,7 +23,7 @@ _QUART = ", ".join(f"quantile_cont({{0}}, 0.{p}) AS q{p}" for p in (25, 50, 75))
 _TILE = "CAST(greatest(0, ceil((max({0}) - min({0})) / 400.0) - 1) AS BIGINT)"
 
 _CANDIDATES = """, ends AS (SELECT particle, max(frame) AS f, arg_max(x, frame) AS x, arg_max(y, frame) AS y FROM div GROUP BY particle), begins AS (SELECT particle, min(frame) AS f, arg_min(x, frame) AS x, arg_min(y, frame) AS y FROM div GROUP BY particle),
-found AS (SELECT e.particle AS mother, b.particle AS daughter, b.f AS frame FROM ends e JOIN begins b ON b.f = e.f + 1 WHERE sqrt((e.x - b.x) * (e.x - b.x) + (e.y - b.y) * (e.y - b.y)) <= 20)"""
+found AS (SELECT e.particle AS mother, b.particle AS daughter, b.f AS frame FROM ends e JOIN begins b ON b.f = e.f + 1 WHERE sqrt((e.x - b.x) * (e.x - b.x) + (e.y - b.y) * (e.y - b.y)) < 20)"""
 _PAIRS = ", pairs AS (SELECT a.mother, a.daughter AS daughter1, b.daughter AS daughter2, a.frame FROM found a JOIN found b ON a.mother = b.mother AND a.daughter < b.daughter)"
 
 _GOOD = """, own AS (SELECT frame, y, x, label FROM pixg WHERE label <> 0), s(dy, dx) AS (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)),
@@ -75,6 +75,11 @@ def _scored(t: DataFrame) -> DataFrame:
     return divisions.features(divisions.daughter_pairs(spatial.division_candidates(t, 20.0)), t).withColumn("score", divisions.score())
 
 
+def _moving(t: DataFrame, step: float) -> DataFrame:
+    """Points whose cell numbers are the planted tracks, under a drift of `step` a frame along x."""
+    return t.select("stack_id", "frame", F.col("particle").alias("cell_number"), (F.col("x") + F.col("frame") * step).alias("x"), "y")
+
+
 #: name: (query, oracle). All read their whole tables.
 CATALOG: dict[str, tuple[Query, str]] = {
     "b08_stage_flags": (_on("trk", lambda t: stages.flags(t).select("particle", "frame", "green", "red")), oracle("trk", "SELECT particle, frame, cycle_stage IN (1, 3) AS green, cycle_stage IN (2, 3) AS red FROM trk")),
@@ -111,7 +116,7 @@ CATALOG: dict[str, tuple[Query, str]] = {
             "div",
             """, ends AS (SELECT particle, max(frame) AS f, arg_max(x, frame) AS x, arg_max(y, frame) AS y FROM div GROUP BY particle), begins AS (SELECT particle, min(frame) AS f, arg_min(x, frame) AS x, arg_min(y, frame) AS y FROM div GROUP BY particle),
 found AS (SELECT e.particle AS mother, b.particle AS daughter, b.f AS frame, sqrt((e.x - b.x) * (e.x - b.x) + (e.y - b.y) * (e.y - b.y)) AS distance FROM ends e JOIN begins b ON b.f = e.f + 1)
-SELECT mother, daughter, frame, round(distance, 6) AS distance FROM found WHERE distance <= 20 QUALIFY count(*) OVER (PARTITION BY mother) >= 2""",
+SELECT mother, daughter, frame, round(distance, 6) AS distance FROM found WHERE distance < 20 QUALIFY count(*) OVER (PARTITION BY mother) >= 2""",
         ),
     ),
     "c09_adjacency": (
@@ -264,7 +269,7 @@ SELECT CASE WHEN frame >= cut_at THEN new_id ELSE t.particle END AS particle, fr
         oracle(
             "div",
             """, ends AS (SELECT particle, max(frame) AS f, arg_max(x, frame) AS x, arg_max(y, frame) AS y FROM div GROUP BY particle), begins AS (SELECT particle, min(frame) AS f, arg_min(x, frame) AS x, arg_min(y, frame) AS y FROM div GROUP BY particle),
-near AS (SELECT e.particle AS mother, b.particle AS daughter, b.f AS frame FROM ends e JOIN begins b ON b.f = e.f + 1 AND (e.x - b.x) * (e.x - b.x) + (e.y - b.y) * (e.y - b.y) <= 400),
+near AS (SELECT e.particle AS mother, b.particle AS daughter, b.f AS frame FROM ends e JOIN begins b ON b.f = e.f + 1 AND (e.x - b.x) * (e.x - b.x) + (e.y - b.y) * (e.y - b.y) < 400),
 found AS (SELECT * FROM near QUALIFY count(*) OVER (PARTITION BY mother) >= 2),
 marks AS (SELECT mother AS particle, frame, -1 AS way FROM found UNION SELECT daughter, frame, 1 FROM found)
 SELECT m.particle, m.frame + way * d AS frame, way, round(1 - (d + 1) / 6.0::DOUBLE, 6) AS weight FROM marks m CROSS JOIN range(6) r(d) WHERE EXISTS (SELECT 1 FROM div t WHERE t.particle = m.particle AND t.frame = m.frame + way * d)""",
@@ -599,11 +604,32 @@ SELECT frame, y, x, coalesce(top + place, label) AS label FROM pixg LEFT JOIN fr
 FROM pixg h JOIN pixg p ON p.frame = h.frame WHERE h.label = 0 AND p.label <> 0 GROUP BY h.frame, h.y, h.x"""),
     ),
     "f01_natural_key": (_on("files", lambda f: f.select("path", files.natural_key(F.col("path")).alias("key"))), oracle("files", f"SELECT path, {_KEY} AS key FROM files")),
+    "h04_linked": (
+        _on("div", lambda t: _rounded(linking.track(_moving(t, 1.0), 3.0, 1.5).select("particle", "frame", "cell_number", "x"), "x")),
+        oracle("div", "SELECT dense_rank() OVER (ORDER BY begin, cell_number) - 1 AS particle, frame, cell_number, round(x, 6) AS x FROM (SELECT particle AS cell_number, frame, x + frame AS x, min(frame) OVER (PARTITION BY particle) AS begin FROM div) t"),
+    ),
+    "h04_linked_over_gaps": (
+        _on("div", lambda t: linking.link(_moving(t, 0.0).where("(frame + cell_number) % 7 <> 0"), 1.2, memory=1).select("particle", "frame", "cell_number")),
+        oracle("div", "SELECT dense_rank() OVER (ORDER BY begin, cell_number) - 1 AS particle, frame, cell_number FROM (SELECT particle AS cell_number, frame, min(frame) OVER (PARTITION BY particle) AS begin FROM div WHERE (frame + particle) % 7 <> 0) t"),
+    ),
+    "i02_filled_outlines": (
+        _on("poly", lambda v: contours.fill(v).drop("stack_id")),
+        oracle(
+            "poly",
+            """, e AS (SELECT a.frame, a.label, a.px AS ax, a.py AS ay, b.px AS bx, b.py AS by_ FROM poly a JOIN poly b ON a.frame = b.frame AND a.label = b.label AND b.k = (a.k + 1) % 6),
+s AS (SELECT frame, label, CAST(min(px) AS INT) AS x0, CAST(max(px) AS INT) AS x1, CAST(min(py) AS INT) AS y0, CAST(max(py) AS INT) AS y1 FROM poly GROUP BY frame, label),
+g AS (SELECT frame, label, y, unnest(range(x0, x1 + 1)) AS x FROM (SELECT *, unnest(range(y0, y1 + 1)) AS y FROM s) r)
+SELECT frame, label, y, x FROM g JOIN e USING (frame, label) GROUP BY frame, label, y, x HAVING min((bx - ax) * (y - ay) - (by_ - ay) * (x - ax)) >= 0""",
+        ),
+    ),
     "i03_blur": (_on("pix", lambda p: _rounded(planes.blur(p, "ch0", 48, 64, 0.8).drop("stack_id"), "value")), oracle("pix", _BLUR)),
 }
 
 #: Queries that SQL cannot express, each with a brute-force version in the tests.
 UNTWINNED: dict[str, Query] = {
+    "d13_ellipses": _on("pixg", lambda p: _rounded(contours.ellipses(contours.contours(p)).drop("stack_id"), "cx", "cy", "major", "minor", "aspect", "theta")),
+    "h15_colours": _on("pixg", lambda p: networks.colours(zonal.areas(p).select("stack_id", "frame", F.col("label").alias("id")), spatial.adjacency(p), ["stack_id", "frame"]).drop("stack_id")),
+    "i01_contours": _on("pixg", lambda p: contours.contours(p).drop("stack_id")),
     "d37_quadratic_surface": _on("pix", lambda p: planes.quadratic_surface(p, "ch0")),
     "e14_stable": _on("trk", lambda t: stages.remove_flickers(t, ((1, 3, 1),)).select("particle", "frame", "cycle_stage")),
     "e16_interpretable": _on("trk", lambda t: stages.interpretable(t, zero_remainder=False).select("particle", "frame", "cycle_stage")),
