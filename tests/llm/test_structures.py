@@ -131,6 +131,10 @@ def test_trie_is_brute_force(spark):
     assert conversation_trie.trie(spark.createDataFrame([], schema), conv - conv % 100, head).count() == 0
 
 
+def test_empty_parts_are_no_arcs():
+    assert list(conversation_trie._shorten(iter([]))) == []
+
+
 def test_list_over_several_parts(spark):
     order = list(range(400))
     random.Random(2).shuffle(order)

@@ -85,15 +85,12 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out(done)
 
 
-_ARC = "arc long, next long, leaves long, saved long, last boolean"
-
-
 def _shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Arcs of one part: each with the first arc after it that lies in another part, and the sums up to there."""
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    own = [b for b in batches if b.num_rows]
+    if not own:
         return
-    table = table.combine_chunks().sort_by("arc")
+    table = pa.Table.from_batches(own).combine_chunks().sort_by("arc")
     arc, leaves, saved = (table[c].to_numpy() for c in ("arc", "leaves", "saved"))
     target = table["next"].fill_null(-1).to_numpy()
     leaves, saved = leaves.copy(), saved.copy()
