@@ -168,3 +168,77 @@ def from_nuclei(green: DataFrame, red: DataFrame, green_above: float, red_above:
     both = green.withColumnRenamed("ratio", "g").join(red.withColumnRenamed("ratio", "r"), CELL)
     high = lambda c, t: F.coalesce((F.col(c) > t).cast("int"), F.lit(0))
     return both.select(*CELL, (high("g", green_above) + 2 * high("r", red_above)).alias(STAGE))
+
+
+def _centred_mean(v: np.ndarray, reach: int) -> np.ndarray:
+    """Mean of each value with those up to `reach` places away; fewer at the ends."""
+    total = np.concatenate([[0.0], np.cumsum(v)])
+    at = np.arange(len(v))
+    lo, hi = np.maximum(at - reach, 0), np.minimum(at + reach + 1, len(v))
+    return (total[hi] - total[lo]) / (hi - lo)
+
+
+def most_prominent(v: np.ndarray) -> tuple[int, float]:
+    """The inner local maximum of the greatest prominence (the first of equals) and that prominence; (-1, 0) without one. A level top counts once, at its middle.
+
+    Prominence is how far one has to come down before a higher value is reached, on the side where that is less; a stack of falling values finds
+    the next higher one on either side.
+    """
+    lead = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.zeros(0, int)
+    level, last = v[lead], np.append(lead[1:], len(v)) - 1
+
+    def drop(values: np.ndarray) -> np.ndarray:
+        """Lowest value since the last higher one."""
+        out, open_ = np.empty(len(values)), []
+        for i, x in enumerate(values):
+            low = x
+            while open_ and open_[-1][0] <= x:
+                low = min(low, open_.pop()[1])
+            out[i] = low
+            open_.append((x, low))
+        return out
+
+    height = level - np.maximum(drop(level), drop(level[::-1])[::-1])
+    tops = np.flatnonzero((level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])) + 1
+    if not len(tops):
+        return -1, 0.0
+    best = tops[int(height[tops].argmax())]
+    return int((lead[best] + last[best]) // 2), float(height[best])
+
+
+def transitions(green: np.ndarray, red: np.ndarray, threshold: float = -10.0, prominence: float = 0.005) -> tuple[int, int]:
+    """Places in a track at which G1 ends and at which G2 begins, -1 where it does not.
+
+    G1 ends after the first steep fall of green (gradient at the threshold or below, or near the steepest fall if that is steeper still; not in the last three
+    places). G2 begins at the deepest dip of smoothed green over smoothed red, five places after G1's end at the earliest.
+    """
+    slope = np.gradient(green)
+    falls = np.flatnonzero(slope[:-3] <= min(threshold, 0.9 * slope.min()))
+    g1 = int(falls[0]) + 1 if len(falls) else -1
+    parts = [green[:g1], green[g1:]] if g1 > 0 else [green]
+    calm = np.concatenate([_centred_mean(p, 2) if len(p) > 5 else p for p in parts])
+    with np.errstate(all="ignore"):
+        ratio = calm / _centred_mean(red, 3)
+    start = g1 + 5 if g1 > 0 else 0
+    dip, depth = most_prominent(-ratio[start:])
+    return g1, dip + start if dip >= 0 and depth >= prominence else -1
+
+
+def stages_by_transitions(points: DataFrame, threshold: float = -10.0, prominence: float = 0.005, least: int = 15) -> DataFrame:
+    """points(stack_id, particle, frame, green, red, cycle_stage, ...) with the stages that transitions() of each track give: 1 before G1's end, 3 from G2's begin, 2 between.
+
+    Tracks of fewer than `least` points, with a null or NaN intensity, or without a transition keep their stages. A task gets the two series of
+    one track at a time, a movie's length at most. An empty table gives an empty one.
+    """
+    series = points.groupBy(*TRACK).agg(F.sort_array(F.collect_list(F.struct("frame", F.col("green").cast("double").alias("g"), F.col("red").cast("double").alias("r")))).alias("s"), F.count("*").alias("n")).where(F.col("n") >= least)
+    series = series.where(~F.exists("s", lambda x: x["g"].isNull() | x["r"].isNull() | F.isnan(x["g"]) | F.isnan(x["r"])))
+
+    @F.pandas_udf("g1 int, g2 int")
+    def found(greens: pd.Series, reds: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([transitions(np.asarray(g, float), np.asarray(r, float), threshold, prominence) for g, r in zip(greens, reds, strict=True)], columns=["g1", "g2"])
+
+    marks = series.select(*TRACK, "s", found(F.transform("s", lambda x: x["g"]), F.transform("s", lambda x: x["r"])).alias("t")).where("t.g1 > 0 or t.g2 >= 0")
+    frame = lambda c: F.when(F.col(f"t.{c}") >= 0, F.element_at("s", F.col(f"t.{c}") + 1)["frame"])
+    marks = marks.select(*TRACK, frame("g1").alias("_g1"), frame("g2").alias("_g2"), F.lit(True).alias("_set"))
+    stage = F.when(F.col("_set").isNull(), F.col("cycle_stage")).when(F.col("frame") >= F.col("_g2"), 3).when(F.col("frame") < F.col("_g1"), 1).otherwise(2)
+    return points.join(marks, TRACK, "left").withColumn("cycle_stage", stage).drop("_g1", "_g2", "_set")

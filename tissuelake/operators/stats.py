@@ -19,13 +19,19 @@ def boxes(rows: DataFrame, groups: list[str], value: str) -> DataFrame:
 
 
 def histogram(rows: DataFrame, value: str) -> DataFrame:
-    """Density histogram with the bin width 2 * IQR / n ** (1/3) of Freedman and Diaconis; the last bin is closed. Bounds are one row."""
+    """Density histogram with the bin width 2 * IQR / n ** (1/3) of Freedman and Diaconis; the last bin is closed. Bounds are one row.
+
+    Null and NaN do not count. Where the width is 0 there is one bin; where all values are equal it reaches half a unit to both sides.
+    """
+    known = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))
-    bounds = rows.agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count(value).alias("n"), q.alias("q"))
+    bounds = known.agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count(value).alias("n"), q.alias("q"))
+    flat = F.col("low") == F.col("high")
+    bounds = bounds.select("n", "q", F.when(flat, F.col("low") - 0.5).otherwise(F.col("low")).alias("low"), F.when(flat, F.col("high") + 0.5).otherwise(F.col("high")).alias("high"))
     width = 2 * (F.col("q")[1] - F.col("q")[0]) / F.pow("n", F.lit(1 / 3))
-    bins = F.greatest(F.lit(1), F.ceil((F.col("high") - F.col("low")) / width))
+    bins = F.when(width > 0, F.greatest(F.lit(1), F.ceil(F.try_divide(F.col("high") - F.col("low"), width)))).otherwise(F.lit(1))
     bounds = bounds.select("low", "n", bins.cast("long").alias("bins"), ((F.col("high") - F.col("low")) / bins).alias("width"))
-    placed = rows.where(F.col(value).isNotNull()).crossJoin(F.broadcast(bounds))
+    placed = known.crossJoin(F.broadcast(bounds))
     bin_ = F.least(F.floor((F.col(value) - F.col("low")) / F.col("width")), F.col("bins") - 1).cast("long")
     counts = placed.groupBy(bin_.alias("bin")).agg(F.count("*").alias("count"), F.first("n").alias("n"), F.first("width").alias("width"), F.first("low").alias("low"))
     return counts.select("bin", "count", (F.col("low") + F.col("bin") * F.col("width")).alias("start"), (F.col("count") / (F.col("n") * F.col("width"))).alias("density"))
@@ -42,6 +48,7 @@ def weighted_histogram(rows: DataFrame, groups: list[str], value: str, bins: int
     width = (high - low) / bins
     place = lambda v: F.when(v == high, bins - 1).otherwise(F.floor((v - low) / width)).cast("long")
     v = F.col(value)
+    rows = rows.where(v.isNull() | ~F.isnan(v))
     whole = rows.groupBy(*groups).agg(F.count(v).alias("n"), F.percentile(v, F.lit(0.5)).alias("median"))
     counts = rows.where((v >= low) & (v <= high)).groupBy(*groups, place(v).alias("bin")).agg(F.count("*").alias("count"))
     return _with_group(counts, whole, groups).select(*groups, "bin", (F.col("count") / F.col("n")).alias("share"), (place(F.col("median")) == F.col("bin")).alias("has_median"))

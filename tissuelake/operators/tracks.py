@@ -47,10 +47,22 @@ def search_range(tracks: DataFrame, quantile: float = 0.97) -> DataFrame:
     return velocities(tracks).where("v is not null").groupBy("stack_id").agg(F.percentile("v", F.lit(quantile)).alias("search_range"))
 
 
+#: Particle ids that one task numbers.
+_SPAN = 1 << 16
+
+
+def new_ids(tracks: DataFrame) -> DataFrame:
+    """(stack_id, particle, new_particle): ids without gaps from 0 in each stack, in their order. Ids are numbered span by span and moved on by the spans before."""
+    ids = tracks.select(*TRACK).distinct().withColumn("_span", F.floor(F.col("particle") / _SPAN).cast("long"))
+    counts = ids.groupBy("stack_id", "_span").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("stack_id").orderBy("_span").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = ids.withColumn("_place", F.row_number().over(W.partitionBy("stack_id", "_span").orderBy("particle"))).join(counts.withColumn("_before", before), ["stack_id", "_span"])
+    return placed.select(*TRACK, (F.col("_before") + F.col("_place") - 1).cast("long").alias("new_particle"))
+
+
 def renumber(tracks: DataFrame) -> DataFrame:
-    """Particle ids without gaps from 0 in each stack. Ids are numbered in the small table of tracks and joined back."""
-    ids = tracks.select(*TRACK).distinct().withColumn("new_particle", F.row_number().over(W.partitionBy("stack_id").orderBy("particle")) - 1)
-    return tracks.join(ids, TRACK).withColumn("particle", F.col("new_particle").cast("long")).drop("new_particle")
+    """Particle ids without gaps from 0 in each stack."""
+    return tracks.join(new_ids(tracks), TRACK).withColumn("particle", F.col("new_particle")).drop("new_particle")
 
 
 def drop_stubs(tracks: DataFrame, least: int) -> DataFrame:
@@ -93,13 +105,19 @@ def delete_parts(tracks: DataFrame, edits: DataFrame) -> DataFrame:
     return joined.drop("head", "tail")
 
 
+def _once(moves: DataFrame) -> DataFrame:
+    """moves(stack_id, particle, ...), an error if a track is in two: those have to be taken in order, by edits.applied."""
+    several = F.count("*").over(W.partitionBy(*TRACK)) > 1
+    return moves.withColumn("at", F.when(several, F.raise_error(F.lit("a track in two edits: use edits.applied")).cast("int")).otherwise(F.col("at")))
+
+
 def split(tracks: DataFrame, edits: DataFrame) -> DataFrame:
-    """Split tracks at frames, by edits(stack_id, particle, frame), one a track: the part from the frame on gets a new id, unless nothing comes before it."""
+    """Split tracks at frames, by edits(stack_id, particle, frame), one a track (else an error): the part from the frame on gets a new id, unless nothing comes before it."""
     top = tracks.groupBy("stack_id").agg(F.max("particle").alias("top"))
     begun = tracks.groupBy(*TRACK).agg(F.min("frame").alias("begin"))
     cuts = edits.select(*TRACK, F.col("frame").alias("at")).join(begun, TRACK).where("begin < at")
     cuts = cuts.withColumn("k", F.row_number().over(W.partitionBy("stack_id").orderBy("particle"))).join(top, "stack_id").select(*TRACK, "at", (F.col("top") + F.col("k")).alias("new_id"))
-    joined = tracks.join(cuts, TRACK, "left")
+    joined = tracks.join(_once(cuts), TRACK, "left")
     return joined.withColumn("particle", F.when(F.col("frame") >= F.col("at"), F.col("new_id")).otherwise(F.col("particle"))).drop("at", "new_id")
 
 
@@ -112,13 +130,13 @@ def add_drift(tracks: DataFrame, shift: DataFrame) -> DataFrame:
 def merge(tracks: DataFrame, merges: DataFrame) -> DataFrame:
     """Merge tracks by merges(stack_id, first, second, frame): from the frame on, `second` goes on as `first`, and what `first` had there becomes a new track.
 
-    A track is in one merge at most. What `second` had before the frame stays. Ids are contiguous after it.
+    A track is in one merge at most (else an error). What `second` had before the frame stays. Ids are contiguous after it.
     """
     top = tracks.groupBy("stack_id").agg(F.max("particle").alias("top"))
     k = F.row_number().over(W.partitionBy("stack_id").orderBy("first"))
     found = merges.withColumn("k", k).join(top, "stack_id").select("stack_id", "first", "second", F.col("frame").alias("at"), (F.col("top") + F.col("k")).alias("tail"))
     moves = found.select("stack_id", F.col("first").alias("particle"), "at", F.col("tail").alias("to")).union(found.select("stack_id", "second", "at", "first"))
-    joined = tracks.join(moves, TRACK, "left").withColumn("particle", F.when(F.col("frame") >= F.col("at"), F.col("to")).otherwise(F.col("particle")))
+    joined = tracks.join(_once(moves), TRACK, "left").withColumn("particle", F.when(F.col("frame") >= F.col("at"), F.col("to")).otherwise(F.col("particle")))
     return renumber(joined.drop("at", "to"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import components, contours, divisions, linking, lookups, networks, planes, shape, spatial, stages, stats, tracks, zonal
+from ..operators import components, contours, divisions, edits, linking, lookups, networks, planes, shape, spatial, stages, stats, tracks, zonal
 from ..sources import files
 from .fixtures import oracle, view
 
@@ -80,6 +80,18 @@ def _moving(t: DataFrame, step: float) -> DataFrame:
     return t.select("stack_id", "frame", F.col("particle").alias("cell_number"), (F.col("x") + F.col("frame") * step).alias("x"), "y")
 
 
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two edits of each mother of `div`, the later one on what the first may have moved."""
+    e, u = view(spark, sf_dir, "edit"), F.col("particle")
+    first = e.select("stack_id", (u + 1).alias("seq"), "op", (u * 4).alias("particle"), (u * 4 + 1).alias("other"), (F.col("frame") / 3).cast("int").alias("frame"))
+    return first.union(e.select("stack_id", u + 10_000_000, F.when(u % 3 == 0, "merge").when(u % 3 == 1, "split").otherwise("delete"), u * 4, u * 4 + 2, (F.col("frame") / 4).cast("int")))
+
+
+def _edited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    t = view(spark, sf_dir, "div")
+    return edits.renumbered(*edits.applied(t, divisions.daughter_pairs(spatial.division_candidates(t, 20.0)), _log(spark, sf_dir)))
+
+
 #: name: (query, oracle). All read their whole tables.
 CATALOG: dict[str, tuple[Query, str]] = {
     "b08_stage_flags": (_on("trk", lambda t: stages.flags(t).select("particle", "frame", "green", "red")), oracle("trk", "SELECT particle, frame, cycle_stage IN (1, 3) AS green, cycle_stage IN (2, 3) AS red FROM trk")),
@@ -631,6 +643,9 @@ UNTWINNED: dict[str, Query] = {
     "h15_colours": _on("pixg", lambda p: networks.colours(zonal.areas(p).select("stack_id", "frame", F.col("label").alias("id")), spatial.adjacency(p), ["stack_id", "frame"]).drop("stack_id")),
     "i01_contours": _on("pixg", lambda p: contours.contours(p).drop("stack_id")),
     "d37_quadratic_surface": _on("pix", lambda p: planes.quadratic_surface(p, "ch0")),
+    "e17_stages_by_transitions": _on("trk", lambda t: stages.stages_by_transitions(t.withColumns({"green": F.col("x"), "red": F.col("y") + 1})).select("particle", "frame", "cycle_stage")),
+    "h05_edited_tracks": lambda spark, sf_dir: _edited(spark, sf_dir)[0].select("particle", "frame", "x"),
+    "h14_edited_divisions": lambda spark, sf_dir: _edited(spark, sf_dir)[1].drop("stack_id"),
     "e14_stable": _on("trk", lambda t: stages.remove_flickers(t, ((1, 3, 1),)).select("particle", "frame", "cycle_stage")),
     "e16_interpretable": _on("trk", lambda t: stages.interpretable(t, zero_remainder=False).select("particle", "frame", "cycle_stage")),
 }
