@@ -1,8 +1,8 @@
 """Near-duplicate groups by an LSH forest over MinHash signatures, confirmed on whole shingle sets.
 
 A signature has TREES * DEPTH 16-bit MinHash values. Each tree sorts all distinct shingle sets by its own DEPTH values; documents
-close in that order share a long prefix, and the nearer neighbours share a longer one, so a crowded region is searched deeper
-than an empty one without any fixed bucket. Every set is held against its WINDOW successors in each order if they share
+close in that order share a long prefix, and the nearer neighbours share a longer one, so that there is no fixed bucket. The depth is the
+same everywhere (DEPTH values); what it cannot tell apart in a crowded region is closed as said below. Every set is held against its WINDOW successors in each order if they share
 MIN_DEPTH values. Two sets of resemblance 0.8 share three values in a given order with probability 0.51, so 24 orders
 miss a link with probability 3e-8 where no crowd stands between them.
 
