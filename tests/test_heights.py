@@ -1,8 +1,8 @@
-"""Specks of height planes against a plain flood fill."""
+"""Specks of height planes and gaps between cells against a plain flood fill."""
 
 import numpy as np
 
-from tissuelake.operators import heights
+from tissuelake.operators import heights, planes
 from tissuelake.plans import catalog
 from tissuelake.plans.fixtures import view
 
@@ -60,3 +60,38 @@ def test_whole_query(spark):
     for r in catalog.queries()["h03_height_outliers"](spark, SF).collect():
         got.setdefault(r.frame, {})[r.y, r.x] = r.height
     assert got == {f: _filled(p, 12) for f, p in planes.items()}
+
+
+def _mended(plane, largest=None):
+    if largest is None:
+        sizes = [list(plane.values()).count(label) for label in set(plane.values()) - {0}]
+        largest = sum(sizes) / len(sizes) / 2 if sizes else 0
+    gaps = {p for part in _flood({p for p, v in plane.items() if v == 0}, lambda p, q: True) if len(part) < largest for p in part}
+    rest = sorted(set(plane) - gaps)
+    near = lambda p: min(rest, key=lambda q: ((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2, q))
+    return {p: plane[near(p)] if p in gaps and rest else v for p, v in plane.items()}
+
+
+def test_gaps_are_mended(spark):
+    rng = np.random.default_rng(4)
+    noise = {(y, x): int(v) for (y, x), v in np.ndenumerate(rng.integers(0, 4, (11, 13)))}
+    wide = {(y, x): 0 if 3 <= y < 8 and 3 <= x < 8 or x == 12 else 1 + (x > 6) for y in range(11) for x in range(13)}
+    planes_ = [noise, wide, {(0, 0): 0, (0, 1): 0}]
+    rows = [(0, f, y, x, v, "kept") for f, p in enumerate(planes_) for (y, x), v in p.items()]
+    df = spark.createDataFrame(rows, "stack_id int, frame int, y int, x int, label int, note string")
+    for largest in (6, 20):
+        got = {}
+        for r in planes.mend_gaps(df, largest).collect():
+            assert r.note == "kept"
+            got.setdefault(r.frame, {})[r.y, r.x] = r.label
+        assert got == {f: _mended(p, largest) for f, p in enumerate(planes_)}
+    assert planes.mend_gaps(spark.createDataFrame([], df.schema)).count() == 0
+
+
+def test_whole_query_of_gaps(spark):
+    planes_, got = {}, {}
+    for r in view(spark, SF, "pixg").collect():
+        planes_.setdefault(r.frame, {})[r.y, r.x] = r.label
+    for r in catalog.queries()["h02_mended_gaps"](spark, SF).collect():
+        got.setdefault(r.frame, {})[r.y, r.x] = r.label
+    assert got == {f: _mended(p) for f, p in planes_.items()}

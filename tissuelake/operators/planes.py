@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .components import saved
+from .components import label_components, saved
 from .spatial import grid_join
-from .zonal import CELL, FRAME
+from .zonal import CELL, FRAME, areas
 
 PIXEL = [*FRAME, "y", "x"]
 
@@ -55,6 +55,25 @@ def nearest_labels(pixels: DataFrame, radius: float = 4.0) -> DataFrame:
         radius *= 2
 
 
+def mend_gaps(pixels: DataFrame, largest: float | None = None) -> DataFrame:
+    """pixels with each connected part of the background (by sides) that has fewer than `largest` pixels filled: every pixel takes the label of the nearest pixel outside such parts, ties by y and x.
+
+    Without `largest`, half the mean area of the frame's cells. A frame that is one small part stays as it is. Other columns stay; an empty table gives an empty one.
+    """
+    empty = pixels.where("label = 0").select(*PIXEL, "label")
+    parts = saved(label_components(empty).select(*PIXEL, "cy", "cx"))
+    sizes = parts.groupBy(*FRAME, "cy", "cx").agg(F.count("*").alias("n"))
+    half = areas(pixels).groupBy(*FRAME).agg((F.avg("area") / 2).alias("bound")) if largest is None else sizes.select(*FRAME).distinct().withColumn("bound", F.lit(float(largest)))
+    small = sizes.join(half, FRAME).where("n < bound").select(*FRAME, "cy", "cx")
+    gaps = saved(parts.join(small, [*FRAME, "cy", "cx"], "left_semi").select(*PIXEL, F.lit(True).alias("_gap")))
+    # the rest of the background is as near as any cell
+    marked = pixels.select(*PIXEL, "label").join(gaps, PIXEL, "left")
+    sources = marked.select(*PIXEL, F.when(F.col("_gap"), 0).when(F.col("label") == 0, -1).otherwise(F.col("label")).alias("label"))
+    near = nearest_labels(sources).select(*PIXEL, F.greatest("label", F.lit(0)).alias("_new"))
+    kind = dict(pixels.dtypes)["label"]
+    return pixels.join(near, PIXEL, "left").withColumn("label", F.coalesce("_new", "label").cast(kind)).drop("_new")
+
+
 def blur(pixels: DataFrame, channel: str, height: int, width: int, sigma: float) -> DataFrame:
     """A channel under a Gaussian cut at four sigma, edges reflected: one weighted sum along y and one along x.
 
