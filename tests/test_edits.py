@@ -100,6 +100,16 @@ def test_ids_over_several_spans(spark, monkeypatch):
     assert sorted((r.stack_id, r.particle, r.frame) for r in got) == [(s, p, f) for s in (0, 1) for p in range(7) for f in range(2)]
 
 
+def test_order_over_several_spans(spark, monkeypatch):
+    monkeypatch.setattr(tracks, "_SPAN", 3)
+    rows = [(s, p, f) for s in (0, 1) for p in range(9) for f in range(p % 4, 10)]
+    t = spark.createDataFrame(random.Random(1).sample(rows, len(rows)), "stack_id int, particle long, frame int")
+    for by_particle, key in ((False, lambda r: (r[0], r[2], r[1])), (True, lambda r: r)):
+        got = [tuple(r) for r in tracks.ordered(t, by_particle).collect()]
+        assert [r[:3] for r in got] == sorted(rows, key=key)
+        assert [r[3] for r in got if r[0] == 1] == list(range(len(rows) // 2))
+
+
 def _stages(green, red, before):
     n = len(green)
     if n < 15:

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window as W
 
 from .components import label_components, saved
 from .spatial import grid_join
-from .zonal import CELL, FRAME, areas
+from .zonal import CELL, FRAME, areas, intensity
 
 PIXEL = [*FRAME, "y", "x"]
 
@@ -92,6 +92,12 @@ def blur(pixels: DataFrame, channel: str, height: int, width: int, sigma: float)
     return out.select(*FRAME, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "value")
 
 
+def blurred_intensity(pixels: DataFrame, channel: str, height: int, width: int, sigma: float, percentile: float = 0.9) -> DataFrame:
+    """Percentile of a blurred channel in each cell, cut to an integer."""
+    calm = blur(pixels, channel, height, width, sigma).withColumn("value", F.round("value", 6))
+    return intensity(pixels.select(*PIXEL, "label").join(calm, PIXEL), "value", percentile)
+
+
 def outline_text(vertices: DataFrame) -> DataFrame:
     """Each cell's outline (vertices in order of k) as a closed WKT polygon; null with fewer than three vertices."""
     points = vertices.groupBy(*CELL).agg(F.sort_array(F.collect_list(F.struct("k", "px", "py"))).alias("p"))

@@ -70,6 +70,23 @@ def drop_stubs(tracks: DataFrame, least: int) -> DataFrame:
     return renumber(tracks.withColumn("_n", F.count("*").over(W.partitionBy(*TRACK))).where(F.col("_n") >= least).drop("_n"))
 
 
+def ordered(tracks: DataFrame, by_particle: bool = False) -> DataFrame:
+    """tracks sorted over all tasks by frame and particle, or by particle and frame, with `place`, the row's number in its stack from 0.
+
+    Numbers are given within frames (or tracks) and moved on by the rows before, so that no task numbers a stack.
+    """
+    first, second = ("particle", "frame") if by_particle else ("frame", "particle")
+    counts = tracks.groupBy("stack_id", first).agg(F.count("*").alias("_n"))
+    span = counts.withColumn("_span", F.floor(F.col(first) / _SPAN).cast("long"))
+    spans = span.groupBy("stack_id", "_span").agg(F.sum("_n").alias("_n"))
+    earlier = lambda keys, order: F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    spans = spans.select("stack_id", "_span", earlier(["stack_id"], "_span").alias("_spans"))
+    starts = span.withColumn("_before", earlier(["stack_id", "_span"], first)).join(spans, ["stack_id", "_span"]).select("stack_id", first, (F.col("_before") + F.col("_spans")).alias("_start"))
+    own = F.row_number().over(W.partitionBy("stack_id", first).orderBy(second)) - 1
+    placed = tracks.withColumn("place", own).join(starts, ["stack_id", first]).withColumn("place", F.col("place") + F.col("_start")).drop("_start")
+    return placed.orderBy("stack_id", "place").select(*tracks.columns, "place")
+
+
 def segments(tracks: DataFrame) -> DataFrame:
     """Each point with its track's next, where that is in the next frame."""
     nxt = {f"next_{c}": F.lead(c).over(by_frame()) for c in ("frame", "x", "y")}

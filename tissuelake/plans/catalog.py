@@ -52,6 +52,8 @@ wy AS (SELECT t, CASE WHEN t + d < 0 THEN -1 - t - d WHEN t + d > 47 THEN 95 - t
 wx AS (SELECT t, CASE WHEN t + d < 0 THEN -1 - t - d WHEN t + d > 63 THEN 127 - t - d ELSE t + d END AS src, w / sum(w) OVER (PARTITION BY t) AS w FROM steps)
 SELECT frame, CAST(wy.t AS INT) AS y, CAST(wx.t AS INT) AS x, round(sum(ch0 * wy.w * wx.w), 6) AS value FROM pix JOIN wy ON wy.src = y JOIN wx ON wx.src = x GROUP BY frame, wy.t, wx.t"""
 
+_BLUR_STEPS, _BLUR_SUM = _BLUR.split("\nSELECT", 1)
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -616,6 +618,14 @@ SELECT frame, y, x, coalesce(top + place, label) AS label FROM pixg LEFT JOIN fr
 FROM pixg h JOIN pixg p ON p.frame = h.frame WHERE h.label = 0 AND p.label <> 0 GROUP BY h.frame, h.y, h.x"""),
     ),
     "f01_natural_key": (_on("files", lambda f: f.select("path", files.natural_key(F.col("path")).alias("key"))), oracle("files", f"SELECT path, {_KEY} AS key FROM files")),
+    "d14_blurred_percentile": (
+        _on("pixg", lambda p: planes.blurred_intensity(p, "ch0", 48, 64, 0.8).drop("stack_id")),
+        oracle("pixg", f"{_BLUR_STEPS}, blurred AS (SELECT{_BLUR_SUM}) SELECT frame, label, CAST(trunc(quantile_cont(value, 0.9)) AS INT) AS value FROM blurred JOIN pixg USING (frame, y, x) WHERE label <> 0 GROUP BY frame, label"),
+    ),
+    "f03_ordered": (
+        _on("trk", lambda t: tracks.ordered(t).select("particle", "frame", "place").join(tracks.ordered(t, by_particle=True).select("particle", "frame", F.col("place").alias("place_by_particle")), ["particle", "frame"])),
+        oracle("trk", "SELECT particle, frame, row_number() OVER (ORDER BY frame, particle) - 1 AS place, row_number() OVER (ORDER BY particle, frame) - 1 AS place_by_particle FROM trk"),
+    ),
     "h04_linked": (
         _on("div", lambda t: _rounded(linking.track(_moving(t, 1.0), 3.0, 1.5).select("particle", "frame", "cell_number", "x"), "x")),
         oracle("div", "SELECT dense_rank() OVER (ORDER BY begin, cell_number) - 1 AS particle, frame, cell_number, round(x, 6) AS x FROM (SELECT particle AS cell_number, frame, x + frame AS x, min(frame) OVER (PARTITION BY particle) AS begin FROM div) t"),
