@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import components, contours, divisions, edits, heights, linking, lookups, networks, planes, shape, spatial, stages, stats, tracks, zonal
+from ..operators import components, contours, divisions, edits, heights, linking, lookups, networks, planes, shape, spatial, stages, stats, thresholds, tracks, zonal
 from ..sources import files
 from .fixtures import oracle, view
 
@@ -650,6 +650,7 @@ SELECT frame, label, y, x FROM g JOIN e USING (frame, label) GROUP BY frame, lab
 #: Queries that SQL cannot express, each with a brute-force version in the tests.
 UNTWINNED: dict[str, Query] = {
     "d13_ellipses": _on("pixg", lambda p: _rounded(contours.ellipses(contours.contours(p)).drop("stack_id"), "cx", "cy", "major", "minor", "aspect", "theta")),
+    "d20_automatic_threshold": _on("pix", lambda p: _rounded(thresholds.automatic(p, "ch0", 12, percentiles=(5, 95)).drop("stack_id"), "threshold")),
     "h02_mended_gaps": _on("pixg", lambda p: planes.mend_gaps(p).select("frame", "y", "x", "label")),
     "h03_height_outliers": _on("pix", lambda p: heights.without_outliers(p.withColumn("height", F.floor(F.col("ch0") / 60).cast("int")), 12).drop("stack_id")),
     "h15_colours": _on("pixg", lambda p: networks.colours(zonal.areas(p).select("stack_id", "frame", F.col("label").alias("id")), spatial.adjacency(p), ["stack_id", "frame"]).drop("stack_id")),
