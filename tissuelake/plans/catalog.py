@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import components, contours, divisions, edits, heights, linking, lookups, networks, planes, shape, spatial, stages, stats, thresholds, tracks, zonal
+from ..operators import components, contours, divisions, edits, heights, linking, lookups, masks, networks, planes, shape, spatial, stages, stats, thresholds, tracks, zonal
 from ..sources import files
 from .fixtures import oracle, view
 
@@ -647,12 +647,88 @@ SELECT frame, label, y, x FROM g JOIN e USING (frame, label) GROUP BY frame, lab
     "i03_blur": (_on("pix", lambda p: _rounded(planes.blur(p, "ch0", 48, 64, 0.8).drop("stack_id"), "value")), oracle("pix", _BLUR)),
 }
 
+
+def _owned(pixels: DataFrame) -> DataFrame:
+    """Each label as a track."""
+    return zonal.cells(pixels).groupBy("stack_id", "frame", "label").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).select("stack_id", "frame", F.col("label").cast("long").alias("particle"), (F.col("label") - 1).alias("cell_number"), "x", "y")
+
+
+def _families(tracks_: DataFrame) -> DataFrame:
+    """A division of each track number divisible by 5, from the two that follow."""
+    return tracks_.where("particle % 5 = 0").groupBy("stack_id", F.col("particle").alias("mother")).agg(F.min("frame").alias("frame")).select("stack_id", "mother", (F.col("mother") + 1).alias("daughter1"), (F.col("mother") + 2).alias("daughter2"), "frame")
+
+
+def _gappy(pixels: DataFrame) -> DataFrame:
+    return pixels.withColumn("label", F.when((F.col("label") % 4 == 1) & (F.col("frame") % 3 == 0), 0).otherwise(F.col("label")))
+
+
+def _deleted_cells(pixels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    gone = zonal.cells(pixels).where("label % 5 = frame % 5 or label = 12").select("stack_id", "frame", "label").distinct()
+    return masks.delete_cells(pixels, _owned(pixels), _families(_owned(pixels)), gone)
+
+
+def _merged_tracks(pixels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    gappy = _gappy(pixels)
+    pairs = gappy.where("label % 4 = 1").select("stack_id", F.col("label").cast("long").alias("first"), (F.col("label") + 1).cast("long").alias("second")).distinct()
+    return masks.merge_track_masks(gappy, _owned(gappy), _families(_owned(gappy)), pairs)
+
+
+def _without_frames(t: DataFrame, part: int) -> DataFrame:
+    gone = t.where("frame % 10 = 3").select("stack_id", "frame").distinct()
+    return masks.delete_frames(t, _families(t), tracks.drift(t), gone)[part].drop("stack_id")
+
+
+def _cuts(pixels: DataFrame) -> DataFrame:
+    """Two lines over each frame."""
+    f = F.col("frame")
+    vertex = lambda cut, k, y, x: F.struct(F.lit(cut).alias("cut"), F.lit(k).alias("k"), y.cast("int").alias("y"), x.cast("int").alias("x"))
+    lines = F.array(vertex(0, 0, F.lit(0), 5 + f % 7), vertex(0, 1, F.lit(20), F.lit(30)), vertex(0, 2, F.lit(47), 40 + f % 11), vertex(1, 0, f % 48, F.lit(0)), vertex(1, 1, F.lit(30), F.lit(63)))
+    return pixels.select("stack_id", "frame").distinct().select("stack_id", "frame", F.explode(lines).alias("v")).select("stack_id", "frame", "v.*")
+
+
+_SHIFTED = "frame - (SELECT count(*) FROM (SELECT DISTINCT frame AS g FROM trk WHERE frame % 10 = 3) d WHERE g < {0}.frame)"
+_FAMILY = "SELECT particle AS mother, min(frame) AS frame, particle + 1 AS daughter1, particle + 2 AS daughter2 FROM {0} WHERE particle % 5 = 0 GROUP BY particle"
+CATALOG |= {
+    "b14_deleted_cells_tracks": (
+        _on("pix", lambda p: _rounded(_deleted_cells(p)[1].drop("stack_id"), "x", "y")),
+        oracle("pix", """SELECT frame, CAST(label AS BIGINT) AS particle, row_number() OVER (PARTITION BY frame ORDER BY label) - 1 AS cell_number, round(avg(x), 6) AS x, round(avg(y), 6) AS y
+FROM pix WHERE NOT (label % 5 = frame % 5 OR label = 12) GROUP BY frame, label"""),
+    ),
+    "b14_deleted_cells_divisions": (
+        _on("pix", lambda p: _deleted_cells(p)[2].drop("stack_id")),
+        oracle("pix", f""", own AS (SELECT DISTINCT frame, CAST(label AS BIGINT) AS particle FROM pix), kept AS (SELECT DISTINCT particle FROM own WHERE NOT (particle % 5 = frame % 5 OR particle = 12)), lost AS (SELECT DISTINCT particle FROM own ANTI JOIN kept USING (particle))
+SELECT * FROM ({_FAMILY.format("own")}) f WHERE mother NOT IN (FROM lost) AND daughter1 NOT IN (FROM lost) AND daughter2 NOT IN (FROM lost)"""),
+    ),
+    "h09_merged_track_masks": (
+        _on("pix", lambda p: _merged_tracks(p)[0].select("frame", "y", "x", "label")),
+        oracle("pix", """, gappy AS (SELECT frame, y, x, CASE WHEN label % 4 = 1 AND frame % 3 = 0 THEN 0 ELSE label END AS label FROM pix), firsts AS (SELECT DISTINCT label FROM gappy WHERE label % 4 = 1),
+merged AS (SELECT g.frame, y, x, CASE WHEN g.label % 4 = 2 AND EXISTS (SELECT 1 FROM gappy o WHERE o.frame = g.frame AND o.label = g.label - 1) THEN g.label - 1 ELSE g.label END AS label FROM gappy g)
+SELECT frame, y, x, CASE WHEN label = 0 THEN 0 ELSE dense_rank() OVER (PARTITION BY frame, label = 0 ORDER BY label) END AS label FROM merged"""),
+    ),
+    "h09_merged_tracks": (
+        _on("pix", lambda p: _rounded(_merged_tracks(p)[1].drop("stack_id"), "x", "y")),
+        oracle("pix", """, gappy AS (SELECT * FROM pix WHERE NOT (label % 4 = 1 AND frame % 3 = 0)), firsts AS (SELECT DISTINCT label FROM gappy WHERE label % 4 = 1),
+owned AS (SELECT frame, y, x, label, CASE WHEN label % 4 = 2 AND label - 1 IN (FROM firsts) THEN label - 1 ELSE label END AS particle FROM gappy)
+SELECT frame, CAST(particle AS BIGINT) AS particle, row_number() OVER (PARTITION BY frame ORDER BY min(label)) - 1 AS cell_number, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM owned GROUP BY frame, particle"""),
+    ),
+    "b10_deleted_frames": (
+        _on("trk", lambda t: _without_frames(t, 0).select("particle", "frame", "x")),
+        oracle("trk", f"SELECT particle, {_SHIFTED.format('t')} AS frame, x FROM trk t WHERE frame % 10 <> 3"),
+    ),
+    "b10_deleted_frames_divisions": (
+        _on("trk", lambda t: _without_frames(t, 1)),
+        oracle("trk", f""", lost AS (SELECT particle FROM trk GROUP BY particle HAVING bool_and(frame % 10 = 3)), f AS ({_FAMILY.format("trk")})
+SELECT mother, daughter1, daughter2, {_SHIFTED.format('f')} AS frame FROM f WHERE mother NOT IN (FROM lost) AND daughter1 NOT IN (FROM lost) AND daughter2 NOT IN (FROM lost)"""),
+    ),
+}
+
 #: Queries that SQL cannot express, each with a brute-force version in the tests.
 UNTWINNED: dict[str, Query] = {
     "d13_ellipses": _on("pixg", lambda p: _rounded(contours.ellipses(contours.contours(p)).drop("stack_id"), "cx", "cy", "major", "minor", "aspect", "theta")),
     "d20_automatic_threshold": _on("pix", lambda p: _rounded(thresholds.automatic(p, "ch0", 12, percentiles=(5, 95)).drop("stack_id"), "threshold")),
     "h02_mended_gaps": _on("pixg", lambda p: planes.mend_gaps(p).select("frame", "y", "x", "label")),
     "h03_height_outliers": _on("pix", lambda p: heights.without_outliers(p.withColumn("height", F.floor(F.col("ch0") / 60).cast("int")), 12).drop("stack_id")),
+    "h10_split_cells": _on("pixg", lambda p: masks.split_cells(p, _cuts(p))[0].select("frame", "y", "x", "label")),
     "h15_colours": _on("pixg", lambda p: networks.colours(zonal.areas(p).select("stack_id", "frame", F.col("label").alias("id")), spatial.adjacency(p), ["stack_id", "frame"]).drop("stack_id")),
     "i01_contours": _on("pixg", lambda p: contours.contours(p).drop("stack_id")),
     "d37_quadratic_surface": _on("pix", lambda p: planes.quadratic_surface(p, "ch0")),
