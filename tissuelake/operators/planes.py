@@ -74,15 +74,15 @@ def mend_gaps(pixels: DataFrame, largest: float | None = None) -> DataFrame:
     return pixels.join(near, PIXEL, "left").withColumn("label", F.coalesce("_new", "label").cast(kind)).drop("_new")
 
 
-def blur(pixels: DataFrame, channel: str, height: int, width: int, sigma: float) -> DataFrame:
-    """A channel under a Gaussian cut at four sigma, edges reflected: one weighted sum along y and one along x.
+def blur(pixels: DataFrame, channel: str, height: int, width: int | None, sigma: float) -> DataFrame:
+    """A channel under a Gaussian cut at four sigma, edges reflected: one weighted sum along y and, unless width is None, one along x.
 
     The weights broadcast are a row for each place on a side and each offset. Pixels that are missing count as 0.
     """
     reach = int(4 * sigma + 0.5)
     raw = [math.exp(-0.5 * (d / sigma) ** 2) for d in range(-reach, reach + 1)]
     spark, total, out = pixels.sparkSession, sum(raw), pixels.select(*PIXEL, F.col(channel).alias("value"))
-    for axis, size in (("y", height), ("x", width)):
+    for axis, size in (("y", height), ("x", width))[: 1 if width is None else 2]:
         at, weight = F.pmod(F.col("t") + F.col("d"), F.lit(2 * size)), F.element_at(F.array(*(F.lit(w / total) for w in raw)), (F.col("d") + reach + 1).cast("int"))
         steps = spark.range(size).select(F.col("id").alias("t"), F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("d"))
         weights = steps.select("t", F.least(at, 2 * size - 1 - at).alias("src"), weight.alias("w")).groupBy("t", "src").agg(F.sum("w").alias("w"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import components, contours, divisions, edits, heights, linking, lookups, masks, networks, planes, shape, spatial, stages, stats, thresholds, tracks, zonal
+from ..operators import components, contours, divisions, edits, heights, linking, lookups, masks, networks, planes, profiles, shape, spatial, stages, stats, thresholds, tracks, zonal
 from ..sources import files
 from .fixtures import oracle, view
 
@@ -726,6 +726,10 @@ SELECT mother, daughter1, daughter2, {_SHIFTED.format('f')} AS frame FROM f WHER
 UNTWINNED: dict[str, Query] = {
     "d13_ellipses": _on("pixg", lambda p: _rounded(contours.ellipses(contours.contours(p)).drop("stack_id"), "cx", "cy", "major", "minor", "aspect", "theta")),
     "d20_automatic_threshold": _on("pix", lambda p: _rounded(thresholds.automatic(p, "ch0", 12, percentiles=(5, 95)).drop("stack_id"), "threshold")),
+    "e20_coverslip_z": _on("stk", lambda v: profiles.coverslip_z(v.groupBy("stack_id", "frame", "z").agg(F.avg("value").alias("mean")), ["stack_id", "frame"], 0.5).drop("stack_id")),
+    "i05_interpolated": _on("stk", lambda v: _rounded(profiles.interpolate_z(v, 2).drop("stack_id"), "value")),
+    "i06_height_map": _on("stk", lambda v: profiles.height_map(v, 48, 64, 16, sigma=0.8, z_sigma=0.8, least=12).drop("stack_id")),
+    "i07_coverslip_map": _on("stk", lambda v: profiles.height_map(v, 48, 64, 16, sigma=0.8, z_sigma=0.8, least=12, reverse=True).drop("stack_id")),
     "h02_mended_gaps": _on("pixg", lambda p: planes.mend_gaps(p).select("frame", "y", "x", "label")),
     "h03_height_outliers": _on("pix", lambda p: heights.without_outliers(p.withColumn("height", F.floor(F.col("ch0") / 60).cast("int")), 12).drop("stack_id")),
     "h10_split_cells": _on("pixg", lambda p: masks.split_cells(p, _cuts(p))[0].select("frame", "y", "x", "label")),

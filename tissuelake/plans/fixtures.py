@@ -36,6 +36,8 @@ FROM (SELECT CAST(floor(event_id / 3072.0) AS INT) AS frame, CAST(floor(event_id
   CASE WHEN k < 2 THEN CAST(y0 AS DOUBLE) WHEN k = 2 OR k = 5 THEN (y0 + y1) / CAST(2 AS DOUBLE) ELSE CAST(y1 AS DOUBLE) END AS py
 FROM (SELECT frame, label, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pix GROUP BY frame, label) b CROSS JOIN ks WHERE k < 6""",
     "vox": "SELECT stack_id, frame, z, y, x, CASE WHEN z <= height THEN CAST(200 - z AS DOUBLE) ELSE CAST(10 AS DOUBLE) END AS value FROM pix CROSS JOIN zs",
+    # measured stacks: bright up to the height, on a coverslip that rises over the first planes
+    "stk": """SELECT stack_id, frame, z, y, x, CASE WHEN z <= 1 THEN 20 * z WHEN z <= 5 + height THEN 120 + ch0 / 8 - z ELSE 10 + ch0 / 32 END AS value FROM pix CROSS JOIN zs""",
     "li": "SELECT l_linestatus AS cond, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS stage, l_extendedprice AS volume FROM lineitem",
     "stg": "SELECT c_custkey - 1 AS place, (c_custkey * 613) % 5000 AS x, (c_custkey * 331) % 4000 AS y, CAST(c_nationkey AS DOUBLE) AS current_z FROM customer",
     "edit": """SELECT 0 AS stack_id, CASE u % 5 WHEN 0 THEN 'split' WHEN 1 THEN 'merge' WHEN 2 THEN 'delete_head' WHEN 3 THEN 'delete_tail' ELSE 'set_stage' END AS op,
@@ -44,7 +46,7 @@ FROM (SELECT frame, label, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y
   WHEN user_id % 3 = 0 THEN '.nd2' ELSE '_seg.npy' END) AS path FROM (SELECT DISTINCT user_id, event_id, event_type FROM events) e""",
     "drawn": "SELECT stack_id, frame, y, x, CAST(floor(y / 5.0) * 3 + floor((x + frame) / 5.0) AS INT) AS cell FROM pix WHERE y < 14 AND x < 15",
 }
-_NEEDS = {"trk": (), "users": (), "div": ("ks", "users"), "divc": ("ks", "users", "div"), "pix": (), "pixg": ("pix",), "nuc": ("pix",), "poly": ("pix", "ks"), "vox": ("pix", "zs"), "li": (), "stg": (), "edit": ("users",), "files": (), "drawn": ("pix",)}
+_NEEDS = {"trk": (), "users": (), "div": ("ks", "users"), "divc": ("ks", "users", "div"), "pix": (), "pixg": ("pix",), "nuc": ("pix",), "poly": ("pix", "ks"), "vox": ("pix", "zs"), "stk": ("pix", "zs"), "li": (), "stg": (), "edit": ("users",), "files": (), "drawn": ("pix",)}
 
 
 def _ctes(views: tuple[str, ...], engine: str) -> str:
