@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import components, contours, divisions, edits, heights, linking, lookups, masks, networks, planes, profiles, shape, spatial, stages, stats, thresholds, tracks, zonal
-from ..sources import files
+from ..sources import files, positions, stacks
 from .fixtures import oracle, view
 
 _WT = "(PARTITION BY particle ORDER BY frame)"
@@ -686,6 +686,19 @@ def _cuts(pixels: DataFrame) -> DataFrame:
     return pixels.select("stack_id", "frame").distinct().select("stack_id", "frame", F.explode(lines).alias("v")).select("stack_id", "frame", "v.*")
 
 
+def _xml(stg: DataFrame) -> DataFrame:
+    """A description of a stack for each place."""
+    size = lambda name, c, m: F.concat(F.lit(f' {name}="'), (F.col(c) % m + 1).cast("string"), F.lit('"'))
+    inner = F.concat(F.lit('<Pixels DimensionOrder="XYCZT"'), size("SizeT", "place", 7), size("SizeZ", "x", 5), F.lit(' SizeC="2"'), size("SizeY", "y", 64), size("SizeX", "x", 48), F.lit("/>"))
+    return stg.select("place", F.concat(F.lit('<?xml version="1.0"?><OME xmlns="u"><Image><Pixels SizeT="99"/></Image><Image>'), inner, F.lit("</Image></OME>")).alias("xml"))
+
+
+def _stage_file(stg: DataFrame) -> DataFrame:
+    """Positions written as lines under a header, and read back."""
+    written = positions.lines(stg.withColumns({"file": F.lit("a"), "position": F.concat(F.lit("P"), "place")})).withColumn("place", F.col("place") + positions.HEADER + 1)
+    return positions.parsed(written).select((F.col("place") - 1).alias("place"), "position", "x", "y", F.col("current_z"), "AF_offset", "starting_z", F.col("TRUE_1").alias("flag"))
+
+
 _SHIFTED = "frame - (SELECT count(*) FROM (SELECT DISTINCT frame AS g FROM trk WHERE frame % 10 = 3) d WHERE g < {0}.frame)"
 _FAMILY = "SELECT particle AS mother, min(frame) AS frame, particle + 1 AS daughter1, particle + 2 AS daughter2 FROM {0} WHERE particle % 5 = 0 GROUP BY particle"
 CATALOG |= {
@@ -710,6 +723,32 @@ SELECT frame, y, x, CASE WHEN label = 0 THEN 0 ELSE dense_rank() OVER (PARTITION
         oracle("pix", """, gappy AS (SELECT * FROM pix WHERE NOT (label % 4 = 1 AND frame % 3 = 0)), firsts AS (SELECT DISTINCT label FROM gappy WHERE label % 4 = 1),
 owned AS (SELECT frame, y, x, label, CASE WHEN label % 4 = 2 AND label - 1 IN (FROM firsts) THEN label - 1 ELSE label END AS particle FROM gappy)
 SELECT frame, CAST(particle AS BIGINT) AS particle, row_number() OVER (PARTITION BY frame ORDER BY min(label)) - 1 AS cell_number, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM owned GROUP BY frame, particle"""),
+    ),
+    "a05_sizes": (
+        _on("stg", lambda s: positions.sizes(_xml(s), "xml").drop("xml")),
+        oracle("stg", "SELECT place, CAST(place % 7 + 1 AS INT) AS t, CAST(x % 5 + 1 AS INT) AS z, 2 AS c, CAST(y % 64 + 1 AS INT) AS height, CAST(x % 48 + 1 AS INT) AS width, 'XYCZT' AS dimension_order FROM stg"),
+    ),
+    "a06_subset": (
+        _on("vox", lambda v: positions.subset(v, {"frame": [1, 0], "z": [4, 2, 4]}).drop("stack_id")),
+        oracle("vox", "SELECT t.i AS frame, s.i AS z, y, x, value FROM vox JOIN (VALUES (0, 1), (1, 0)) t(i, was) ON frame = t.was JOIN (VALUES (0, 4), (1, 2), (2, 4)) s(i, was) ON z = s.was"),
+    ),
+    "a13_densities": (
+        _on2("stk", "pixg", lambda v, p: _rounded(stacks.densities(v.select("stack_id", "frame", "z", "y", "x", F.col("value").alias("protein"), (F.col("value") * 2).alias("lipid")), p.select("stack_id", "frame", "y", "x", F.when(F.col("label") == 0, F.lit(float("nan"))).otherwise(F.col("height")).alias("height"))).drop("stack_id"), "protein", "lipid").where("not isnan(protein)")),
+        oracle("stk pixg", "SELECT frame, z, y, x, round(value / 8192 * 1.364256::DOUBLE, 6) AS protein, round(value * 2 / 8192 * 1.010101::DOUBLE, 6) AS lipid FROM stk SEMI JOIN (SELECT frame, y, x FROM pixg WHERE label <> 0) p USING (frame, y, x)"),
+    ),
+    "a21_positions": (
+        _on("stg", _stage_file),
+        oracle("stg", "SELECT place, concat('P', place) AS position, CAST(x AS INT) AS x, CAST(y AS INT) AS y, round(current_z, 2) AS current_z, 0 AS \"AF_offset\", 0.0::DOUBLE AS starting_z, 'TRUE' AS flag FROM stg"),
+    ),
+    "b06_set_attributes": (
+        _on("pixg", lambda p: stacks.set_attributes(zonal.areas(p), zonal.volumes(p.where("frame % 2 = 0")).select("stack_id", "frame", "label", F.col("mean_height").alias("area"), "volume")).drop("stack_id")),
+        oracle("pixg", "SELECT frame, label, CASE WHEN frame % 2 = 0 THEN avg(height) ELSE count(*) END AS area, CASE WHEN frame % 2 = 0 THEN CAST(sum(height) AS DOUBLE) END AS volume FROM pixg WHERE label <> 0 GROUP BY frame, label"),
+    ),
+    "d36_tile_positions": (
+        _on("stg", lambda s: _rounded(positions.tiles(s, [], 400.0, 500.0), "z")),
+        oracle("stg", """, box AS (SELECT CAST(floor(place / 4) AS BIGINT) AS colony, min(x) AS x0, min(y) AS y0, avg(current_z) AS z, CAST(ceil((max(x) - min(x)) / 400.0) - 1 AS INT) AS nx, CAST(ceil((max(y) - min(y)) / 500.0) - 1 AS INT) AS ny FROM stg GROUP BY 1),
+g AS (SELECT *, unnest(range(1, nx + 1)) AS i FROM (SELECT *, unnest(range(1, ny + 1)) AS j FROM box) b)
+SELECT colony, row_number() OVER (PARTITION BY colony ORDER BY j, CASE WHEN j % 2 = 0 THEN -i ELSE i END) - 1 AS n, x0 + i * 400.0::DOUBLE AS x, y0 + j * 500.0::DOUBLE AS y, round(z, 6) AS z FROM g"""),
     ),
     "b10_deleted_frames": (
         _on("trk", lambda t: _without_frames(t, 0).select("particle", "frame", "x")),
