@@ -163,3 +163,47 @@ def test_whole_queries(spark):
             got.setdefault(r.frame, {})[r.y, r.x] = r.height
         for f, s in stacks.items():
             _close(got[f], _heights(s, ~np.isnan(s[0]), 0.01, 0.8, 0.8, 12, reverse))
+
+
+def _surface(stack, block, fold, sigma, z_sigma):
+    depth, h, w = stack.shape
+    rows, cols = -(-h // block), -(-w // block)
+    small = np.array([[[np.nanmean(stack[k, i * block : (i + 1) * block, j * block : (j + 1) * block]) for j in range(cols)] for i in range(rows)] for k in range(depth)])
+    fine = np.stack([_spline(c, np.arange(depth * fold) / fold) for c in small.reshape(depth, -1).T], 1).reshape(-1, rows, cols)
+    for axis, s in ((1, sigma), (2, sigma), (0, z_sigma)):
+        fine = _blur(fine, axis, s)
+    low = np.round(np.gradient(fine, axis=0), 9).argmin(axis=0)
+    y, x = np.mgrid[:rows, :cols]
+    basis = lambda y, x: np.stack([x * x + y * y, x, y, np.ones_like(x)], -1)
+    fit = np.linalg.lstsq(basis(y, x).reshape(-1, 4).astype(float), low.ravel().astype(float), rcond=None)[0]
+    y, x = np.mgrid[:h, :w]
+    return basis(y / block, x / block) @ fit / fold
+
+
+def test_planted_bowl(spark):
+    y, x = np.mgrid[:25, :31]
+    bowl = 5 + 0.012 * ((x - 12) ** 2 + (y - 9) ** 2) + 0.05 * x
+    z = np.arange(18)[:, None, None]
+    stack = 100 / (1 + np.exp((z - bowl) * 2)) + np.random.default_rng(1).normal(size=(18, 25, 31))
+    df = spark.createDataFrame([(0, 3, int(k), int(j), int(i), float(v)) for (k, j, i), v in np.ndenumerate(stack)], VOX)
+    got = np.full((25, 31), np.nan)
+    for r in profiles.fitted_surface(df, 25, 31, 18, block=5, fold=4, sigma=0.6, z_sigma=2.0).collect():
+        got[r.y, r.x] = r.height
+    np.testing.assert_allclose(got, _surface(stack, 5, 4, 0.6, 2.0), atol=1e-6)
+    assert np.abs(got[2:-5, 2:-5] - bowl[4:-3, 4:-3]).mean() < 0.5
+    assert profiles.fitted_surface(df.limit(0), 25, 31, 18, sigma=1.0).count() == 0
+    few = profiles.fitted_surface(df.where("y < 5 and x < 5"), 25, 31, 18, block=5, fold=2, sigma=0.1, z_sigma=1.0).select("height").distinct().collect()
+    assert [r.height for r in few] == [None]
+
+
+def test_whole_query_of_surfaces(spark):
+    sf, stacks, got = SF.replace("sf0.001", "sf0.01"), {}, {}
+    for r in view(spark, sf, "stk").toPandas().itertuples():
+        stacks.setdefault(r.frame, np.full((16, 48, 64), np.nan))[r.z, r.y, r.x] = r.value
+    for r in catalog.queries()["e23_fitted_surface"](spark, sf).collect():
+        got.setdefault(r.frame, {})[r.y, r.x] = r.height
+    whole = [f for f, s in stacks.items() if not np.isnan(s).any()]
+    assert len(whole) >= 3 and set(got) == set(stacks)
+    for f in whole:
+        want = _surface(stacks[f], 8, 4, 0.6, 2.0)
+        assert len(got[f]) == 48 * 64 and all(abs(h - want[p]) < 1e-5 for p, h in got[f].items())

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .components import saved
 from .heights import without_outliers
 from .lookups import gradient
-from .planes import blur
-from .zonal import FRAME, peak_heights
+from .planes import blur, quadratic_surface
+from .zonal import FRAME, peak_heights, pool
 
 PIXEL = [*FRAME, "y", "x"]
 
@@ -49,13 +49,13 @@ def spline_weights(n: int, at: np.ndarray) -> np.ndarray:
     return a[:, None] * eye[left] + b[:, None] * eye[left + 1] + ((a**3 - a)[:, None] * bends[left] + (b**3 - b)[:, None] * bends[left + 1]) / 6
 
 
-def interpolate_z(voxels: DataFrame, fold: int) -> DataFrame:
-    """voxels(stack_id, frame, z, y, x, value) with `fold` planes for each plane: the cubic spline of each column at z = 0, 1/fold, 2/fold, ...; ends are repeated beyond the last plane.
+def interpolate_z(voxels: DataFrame, fold: int, repeat_ends: bool = True) -> DataFrame:
+    """voxels(stack_id, frame, z, y, x, value) with `fold` planes for each plane: the cubic spline of each column at z = 0, 1/fold, 2/fold, ....
 
-    z is numbered anew. Columns are taken in order of z whatever its gaps; null values are left out. Ends are padded by 12 copies of the outer
-    samples, which bends the spline as little as repeated edges do. An empty table gives an empty one.
+    z is numbered anew. Columns are taken in order of z whatever its gaps; null values are left out. With repeat_ends, 12 copies of the outer samples
+    go before and after a column; else the spline's last piece goes on beyond the last plane. An empty table gives an empty one.
     """
-    pad = 12
+    pad = 12 if repeat_ends else 0
     columns = voxels.where("value is not null").groupBy(*PIXEL).agg(F.transform(F.sort_array(F.collect_list(F.struct("z", "value"))), lambda v: v["value"].cast("double")).alias("v"))
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,7 +123,12 @@ def _calm(voxels: DataFrame, height: int, width: int, depth: int, sigma: float,
     """Voxels brought to 0..1 between the 1st and 99th percentile of their frame's stack (not clipped; 0 where these are equal) and blurred along x, y and z."""
     q = voxels.groupBy(*FRAME).agg(F.percentile("value", F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
     lo, hi = F.col("q")[0], F.col("q")[1]
-    out = voxels.join(q, FRAME).select(*PIXEL, "z", F.when(hi > lo, (F.col("value") - lo) / (hi - lo)).otherwise(0.0).alias("value"))
+    unit = voxels.join(q, FRAME).select(*PIXEL, "z", F.when(hi > lo, (F.col("value") - lo) / (hi - lo)).otherwise(0.0).alias("value"))
+    return _blurred(unit, height, width, depth, sigma, z_sigma)
+
+
+def _blurred(voxels: DataFrame, height: int, width: int, depth: int, sigma: float, z_sigma: float) -> DataFrame:
+    out = voxels
     # planes of blur() are those of x and y, then those of x and z, along z only
     if sigma > 0:
         flat = blur(out.withColumn("frame", F.struct("frame", "z")), "value", height, width, sigma)
@@ -156,3 +161,22 @@ def height_map(voxels: DataFrame, height: int, width: int, depth: int, scale: fl
     found = without_outliers(saved(peak_heights(falls, prominence)), least)
     at = F.when(F.col("height") < 0, F.col("height")).otherwise(depth - 1 - F.col("height")) if reverse else F.col("height")
     return found.select(*PIXEL, (at / fold if fold > 1 else at).alias("height"))
+
+
+def fitted_surface(voxels: DataFrame, height: int, width: int, depth: int, block: int = 16, fold: int = 8, scale: float = 0.65, z_scale: float = 1.0, sigma: float | None = None, z_sigma: float | None = None) -> DataFrame:
+    """(stack_id, frame, y, x, height): the smooth surface of steepest fall along z in voxels(stack_id, frame, z, y, x, value), such as a coverslip.
+
+    Blocks of `block` x `block` pixels are averaged (at the edges of what pixels they have), interpolated to `fold` planes a plane and blurred. The z at
+    which each block falls most, the lowest of several, gives the points of a least-squares surface a (x^2 + y^2) + b x + c y + d, evaluated at every
+    pixel. By scale: sigma 42 / block / scale blocks, z_sigma fold / z_scale fine planes. Heights are null where a frame has too few blocks for a surface.
+    """
+    sigma = 42 / block / scale if sigma is None else sigma
+    z_sigma = fold / z_scale if z_sigma is None else z_sigma
+    blocks = pool(voxels.withColumn("frame", F.struct("frame", "z")), "value", block)
+    blocks = blocks.select("stack_id", F.col("frame.frame").alias("frame"), F.col("frame.z").alias("z"), "y", "x", F.col("mean").alias("value"))
+    calm = _blurred(interpolate_z(blocks, fold, repeat_ends=False), -(-height // block), -(-width // block), depth * fold, sigma, z_sigma)
+    steepest = gradient(calm).withColumn("gradient", F.round("gradient", 9)).groupBy(*PIXEL).agg(F.min_by("z", F.struct("gradient", "z")).alias("surface"))
+    fits = quadratic_surface(steepest, "surface")
+    x, y = F.col("x") / block, F.col("y") / block
+    at = (F.col("a") * (x * x + y * y) + F.col("b") * x + F.col("c") * y + F.col("d")) / fold
+    return voxels.select(*PIXEL).distinct().join(fits, FRAME, "left").select(*PIXEL, at.alias("height"))

@@ -766,6 +766,7 @@ UNTWINNED: dict[str, Query] = {
     "d13_ellipses": _on("pixg", lambda p: _rounded(contours.ellipses(contours.contours(p)).drop("stack_id"), "cx", "cy", "major", "minor", "aspect", "theta")),
     "d20_automatic_threshold": _on("pix", lambda p: _rounded(thresholds.automatic(p, "ch0", 12, percentiles=(5, 95)).drop("stack_id"), "threshold")),
     "e20_coverslip_z": _on("stk", lambda v: profiles.coverslip_z(v.groupBy("stack_id", "frame", "z").agg(F.avg("value").alias("mean")), ["stack_id", "frame"], 0.5).drop("stack_id")),
+    "e23_fitted_surface": _on("stk", lambda v: _rounded(profiles.fitted_surface(v, 48, 64, 16, 8, 4, sigma=0.6, z_sigma=2.0).drop("stack_id"), "height")),
     "i05_interpolated": _on("stk", lambda v: _rounded(profiles.interpolate_z(v, 2).drop("stack_id"), "value")),
     "i06_height_map": _on("stk", lambda v: profiles.height_map(v, 48, 64, 16, sigma=0.8, z_sigma=0.8, least=12).drop("stack_id")),
     "i07_coverslip_map": _on("stk", lambda v: profiles.height_map(v, 48, 64, 16, sigma=0.8, z_sigma=0.8, least=12, reverse=True).drop("stack_id")),
