@@ -133,6 +133,20 @@ def set_stage(tracks: DataFrame, edits: DataFrame) -> DataFrame:
     return tracks.join(hits, [*TRACK, "frame"], "left").withColumn("cycle_stage", F.coalesce("_stage", "cycle_stage")).drop("_stage")
 
 
+def set_along(tracks: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """tracks with `column` set to the `value` of values(stack_id, particle, frame, value), one a point at most; other points keep theirs, and values without a point change nothing.
+
+    A value of null is set as well. Two values for a point are an error.
+    """
+    key = [*TRACK, "frame"]
+    twice = values.groupBy(*key).count().where("count > 1").limit(5).collect()
+    if twice:
+        raise ValueError(f"several values for {[tuple(r)[:3] for r in twice]}")
+    given = values.select(*key, F.struct("value").alias("_given"))
+    old = F.col(column) if column in tracks.columns else F.lit(None)
+    return tracks.join(given, key, "left").withColumn(column, F.when(F.col("_given").isNotNull(), F.col("_given.value")).otherwise(old)).drop("_given")
+
+
 def reorder_channels(pixels: DataFrame, order: list[str]) -> DataFrame:
     """Channels ch0, ch1, ... anew, each from the column that `order` names."""
     return pixels.withColumns({f"ch{i}": F.col(c) for i, c in enumerate(order)})

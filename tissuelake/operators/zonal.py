@@ -129,6 +129,20 @@ def rotate(pixels: DataFrame, height: int, width: int, turns: int) -> DataFrame:
     return pixels.select(*FRAME, new[0].alias("y"), new[1].alias("x"), "label")
 
 
+def rotate_points(points: DataFrame, height: int, width: int, turns: int) -> DataFrame:
+    """points(stack_id, frame, y, x, ...), such as centroids or outlines, after the quarter turns of their planes; nulls stay null."""
+    y, x = F.col("y"), F.col("x")
+    new = {0: (y, x), 1: (width - 1 - x, y), 2: (height - 1 - y, width - 1 - x), 3: (x, height - 1 - y)}[turns % 4]
+    return points.withColumns({"y": new[0], "x": new[1]})
+
+
+def rotate_drift(drift: DataFrame, turns: int) -> DataFrame:
+    """drift(stack_id, frame, dx, dy, ...) after quarter turns anticlockwise: directions turn, places do not matter."""
+    dy, dx = F.col("dy"), F.col("dx")
+    new = {0: (dy, dx), 1: (-dx, dy), 2: (-dy, -dx), 3: (dx, -dy)}[turns % 4]
+    return drift.withColumns({"dy": new[0], "dx": new[1]})
+
+
 def match_nuclei(nuclei: DataFrame, pixels: DataFrame) -> DataFrame:
     """The cell under each nucleus's centre, rounded half to even; of several nuclei the first keeps the cell."""
     at = nuclei.select(*FRAME, "nuc", F.bround("cy").cast("int").alias("y"), F.bround("cx").cast("int").alias("x"))
@@ -136,6 +150,14 @@ def match_nuclei(nuclei: DataFrame, pixels: DataFrame) -> DataFrame:
     return hit.groupBy(*CELL).agg(F.min("nuc").alias("nuc"))
 
 
+def unmatched(nuclei: DataFrame, pixels: DataFrame) -> DataFrame:
+    """(stack_id, frame, kind, id) of what match_nuclei leaves alone: nuclei without a cell of their own, cells without a nucleus."""
+    pairs = match_nuclei(nuclei, pixels)
+    alone = nuclei.select(*FRAME, "nuc").distinct().join(pairs, [*FRAME, "nuc"], "left_anti").select(*FRAME, F.lit("nucleus").alias("kind"), F.col("nuc").cast("long").alias("id"))
+    empty = cells(pixels).select(*CELL).distinct().join(pairs, CELL, "left_anti").select(*FRAME, F.lit("cell").alias("kind"), F.col("label").cast("long").alias("id"))
+    return alone.union(empty)
+
+
 def with_labels(pixels: DataFrame, labels: DataFrame, inside: bool = True) -> DataFrame:
     """Pixels of the listed cells (stack_id, frame, label), or of all others."""
     return pixels.join(labels.select(*CELL).distinct(), CELL, "left_semi" if inside else "left_anti")

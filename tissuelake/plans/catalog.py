@@ -749,6 +749,23 @@ SELECT frame, CAST(particle AS BIGINT) AS particle, row_number() OVER (PARTITION
         oracle("stg", """, box AS (SELECT CAST(floor(place / 4) AS BIGINT) AS colony, min(x) AS x0, min(y) AS y0, avg(current_z) AS z, CAST(ceil((max(x) - min(x)) / 400.0) - 1 AS INT) AS nx, CAST(ceil((max(y) - min(y)) / 500.0) - 1 AS INT) AS ny FROM stg GROUP BY 1),
 g AS (SELECT *, unnest(range(1, nx + 1)) AS i FROM (SELECT *, unnest(range(1, ny + 1)) AS j FROM box) b)
 SELECT colony, row_number() OVER (PARTITION BY colony ORDER BY j, CASE WHEN j % 2 = 0 THEN -i ELSE i END) - 1 AS n, x0 + i * 400.0::DOUBLE AS x, y0 + j * 500.0::DOUBLE AS y, round(z, 6) AS z FROM g"""),
+    ),
+    "b04_set_along": (
+        _on("trk", lambda t: lookups.set_along(t, "x", t.where("(particle + frame) % 6 = 0").select("stack_id", "particle", "frame", F.when(F.col("frame") % 4 != 0, F.col("y")).alias("value"))).select("particle", "frame", "x")),
+        oracle("trk", "SELECT particle, frame, CASE WHEN (particle + frame) % 6 <> 0 THEN x WHEN frame % 4 <> 0 THEN y END AS x FROM trk"),
+    ),
+    "b18_rotated_points": (
+        _on("trk", lambda t: zonal.rotate_points(t, 500, 400, 1).select("particle", "frame", "x", "y").withColumn("turns", F.lit(1)).union(zonal.rotate_points(t, 500, 400, 3).select("particle", "frame", "x", "y").withColumn("turns", F.lit(3)))),
+        oracle("trk", "SELECT particle, frame, y AS x, 399 - x AS y, 1 AS turns FROM trk UNION ALL SELECT particle, frame, 499 - y AS x, x AS y, 3 AS turns FROM trk"),
+    ),
+    "b18_rotated_drift": (
+        _on("trk", lambda t: _rounded(zonal.rotate_drift(tracks.drift(t), 1).select("frame", "dx", "dy"), "dx", "dy")),
+        oracle("trk", f"SELECT frame, round(dy, 6) AS dx, round(-dx, 6) AS dy FROM ({_DRIFT}) d"),
+    ),
+    "c03_unmatched": (
+        _on2("nuc", "pixg", lambda n, p: zonal.unmatched(n, p).drop("stack_id")),
+        oracle("nuc pixg", """, hit AS (SELECT n.frame, label, min(nuc) AS nuc FROM nuc n JOIN pixg p ON p.frame = n.frame AND p.y = round_even(cy, 0) AND p.x = round_even(cx, 0) WHERE label <> 0 GROUP BY n.frame, label)
+SELECT frame, 'nucleus' AS kind, CAST(nuc AS BIGINT) AS id FROM nuc ANTI JOIN hit USING (frame, nuc) UNION ALL SELECT frame, 'cell', CAST(label AS BIGINT) FROM (SELECT DISTINCT frame, label FROM pixg WHERE label <> 0) c ANTI JOIN hit USING (frame, label)"""),
     ),
     "b10_deleted_frames": (
         _on("trk", lambda t: _without_frames(t, 0).select("particle", "frame", "x")),
