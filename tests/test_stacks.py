@@ -99,3 +99,17 @@ def test_attributes(spark):
     for wrong in (values.where("label = 1"), values.union(values), values.withColumn("label", values.label + 1)):
         with pytest.raises(ValueError):
             stacks.set_attributes(cells, wrong)
+
+
+def test_set_along_and_histograms(spark):
+    from tissuelake.operators import lookups, stats
+
+    points = spark.createDataFrame([(0, 1, 0, 2.0), (0, 1, 1, 3.0)], "stack_id int, particle long, frame int, x double")
+    values = spark.createDataFrame([(0, 1, 1, None), (0, 9, 1, 5.0)], "stack_id int, particle long, frame int, value double")
+    assert sorted((r.frame, r.x) for r in lookups.set_along(points, "x", values).collect()) == [(0, 2.0), (1, None)]
+    assert sorted((r.frame, r.new) for r in lookups.set_along(points, "new", values).collect()) == [(0, None), (1, None)]
+    with pytest.raises(ValueError):
+        lookups.set_along(points, "x", values.union(values))
+    rows = spark.createDataFrame([("flat", 2.0)] * 3 + [("odd", 1.0), ("odd", float("nan")), ("none", None), (None, 4.0), (None, 5.0)], "g string, v double")
+    got = {(r.g, r.bin): (r["count"], r.start, r.density) for r in stats.group_histograms(rows, ["g"], "v").collect()}
+    assert got["flat", 0] == (3, 1.5, 1.0) and got["odd", 0] == (1, 0.5, 1.0) and {k for k in got if k[0] is None} == {(None, 0), (None, 1)} and len(got) == 4

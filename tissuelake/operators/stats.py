@@ -43,6 +43,21 @@ def _with_group(rows: DataFrame, whole: DataFrame, groups: list[str]) -> DataFra
     return rows.join(named, [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups]).drop(*(f"_{g}" for g in groups))
 
 
+def group_histograms(rows: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """histogram() of each group by itself, such as of each frame, with its own bounds and bin width. A group without values has no row."""
+    known = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))
+    bounds = known.groupBy(*groups).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_n"), q.alias("_q"))
+    flat = F.col("_lo") == F.col("_hi")
+    bounds = bounds.withColumns({"_lo": F.when(flat, F.col("_lo") - 0.5).otherwise(F.col("_lo")), "_hi": F.when(flat, F.col("_hi") + 0.5).otherwise(F.col("_hi"))})
+    width = 2 * (F.col("_q")[1] - F.col("_q")[0]) / F.pow("_n", F.lit(1 / 3))
+    bins = F.when(width > 0, F.greatest(F.lit(1), F.ceil(F.try_divide(F.col("_hi") - F.col("_lo"), width)))).otherwise(F.lit(1)).cast("long")
+    bounds = bounds.withColumn("_bins", bins).select(*groups, "_lo", "_n", "_bins", ((F.col("_hi") - F.col("_lo")) / F.col("_bins")).alias("_w"))
+    place = F.least(F.floor((F.col(value) - F.col("_lo")) / F.col("_w")), F.col("_bins") - 1).cast("long")
+    counts = _with_group(known, bounds, groups).groupBy(*groups, place.alias("bin")).agg(F.count("*").alias("count"), *(F.first(c).alias(c) for c in ("_lo", "_n", "_w")))
+    return counts.select(*groups, "bin", "count", (F.col("_lo") + F.col("bin") * F.col("_w")).alias("start"), (F.col("count") / (F.col("_n") * F.col("_w"))).alias("density"))
+
+
 def weighted_histogram(rows: DataFrame, groups: list[str], value: str, bins: int, low: float, high: float) -> DataFrame:
     """Share of a group's values in each bin of a fixed range, the last bin closed, and whether the median is there. Values outside count in the total."""
     width = (high - low) / bins
@@ -90,13 +105,14 @@ def range_parameters(rows: DataFrame, value: str) -> DataFrame:
     return found.select(F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"), "step")
 
 
-def autocorrelation(points: DataFrame, value: str, radius: float, bins: int) -> DataFrame:
+def autocorrelation(points: DataFrame, value: str, radius: float, bins: int, by_frame: bool = True) -> DataFrame:
     """Spatial autocorrelation of a value over points(stack_id, frame, particle, x, y): for each bin of distances, the mean product of centred values by the mean variance, its standard error and n.
 
-    Values are centred in their frame. Pairs within the radius come from a grid join; the last bin is closed. Frames' means are a row a frame.
+    Values are centred in their frame, or else in their stack (the variance is the stack's, too). Pairs within the radius come from a grid join; the last bin is closed. Frames' means are a row a frame.
     """
-    whole = points.groupBy(*FRAME).agg(F.avg(value).alias("_m"), F.var_pop(value).alias("_v"))
-    centred = points.join(whole, FRAME).withColumn("c", F.col(value) - F.col("_m"))
+    within = FRAME if by_frame else ["stack_id"]
+    whole = points.groupBy(*within).agg(F.avg(value).alias("_m"), F.var_pop(value).alias("_v"))
+    centred = points.join(whole, within).withColumn("c", F.col(value) - F.col("_m"))
     side = lambda s: centred.select(*FRAME, F.col("particle").alias(f"{s}p"), F.col("c").alias(f"{s}c"), F.col("x").alias(f"{s}x"), F.col("y").alias(f"{s}y"))
     pairs = grid_join(side("l"), side("r"), FRAME, radius).where("lp < rp")
     bin_ = F.least(F.floor(F.col("distance") / (radius / bins)), F.lit(bins - 1)).cast("long")

@@ -750,6 +750,23 @@ SELECT frame, CAST(particle AS BIGINT) AS particle, row_number() OVER (PARTITION
 g AS (SELECT *, unnest(range(1, nx + 1)) AS i FROM (SELECT *, unnest(range(1, ny + 1)) AS j FROM box) b)
 SELECT colony, row_number() OVER (PARTITION BY colony ORDER BY j, CASE WHEN j % 2 = 0 THEN -i ELSE i END) - 1 AS n, x0 + i * 400.0::DOUBLE AS x, y0 + j * 500.0::DOUBLE AS y, round(z, 6) AS z FROM g"""),
     ),
+    "d27_frame_histograms": (
+        _on("pix", lambda p: _rounded(stats.group_histograms(p, ["stack_id", "frame"], "ch0").drop("stack_id"), "start", "density")),
+        oracle(
+            "pix",
+            """, q AS (SELECT frame, min(ch0) AS lo, max(ch0) AS hi, count(*) AS n, 2 * (quantile_cont(ch0, 0.75) - quantile_cont(ch0, 0.25)) / pow(count(*), 1.0 / 3) AS w FROM pix GROUP BY frame), b AS (SELECT frame, lo, n, ceil((hi - lo) / w) AS bins, (hi - lo) / ceil((hi - lo) / w) AS width FROM q)
+SELECT frame, CAST(least(floor((ch0 - lo) / width), bins - 1) AS BIGINT) AS bin, count(*) AS count, round(any_value(lo) + CAST(least(floor((ch0 - lo) / width), bins - 1) AS BIGINT) * any_value(width), 6) AS start, round(count(*) / (any_value(n) * any_value(width)), 6) AS density FROM pix JOIN b USING (frame) GROUP BY 1, 2""",
+        ),
+    ),
+    "d33_stack_autocorrelation": (
+        _on("trk", lambda t: _rounded(stats.autocorrelation(t, "cycle_stage", 40.0, 10, by_frame=False).drop("stack_id"), "correlation", "error")),
+        oracle(
+            "trk",
+            """, m AS (SELECT *, cycle_stage - avg(cycle_stage) OVER () AS c FROM trk), v AS (SELECT var_pop(cycle_stage) AS v FROM trk),
+p AS (SELECT a.c * b.c AS c, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM m a JOIN m b ON a.frame = b.frame AND a.particle < b.particle)
+SELECT CAST(least(floor(d / 4.0), 9) AS BIGINT) AS bin, count(*) AS n, round(avg(c) / any_value(v), 6) AS correlation, round(stddev_pop(c) / sqrt(count(*)) / any_value(v), 6) AS error FROM p CROSS JOIN v WHERE d <= 40 GROUP BY 1""",
+        ),
+    ),
     "b04_set_along": (
         _on("trk", lambda t: lookups.set_along(t, "x", t.where("(particle + frame) % 6 = 0").select("stack_id", "particle", "frame", F.when(F.col("frame") % 4 != 0, F.col("y")).alias("value"))).select("particle", "frame", "x")),
         oracle("trk", "SELECT particle, frame, CASE WHEN (particle + frame) % 6 <> 0 THEN x WHEN frame % 4 <> 0 THEN y END AS x FROM trk"),
