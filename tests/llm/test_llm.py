@@ -180,13 +180,15 @@ def licenses_by_brute_force(files, least=license_scan.LEAST):
     idf = lambda t: math.log((1 + len(files)) / (1 + df[t])) + 0.1
     vector = lambda text: {t: (1 + math.log(c)) * idf(t) for t, c in Counter(split(text)).items()}
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
-    templates = [(name, vector(text)) for name, texts in license_scan.TEMPLATES.items() for text in texts]
+    templates = [(name, vector(text), *license_scan.marks(name, text)) for name, texts in license_scan.TEMPLATES.items() for text in texts]
     out = []
     for path, text in files:
         text, best = text or "", (None, None)
         for piece in {text, *re.split(r"\n[ \t\r]*\n", text), *re.findall(license_scan._COMMENTS.replace("\\z", "\\Z"), text), *text.split("\n")}:
             v = vector(piece)
-            for name, t in templates:
+            for name, t, must, must_not in templates:
+                if not must <= set(v) or must_not & set(v):
+                    continue
                 s = sum(w * t.get(k, 0.0) for k, w in v.items()) / (norm(v) * norm(t)) if v else 0.0
                 if s >= least:
                     best = max(best, (round(s, 9), name), key=lambda x: (x[0] or 0.0, x[1] or ""))
@@ -209,6 +211,54 @@ def test_licenses_are_found_and_inherited(spark):
     assert Counter((r.path, r.license if r.inherited_from is None else None, r.score) for r in rows) == Counter(want)
 
 
+def test_licenses_of_like_wording(spark):
+    """op2_license_scan: versions, "or later", tags and short notices are told apart; a file whose nearest piece is not its whole text does not speak for others."""
+    gnu = lambda work, name, version: f"""# This {work} is free software; you can redistribute it and/or
+# modify it under the terms of the GNU {name} as published by the Free Software Foundation; {version}
+#
+# This {work} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU {name} for more details.
+x = 1
+"""
+    gpl, lgpl, agpl = ("General Public License", "Lesser General Public License", "Affero General Public License")
+    later = "either version {} of the License, or (at your option) any later version."
+    want = {
+        gnu("program", gpl, "version 2 of the License."): "GPL-2.0-only",
+        gnu("program", gpl, later.format("2")): "GPL-2.0-or-later",
+        gnu("program", gpl, later.format("3")): "GPL-3.0-or-later",
+        gnu("library", lgpl, later.format("2.1")): "LGPL-2.1-or-later",
+        gnu("library", lgpl, "version 2.1 of the License."): "LGPL-2.1-only",
+        gnu("library", lgpl, later.format("3")): "LGPL-3.0-or-later",
+        gnu("program", agpl, later.format("3")): "AGPL-3.0-or-later",
+        "// SPDX-License-Identifier: Apache-2.0\nint x;": "Apache-2.0",
+        "# SPDX-License-Identifier: GPL-2.0-only\nx = 1": "GPL-2.0-only",
+        "# SPDX-License-Identifier: GPL-3.0-or-later\nx = 1": "GPL-3.0-or-later",
+        "/* SPDX-License-Identifier: BSD-2-Clause */": "BSD-2-Clause",
+        "# SPDX-License-Identifier: Zlib": None,
+        "// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.\nint y;": "BSD-3-Clause",
+        "This project is licensed under the MIT License - see the LICENSE file for details.": "MIT",
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+        "the library opens later than the program": None,
+    }
+    files = [(f"d{i}/f.py", text) for i, text in enumerate(want)] + [(f"e/{i}", f"plain words number {i} about free weather and the terms of {i}") for i in range(20)]
+    files += [("g/notes", "MIT License mit released\n\nReleased under the MIT License."), ("g/other", "nothing")]
+    rows = license_scan.scan(spark.createDataFrame(files, "path string, text string")).collect()
+    got = {r.path: r for r in rows}
+    assert {t: got[f"d{i}/f.py"].license for i, t in enumerate(want)} == want
+    assert got["g/notes"].license == "MIT" and got["g/other"].license is None
+    assert Counter((r.path, r.license if r.inherited_from is None else None, r.score) for r in rows) == Counter(licenses_by_brute_force(files))
+
+
+def test_op2_whole_query(spark):
+    """op2_license_scan on all documents, by dictionaries; no file of `documents` speaks for a directory unless it is a license as a whole."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source", "lang", "text").collect()
+    files = [("/".join(x for x in (r.source, r.lang, str(r.doc_id // 1000), str(r.doc_id)) if x is not None), r.text) for r in docs]
+    want = Counter((int(path.split("/")[-1]), name, score) for path, name, score in licenses_by_brute_force(files))
+    got = queries.op2_license_scan(spark, SF).collect()
+    assert Counter((r.doc_id, r.license if r.inherited_from is None else None, r.score) for r in got) == want
+    assert any(name for _, name, _ in want)
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     scored = queries.op1_quality_classifier(spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").toPandas()

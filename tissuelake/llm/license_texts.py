@@ -23,6 +23,14 @@ this program. If not, see <https://www.gnu.org/licenses/>."""
 _GNU_SHORT = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation,
 either version {v} of the License, or (at your option) any later version."""
 
+_GNU_ONLY = """This {work} is free software; you can redistribute it and/or modify it under the terms of the GNU {name} version {v} as published by the Free Software
+Foundation."""
+
+_GNU_ONLY_HEADER = """This {work} is free software; you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation;
+version {v} of the License. This {work} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or
+FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details. You should have received a copy of the GNU {name} along with this {work}; if not, write to the Free
+Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA"""
+
 _GNU_HEADING = """GNU {NAME} Version {v}, {date} Copyright (C) {year} Free Software Foundation, Inc. <https://fsf.org/> Everyone is permitted to copy and distribute verbatim
 copies of this license document, but changing it is not allowed."""
 
@@ -37,6 +45,7 @@ BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
     ],
     "MIT": [
         "Released under the MIT License.",
+        "This project is licensed under the MIT License - see the LICENSE file for details.",
         """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the
 Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to
 permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all
@@ -55,6 +64,7 @@ SOFTWARE.""",
     "BSD-2-Clause": [_BSD_HEAD + _BSD_TAIL],
     "BSD-3-Clause": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD License.",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         _BSD_HEAD
         + """ 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific
 prior written permission. """
@@ -63,6 +73,10 @@ prior written permission. """
     "CC-BY-4.0": ["Licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "Licensed under a Creative Commons Attribution NonCommercial 4.0 International License."],
     "GPL-2.0-or-later": [t.format(name="General Public License", v="2") for t in (_GNU_HEADER, _GNU_SHORT)] + ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "GPL-2.0-only": [t.format(work="program", name="General Public License", v="2") for t in (_GNU_ONLY, _GNU_ONLY_HEADER)],
+    "LGPL-2.1-only": [t.format(work="library", name="Lesser General Public License", v="2.1") for t in (_GNU_ONLY, _GNU_ONLY_HEADER)],
+    "LGPL-2.1-or-later": [t.format(name="Lesser General Public License", v="2.1").replace("program", "library") for t in (_GNU_HEADER, _GNU_SHORT)]
+    + ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc."],
     "GPL-3.0-only": ["This work is licensed under the GNU General Public License, version 3."],
     "GPL-3.0-or-later": [t.format(name="General Public License", v="3") for t in (_GNU_HEADER, _GNU_SHORT)] + [_GNU_HEADING.format(NAME="GENERAL PUBLIC LICENSE", v="3", date="29 June 2007", year="2007")],
     "LGPL-3.0-only": ["This library is licensed under the GNU Lesser General Public License, version 3."],
@@ -79,3 +93,11 @@ https://mozilla.org/MPL/2.0/.""",
 in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
     ],
 }
+
+#: Words that tell licenses of like wording apart: a piece needs those of its template, and in notices that name a family of licenses it may not have the others of RIVALS.
+DECISIVE = ("affero", "apache", "bsd", "lesser", "later", "mit", "mozilla", "nc", "noncommercial", "spdx")
+RIVALS = ("affero", "lesser", "later", "nc", "noncommercial")
+FAMILIES = ("cc", "creative", "gnu", "spdx")
+
+for _name, _texts in TEMPLATES.items():
+    _texts.append(f"SPDX-License-Identifier: {_name}")
