@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
 
 Sources share all words by weight, but none gets more than `most` times its own (the excess goes to the others by weight). The words
-to take are cut into blocks of BLOCK words, which go to sources by highest quotients target / (2 k + 1). A source's documents are dealt by
+to take are cut into blocks of BLOCK words (of fewer, if a source has fewer than sixteen blocks: a sixteenth of the smallest source with words), which go to sources by highest quotients target / (2 k + 1). A source's documents are dealt by
 a seeded hash over shards of about SHARD words, and its blocks go to its shards by highest quotients again. Within a shard documents stand in
 seeded order and their words form equal blocks; the shard takes all its blocks as often as its quota says and then the first ones once more, so at
 most one document of a shard is taken in part.
@@ -80,15 +80,18 @@ def plan(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, m
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), F.xxhash64(text_or_empty()).alias("print"))
     sized = materialise(sized)  # the text is split once; three small passes follow
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    targets = targets.withColumn("blocks", F.round(F.sum("source_size").over(W.partitionBy()) / BLOCK).cast("long"))
+    every = W.partitionBy()
+    least = F.min(F.when(F.col("source_size") > 0, F.col("source_size"))).over(every)
+    block = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(least / 16))).cast("long")
+    targets = targets.withColumn("block", block).withColumn("blocks", F.round(F.sum("source_size").over(every) / F.col("block")).cast("long"))
     quotas = apportion(targets, [], ["source"], "target", "blocks", "quota").select(
-        F.col("source").alias("of"), "source_size", "target", "quota", F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD)).cast("long").alias("shards")
+        F.col("source").alias("of"), "source_size", "target", "block", "quota", F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD)).cast("long").alias("shards")
     )
     draw = F.conv(F.substring(_draw(seed), 1, 12), 16, 10).cast("long")
     dealt = sized.join(quotas, sized.source.eqNullSafe(quotas.of)).withColumn("shard", F.pmod(draw, F.col("shards")))
-    shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("quota").alias("quota"))
+    shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("quota").alias("quota"), F.first("block").alias("block"))
     shards = apportion(shards.withColumn("votes", F.col("words").cast("double")), ["source"], ["shard"], "votes", "quota", "taken_blocks")
-    blocks = F.greatest(F.lit(1), F.round(F.col("words") / BLOCK)).cast("long")
+    blocks = F.greatest(F.lit(1), F.round(F.col("words") / F.col("block"))).cast("long")
     taken = F.least(F.col("taken_blocks"), most * blocks)
     shards = shards.select(F.col("source").alias("s"), F.col("shard").alias("sh"), "words", F.floor(taken / blocks).cast("long").alias("repeats"), ((taken % blocks) * F.col("words") / blocks).cast("long").alias("cut"))
     order = W.partitionBy("source", "shard").orderBy(_draw(seed), "doc_id", "print").rowsBetween(W.unboundedPreceding, -1)
