@@ -15,6 +15,8 @@ from .common import bind, materialise, text_or_empty, words_of
 K, SHINGLE_WORDS = 128, 5
 _RANGE = float(2**31)
 _NO_ID = -(2**63)
+#: Rows without doc_id are dealt over so many keys.
+_SALTS = 64
 
 
 def _shifted(array: Column, by: int, n: Column) -> Column:
@@ -109,20 +111,28 @@ def with_edited(docs: DataFrame, k: int = K, shingle_words: int = SHINGLE_WORDS)
 
     docs needs doc_id and text; other columns are ignored. Returns doc_id, text, edited, n_chars, sketch, edited_sketch, next_sketch, a row for each
     row. Next is by descending doc_id, after the last the first; a single document is its own next. Null texts count as empty. A missing
-    doc_id counts as the smallest. Of rows with the same doc_id, the one with the smallest text hash is next to others.
+    doc_id counts as the smallest. Of rows with the same doc_id, the one with the smallest text hash is next to others. Repeated rows are rows each; an
+    empty table gives an empty one.
     """
+    own = F.struct(F.xxhash64("text").alias("print"), sketch(F.col("text"), k, shingle_words).alias("sketch"))  # computed once, before the exchange
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), text_or_empty().alias("text"))
-    thirds = rows.groupBy("id").agg(F.max(F.floor(F.length("text") / 3)).alias("third"))
+    thirds = rows.groupBy("id").agg(F.max(F.floor(F.length("text") / 3)).alias("third"), F.min(F.xxhash64("text")).alias("lead"))
     thirds = materialise(thirds)
     order = materialise(next_descending(thirds.select("id")))
-    wanted = order.join(thirds, "id").select(F.col("next_id").alias("id"), F.col("id").alias("for_id"), "third")
-    placed = rows.repartition("id")  # both uses below read this one exchange, so that texts are shuffled once
-    lead = F.row_number().over(W.partitionBy("id").orderBy(F.xxhash64("text")))
-    heads = placed.withColumn("lead", lead).where("lead = 1").join(wanted, "id")
+    wanted = order.join(thirds.select("id", "third"), "id").select(F.col("next_id").alias("id"), F.col("id").alias("for_id"), "third").join(thirds.select("id", "lead"), "id")
+
+    def salt(print_: str) -> Column:
+        return F.when(F.col("id") == _NO_ID, F.pmod(F.col(print_), F.lit(_SALTS))).otherwise(0).cast("int").alias("salt")
+
+    # both uses below read this one exchange, so that texts are shuffled once; rows without doc_id are spread by their text
+    placed = rows.withColumn("own", own).select("id", "text", "own.print", "own.sketch").withColumn("salt", salt("print")).repartition("id", "salt")
+    first = F.row_number().over(W.partitionBy("id", "salt").orderBy("print")) == 1
+    heads = placed.withColumn("first", first).join(wanted.withColumn("salt", salt("lead")), ["id", "salt"]).where(F.col("first") & (F.col("print") == F.col("lead")))
     head = F.substring("text", F.lit(1), F.col("third").cast("int"))
-    heads = heads.select(F.col("for_id").alias("id"), head.alias("head"), sketch(F.col("text"), k, shingle_words).alias("next_sketch"))
+    salts = F.when(F.col("for_id") == _NO_ID, F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0)))
+    heads = heads.select(F.col("for_id").alias("id"), head.alias("head"), F.col("sketch").alias("next_sketch"), salts.alias("salts")).withColumn("salt", F.explode("salts")).drop("salts")
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("head", F.lit(1), cut))
-    joined = placed.join(heads, "id").select("id", "text", edited.alias("edited"), n.cast("long").alias("n_chars"), sketch(F.col("text"), k, shingle_words).alias("sketch"), "next_sketch")
+    joined = placed.join(heads, ["id", "salt"]).select("id", "text", edited.alias("edited"), n.cast("long").alias("n_chars"), "sketch", "next_sketch")
     return joined.select(F.when(F.col("id") != _NO_ID, F.col("id")).alias("doc_id"), "text", "edited", "n_chars", "sketch", sketch(F.col("edited"), k, shingle_words).alias("edited_sketch"), "next_sketch")
