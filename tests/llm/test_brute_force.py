@@ -13,7 +13,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from tissuelake.llm import fingerprints, language_id, mixing, packing, quality_rules, queries, token_counts
+from tissuelake.llm import common, fingerprints, language_id, mixing, packing, quality_classifier, quality_rules, queries, token_counts
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -138,7 +138,8 @@ def plain_mix(rows, shard_words):
             target[s] = 3.0 * whole[s]
             left -= target[s]
             free.discard(s)
-    quota, taken = sainte_lague(target, int(sum(whole.values()) / mixing.BLOCK + 0.5)), {}
+    block = max(1, min([mixing.BLOCK, *(n // 16 for n in whole.values() if n)]))
+    quota, taken = sainte_lague(target, int(sum(whole.values()) / block + 0.5)), {}
     for s in sources:
         shards, n = defaultdict(list), max(1, math.ceil(whole[s] / shard_words))
         for d in sorted((hashlib.md5(f"0:{d}".encode()).hexdigest(), d) for d, x, _ in rows if x == s):
@@ -146,7 +147,7 @@ def plain_mix(rows, shard_words):
         length = {k: sum(size[d] for d in ds) for k, ds in shards.items()}
         blocks_of = sainte_lague({k: float(v) for k, v in length.items()}, quota[s])
         for k, ds in shards.items():
-            blocks = max(1, int(length[k] / mixing.BLOCK + 0.5))
+            blocks = max(1, int(length[k] / block + 0.5))
             repeats, rest = divmod(min(blocks_of[k], 3 * blocks), blocks)
             cut, at = int(rest * length[k] / blocks), 0
             for d in ds:
@@ -165,6 +166,131 @@ def test_op8_whole_query(spark, documents, monkeypatch, shard_words):
     assert all(math.isclose(r.target, target[source[r.doc_id]], rel_tol=1e-9) for r in got)
 
 
+def test_small_sources_near_their_targets(spark):
+    """op8_mixing: a source of 30 words and one of a single word are taken three times, beside a large one."""
+    rows = [(i, "c", " ".join(f"w{j}" for j in range(50))) for i in range(20)] + [(100, "a", " ".join(f"a{j}" for j in range(30))), (101, "b", "b"), (102, "b", None), (103, None, "")]
+    target, taken = plain_mix(rows, mixing.SHARD)
+    got = mixing.plan(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    assert {r.doc_id: r.taken for r in got} == taken
+    assert (taken[100], taken[101]) == (90, 3) == (target["a"], target["b"])
+    assert all(r.taken <= 3 * r.size for r in got)
+
+
+def plain_hash(word):
+    """A word's hash, from its bytes one by one."""
+    total = sum(int(common._BYTE[b]) * pow(common._BASE, i, 2**64) for i, b in enumerate(word))
+    return plain_mix64(total + len(word) * 0x9E3779B97F4A7C15)
+
+
+def plain_mix64(x):
+    x %= 2**64
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB % 2**64
+    return x ^ (x >> 31)
+
+
+def plain_shape(word):
+    """The hash of a word's character classes, runs counted once; the first character's place is 0."""
+    classes = [int(quality_classifier._CLASS[b]) for b in word]
+    runs = [c for i, c in enumerate(classes) if not i or c != classes[i - 1]]
+    return plain_mix64(sum(plain_mix64(int(quality_classifier._SHAPE[c]) * (2 * i + 1)) for i, c in enumerate(runs)))
+
+
+def plain_vector(text):
+    w = [plain_hash(re.sub("[A-Z]", lambda m: m[0].lower(), x).encode()) for x in words(text)]
+    s = [plain_shape(x.encode()) for x in words(text)]
+    s = [int(quality_classifier._SAME) if i and w[i] == w[i - 1] else h for i, h in enumerate(s)]
+    grams = [h + 1 for h in w] + [3 * a + b for a, b in zip(w, w[1:])] + [h + 2 for h in s] + [5 * a + b for a, b in zip(s, s[1:])]
+    counts = Counter(1 + plain_mix64(g) % (quality_classifier.BUCKETS - 1) for g in grams)
+    return {0: 1.0} | {p: math.sqrt(c / (4 * len(w))) for p, c in counts.items()}
+
+
+def plain_ftrl(rows):
+    """Follow-the-regularised-leader on dictionaries."""
+    c, z, n = quality_classifier, defaultdict(float), defaultdict(float)
+    weight = lambda p: 0.0 if abs(z[p]) <= c.L1 else -(z[p] - math.copysign(c.L1, z[p])) / ((c.BETA + math.sqrt(n[p])) / c.ALPHA + c.L2)
+    for _ in range(c.PASSES):
+        for vector, label in rows:
+            w = {p: weight(p) for p in vector}
+            error = 1 / (1 + math.exp(-sum(w[p] * v for p, v in vector.items()))) - label
+            for p, v in vector.items():
+                g = error * v
+                z[p] += g - (math.sqrt(n[p] + g * g) - math.sqrt(n[p])) / c.ALPHA * w[p]
+                n[p] += g * g
+    return {p: weight(p) for p in z}
+
+
+def held_out(doc_id):
+    return zlib.crc32(str(doc_id).encode()) % 3 == 1
+
+
+def test_op1_whole_query(spark, documents):
+    """Features, updates and scores from plain dictionaries; only the order of the fit's rows is Spark's hash of doc_id."""
+    quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    ids = [d for d in documents.doc_id if d in quality and not held_out(d)]
+    assert len(ids) < quality_classifier.FIT_ROWS  # so that all of them are in the fit
+    place = {r.d: r.h for r in spark.createDataFrame([(int(d),) for d in ids], "d long").selectExpr("d", "xxhash64(d) as h").collect()}
+    vectors = {d: plain_vector(t) for d, t in zip(documents.doc_id, documents.text, strict=True)}
+    weights = plain_ftrl([(vectors[d], quality[d]) for d in sorted(ids, key=lambda d: (place[d], d))])
+    got = {r.doc_id: r for r in queries.op1_quality_classifier(spark, SF).collect()}
+    assert set(got) == set(vectors)
+    for d, vector in vectors.items():
+        score = 1 / (1 + math.exp(-sum(weights.get(p, 0.0) * v for p, v in vector.items())))
+        assert math.isclose(got[d].score, score, rel_tol=1e-7) and got[d].held_out == held_out(d) and got[d].predicted == int(got[d].score >= 0.5)
+
+
+def plain_grams(text):
+    """n-grams of runs of letters with their ends."""
+    out = Counter()
+    for word in (text or "").encode().split():
+        lower = word.decode().lower()
+        for run in "".join(c if c.isalpha() else " " for c in lower).split():
+            padded = f"_{run}_"
+            out.update(padded[i : i + n] for n in (2, 3, 4) for i in range(len(padded) - n + 1))
+    return out
+
+
+def test_op3_whole_query(spark, documents):
+    """Sets of n-grams for each language instead of filters: the same language unless two are close, the score but for false positives."""
+    grams = {d: plain_grams(t) for d, t in zip(documents.doc_id, documents.text, strict=True)}
+    seen = defaultdict(Counter)
+    for d, lang, text in zip(documents.doc_id, documents.lang, documents.text, strict=True):
+        if lang is not None and text is not None and not held_out(d):
+            seen[lang].update(grams[d])
+    total = {lang: sum(c.values()) for lang, c in seen.items()}
+    best = defaultdict(float)
+    for lang, c in seen.items():
+        for g, n in c.items():
+            if n >= language_id.LEAST:
+                best[g] = max(best[g], n / total[lang])
+    own = {lang: {g for g, n in c.items() if n >= language_id.LEAST and n / total[lang] >= language_id.KEEP * best[g]} for lang, c in seen.items()}
+    got = {r.doc_id: r for r in queries.op3_language_id(spark, SF).collect()}
+    assert set(got) == set(grams)
+    for d, counted in grams.items():
+        hits = {lang: sum(n for g, n in counted.items() if g in own[lang]) for lang in sorted(own)}
+        if not counted:
+            assert (got[d].lang_pred, got[d].score) == (language_id.UNKNOWN, 0.0)
+            continue
+        first, second, *_ = sorted(hits.values(), reverse=True)
+        if first - second > 0.02 * sum(counted.values()):
+            assert got[d].lang_pred == max(hits, key=hits.get)
+            assert abs(got[d].score - first / sum(hits.values())) < 0.03
+        assert got[d].held_out == held_out(d)
+
+
+def test_texts_without_doc_id_meet_the_next(spark):
+    """op10_fingerprints: many rows without doc_id, and one doc_id many times."""
+    rows = [(None, f"none {i} " + "x" * i) for i in range(200)] + [(5, f"five {i} and more") for i in range(50)] + [(9, "nine " * 40), (7, None), (None, "none 3 xxx")]
+    table = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, salt int")
+    prints = {r.t: r.h for r in spark.createDataFrame([(t or "",) for _, t in rows], "t string").selectExpr("t", "xxhash64(t) as h").distinct().collect()}
+    lead = {d: min((t or "" for x, t in rows if x == d), key=prints.get) for d in (None, 5, 7, 9)}
+    after = {9: lead[7], 7: lead[5], 5: lead[None], None: lead[9]}
+    edited = lambda d, t: t[: len(t) - len(t) // 3] + after[d][: len(t) // 3]
+    got = fingerprints.with_edited(table).collect()
+    assert Counter((r.doc_id, r.text, r.edited) for r in got) == Counter((d, t or "", edited(d, t or "")) for d, t in rows)
+    assert all(r.next_sketch == plain_sketch(after[r.doc_id]) and r.sketch == plain_sketch(r.text) and r.edited_sketch == plain_sketch(r.edited) for r in got)
+
+
 def near_kept(rows):
     grams = {d: frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))) else None for d, t in rows}
     parent = {d: d for d in grams}
