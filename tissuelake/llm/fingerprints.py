@@ -114,20 +114,20 @@ def with_edited(docs: DataFrame, k: int = K, shingle_words: int = SHINGLE_WORDS)
     doc_id counts as the smallest. Of rows with the same doc_id, the one with the smallest text hash is next to others. Repeated rows are rows each; an
     empty table gives an empty one.
     """
-    own = F.struct(F.xxhash64("text").alias("print"), sketch(F.col("text"), k, shingle_words).alias("sketch"))  # computed once, before the exchange
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), text_or_empty().alias("text"))
     thirds = rows.groupBy("id").agg(F.max(F.floor(F.length("text") / 3)).alias("third"), F.min(F.xxhash64("text")).alias("lead"))
     thirds = materialise(thirds)
     order = materialise(next_descending(thirds.select("id")))
     wanted = order.join(thirds.select("id", "third"), "id").select(F.col("next_id").alias("id"), F.col("id").alias("for_id"), "third").join(thirds.select("id", "lead"), "id")
 
-    def salt(print_: str) -> Column:
-        return F.when(F.col("id") == _NO_ID, F.pmod(F.col(print_), F.lit(_SALTS))).otherwise(0).cast("int").alias("salt")
+    def salt(print_: Column) -> Column:
+        return F.coalesce(F.when(F.col("id") == _NO_ID, F.pmod(print_, F.lit(_SALTS))), F.lit(0)).cast("int").alias("salt")
 
-    # both uses below read this one exchange, so that texts are shuffled once; rows without doc_id are spread by their text
-    placed = rows.withColumn("own", own).select("id", "text", "own.print", "own.sketch").withColumn("salt", salt("print")).repartition("id", "salt")
-    first = F.row_number().over(W.partitionBy("id", "salt").orderBy("print")) == 1
-    heads = placed.withColumn("first", first).join(wanted.withColumn("salt", salt("lead")), ["id", "salt"]).where(F.col("first") & (F.col("print") == F.col("lead")))
+    # Both uses below read this one exchange (they need the same columns of it), so that texts are shuffled and sketched once. Rows without doc_id are spread by their text.
+    placed = rows.select("id", "text", sketch(F.col("text"), k, shingle_words).alias("sketch"), salt(F.xxhash64("text"))).repartition("id", "salt")
+    lead = F.row_number().over(W.partitionBy("id", "salt").orderBy(F.xxhash64("text")))
+    heads = placed.withColumn("first", lead).where("first = 1").join(wanted.withColumn("salt", salt(F.col("lead"))), ["id", "salt"])
+    heads = heads.where(F.xxhash64("text").bitwiseXOR(F.col("lead")) == 0)  # not ==, which would become a key of the join and shuffle texts again
     head = F.substring("text", F.lit(1), F.col("third").cast("int"))
     salts = F.when(F.col("for_id") == _NO_ID, F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0)))
     heads = heads.select(F.col("for_id").alias("id"), head.alias("head"), F.col("sketch").alias("next_sketch"), salts.alias("salts")).withColumn("salt", F.explode("salts")).drop("salts")
