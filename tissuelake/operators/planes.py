@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -92,6 +92,35 @@ def blur(pixels: DataFrame, channel: str, height: int, width: int | None, sigma:
     return out.select(*FRAME, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "value")
 
 
+def background_subtracted(pixels: DataFrame, channel: str, height: int, width: int, bin_size: int = 100, sigma: float = 2) -> DataFrame:
+    """A channel less its background, plus the standard deviation of its frame, blurred (unless sigma is 0) and at least 0.
+
+    The background is known where label is 0: the mean of such pixels in each block of bin_size by bin_size, brought to every pixel by bilinear
+    interpolation between the blocks' centres, level beyond the outermost ones. Blocks without such pixels take the mean of the frame's; a frame
+    without any has background 0. A frame's blocks, ceil(height / bin_size) * ceil(width / bin_size) at most, are one map. Nulls do not count as
+    background and stay null without blur. An empty table gives an empty one.
+    """
+    bins = {"y": -(-height // bin_size), "x": -(-width // bin_size)}
+    place = lambda y, x: (y * bins["x"] + x).cast("int")
+    block = place(F.floor(F.col("y") / bin_size), F.floor(F.col("x") / bin_size))
+    empty = pixels.where(F.col("label") == 0).groupBy(*FRAME, block.alias("block")).agg(F.avg(channel).alias("mean")).where("mean is not null")
+    grids = empty.groupBy(*FRAME).agg(F.map_from_entries(F.collect_list(F.struct("block", "mean"))).alias("_grid"))
+    frames = pixels.groupBy(*FRAME).agg(F.stddev_pop(channel).alias("_spread"), F.avg(F.when(F.col("label") == 0, F.col(channel))).alias("_level"))
+    frames = frames.join(grids, FRAME, "left")
+    at = {c: F.least(F.greatest((F.col(c) + 0.5) / bin_size - 0.5, F.lit(0.0)), F.lit(float(n - 1))) for c, n in bins.items()}
+    rows = pixels.select(*PIXEL, F.col(channel).cast("double").alias("value"), *(a.alias(f"_{c}") for c, a in at.items())).join(frames, FRAME)
+
+    def corner(dy: int, dx: int) -> Column:
+        y, x = (F.least(F.floor(f"_{c}") + d, F.lit(bins[c] - 1)) for c, d in (("y", dy), ("x", dx)))
+        wy, wx = (F.col(f"_{c}") - F.floor(f"_{c}") if d else 1 - F.col(f"_{c}") + F.floor(f"_{c}") for c, d in (("y", dy), ("x", dx)))
+        return wy * wx * F.coalesce(F.try_element_at("_grid", place(y, x)), "_level", F.lit(0.0))
+
+    back = corner(0, 0) + corner(0, 1) + corner(1, 0) + corner(1, 1)
+    less = rows.select(*PIXEL, (F.col("value") - back + F.col("_spread")).alias("value"))
+    calm = blur(less, "value", height, width, sigma) if sigma > 0 else less
+    return calm.withColumn("value", F.when(F.col("value") < 0, 0.0).otherwise(F.col("value")))
+
+
 def blurred_intensity(pixels: DataFrame, channel: str, height: int, width: int, sigma: float, percentile: float = 0.9) -> DataFrame:
     """Percentile of a blurred channel in each cell, cut to an integer."""
     calm = blur(pixels, channel, height, width, sigma).withColumn("value", F.round("value", 6))

@@ -644,6 +644,20 @@ g AS (SELECT frame, label, y, unnest(range(x0, x1 + 1)) AS x FROM (SELECT *, unn
 SELECT frame, label, y, x FROM g JOIN e USING (frame, label) GROUP BY frame, label, y, x HAVING min((bx - ax) * (y - ay) - (by_ - ay) * (x - ax)) >= 0""",
         ),
     ),
+    "i04_background_subtracted": (
+        _on("pixg", lambda p: _rounded(planes.background_subtracted(p, "ch0", 48, 64, bin_size=16, sigma=0).drop("stack_id"), "value")),
+        oracle(
+            "pixg",
+            """, blocks AS (SELECT frame, y // 16 AS gy, x // 16 AS gx, avg(ch0) AS mean FROM pixg WHERE label = 0 GROUP BY ALL),
+            frames AS (SELECT frame, stddev_pop(ch0) AS spread, coalesce(avg(ch0) FILTER (label = 0), 0) AS level FROM pixg GROUP BY frame),
+            placed AS (SELECT *, CAST(floor(fy) AS INT) AS y0, CAST(floor(fx) AS INT) AS x0 FROM (
+              SELECT frame, y, x, ch0, least(greatest((y + 0.5) / 16 - 0.5, 0), 2) AS fy, least(greatest((x + 0.5) / 16 - 0.5, 0), 3) AS fx FROM pixg)),
+            corners AS (SELECT frame, y, x, sum((CASE dy WHEN 1 THEN fy - y0 ELSE 1 - fy + y0 END) * (CASE dx WHEN 1 THEN fx - x0 ELSE 1 - fx + x0 END) * coalesce(mean, level)) AS back
+              FROM placed CROSS JOIN range(2) a(dy) CROSS JOIN range(2) b(dx) JOIN frames USING (frame)
+              LEFT JOIN blocks ON blocks.frame = placed.frame AND gy = least(y0 + dy, 2) AND gx = least(x0 + dx, 3) GROUP BY ALL)
+            SELECT frame, y, x, round(greatest(ch0 - back + spread, 0), 6) AS value FROM pixg JOIN corners USING (frame, y, x) JOIN frames USING (frame)""",
+        ),
+    ),
     "i03_blur": (_on("pix", lambda p: _rounded(planes.blur(p, "ch0", 48, 64, 0.8).drop("stack_id"), "value")), oracle("pix", _BLUR)),
 }
 
