@@ -80,6 +80,18 @@ def test_blocks_of_suffixes_with_long_ties(monkeypatch):
     assert got.tolist() == [seen[b, data[a : a + 200].tobytes()] > 1 for a, b in zip(at, bucket, strict=True)]
 
 
+def test_suffixes_alike_beyond_the_depth_of_ranks_are_all_found():
+    rng = np.random.default_rng(11)
+    source = rng.integers(97, 105, 800, dtype=np.uint8)
+    parts = [np.concatenate([source[a : a + k], rng.integers(97, 105, 60, dtype=np.uint8)]) for a, k in zip(rng.integers(0, 40, 300), rng.integers(380, 760, 300), strict=True)]
+    data = np.concatenate(parts)
+    first = np.cumsum([0, *(len(p) for p in parts)])[:-1]
+    at = np.concatenate([np.arange(a, a + len(p) - 400 + 1) for a, p in zip(first, parts, strict=True) if len(p) >= 400])
+    got = suffix_dedup.repeated_suffixes(data, at, np.zeros(len(at), np.int64), 400)
+    seen = Counter(data[a : a + 400].tobytes() for a in at)
+    assert got.tolist() == [seen[data[a : a + 400].tobytes()] > 1 for a in at]
+
+
 def test_cover_has_every_difference():
     for period in (7, 32, 64, 128):
         cover = suffix_dedup.difference_cover(period)
