@@ -4,6 +4,8 @@ from itertools import combinations
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tissuelake.operators import components, divisions, stages
 from tissuelake.plans import catalog
 
@@ -124,3 +126,11 @@ def test_nearest_label_is_found_far_away_or_not_at_all(spark):
     rows = [(0, 0, 0, x, 7 if x == 40 else 0) for x in range(41)] + [(0, 1, 0, x, 0) for x in range(3)]
     found = nearest_labels(spark.createDataFrame(rows, "stack_id int, frame int, y int, x int, label int"), 2.0).collect()
     assert sorted(r.x for r in found) == list(range(40)) and {r.label for r in found} == {7} and {r.frame for r in found} == {0}
+
+
+def test_saved_tables_are_not_broadcast(spark):
+    table = components.saved(spark.range(1000).withColumn("a", F.col("id") * 2))
+    counts = table.where("a > 4").groupBy("a").count()
+    for how in ("inner", "left", "left_anti"):
+        plan = spark.range(5000).withColumnRenamed("id", "a").join(counts, "a", how)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
