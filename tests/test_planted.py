@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from tissuelake.operators import components, divisions, stages
+from tissuelake.operators import components, divisions, stages, stats
 from tissuelake.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -134,3 +134,30 @@ def test_saved_tables_are_not_broadcast(spark):
     for how in ("inner", "left", "left_anti"):
         plan = spark.range(5000).withColumnRenamed("id", "a").join(counts, "a", how)._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_autocorrelation_counts_points_of_one_place_together(spark):
+    rows = [(0, f, p if p % 11 else None, float(p % 3), float(p % 2), (p % 3 + f) % 4) for f in range(2) for p in range(60)]
+    rows += [(0, 0, 7, 1.0, 1.0, 1), (0, 0, 7, 0.0, 1.0, 2), (0, 1, 8, None, 0.0, 2), (0, 1, 9, 2.0, 0.0, None)]
+    points = spark.createDataFrame(rows, "stack_id int, frame int, particle int, x double, y double, v int")
+    values = {f: [r[5] for r in rows if r[1] == f and r[5] is not None] for f in (0, 1)}
+    means = {f: sum(v) / len(v) for f, v in values.items()}
+    variance = sum(sum((x - means[f]) ** 2 for x in v) / len(v) for f, v in values.items()) / 2
+    bins = {}
+    for a, b in combinations(rows, 2):
+        if a[1] == b[1] and None not in (a[2], b[2], a[3], b[3]) and a[2] != b[2] and (d := ((a[3] - b[3]) ** 2 + (a[4] - b[4]) ** 2) ** 0.5) <= 2:
+            bins.setdefault(min(int(d / 0.5), 3), []).append(None if None in (a[5], b[5]) else (a[5] - means[a[1]]) * (b[5] - means[b[1]]))
+    got = {r.bin: (r.n, r.correlation, r.error) for r in stats.autocorrelation(points, "v", 2.0, 4).collect()}
+    assert set(got) == set(bins)
+    for b, products in bins.items():
+        known = [p for p in products if p is not None]
+        mean = sum(known) / len(known)
+        dev = (sum((p - mean) ** 2 for p in known) / len(known)) ** 0.5
+        assert got[b] == (len(products), pytest.approx(mean / variance), pytest.approx(dev / len(products) ** 0.5 / variance))
+
+
+def test_autocorrelation_of_a_crowd_at_one_place(spark):
+    crowd = spark.range(400_000).selectExpr("0 AS stack_id", "0 AS frame", "id AS particle", "CAST(id % 2 AS DOUBLE) AS x", "0D AS y", "id % 2 AS v")
+    half = 200_000
+    got = {r.bin: (r.n, r.correlation) for r in stats.autocorrelation(crowd, "v", 2.0, 4).collect()}
+    assert got == {0: (half * (half - 1), pytest.approx(1.0)), 2: (half * half, pytest.approx(-1.0))}
