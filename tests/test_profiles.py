@@ -207,3 +207,33 @@ def test_whole_query_of_surfaces(spark):
     for f in whole:
         want = _surface(stacks[f], 8, 4, 0.6, 2.0)
         assert len(got[f]) == 48 * 64 and all(abs(h - want[p]) < 1e-5 for p, h in got[f].items())
+
+
+def test_columns_are_shuffled_as_arrays(spark):
+    from tissuelake.operators import lookups
+
+    df = spark.createDataFrame([(0, 0, z, y, x, float(z * y + x)) for z in range(4) for y in range(9) for x in range(10)], VOX)
+    for out, exchanges in ((lookups.steepest_descent(df), 1), (profiles._along_columns(df, 9, 10, 4, 1.0, 1.0, "surface", profiles._steepest), 2)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == exchanges and "Window" not in plan and "BroadcastExchange" not in plan
+    assert "Window" not in profiles.fitted_surface(df, 9, 10, 4, block=2, fold=2, sigma=1.0)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_steepest_descent_with_gaps_and_nulls(spark):
+    from tissuelake.operators import lookups
+
+    rng, rows, want = np.random.default_rng(5), [], {}
+    for y in range(20):
+        for x in range(11):
+            column = [(z, None if rng.random() < 0.1 else float(rng.integers(0, 4))) for z in sorted(rng.choice(9, rng.integers(1, 8), replace=False).tolist())]
+            rows += [(0, y % 2, z, y, x, v) for z, v in column]
+            slopes = []
+            for i, (z, v) in enumerate(column):
+                before, after = (column[i - 1][1] if i else None), (column[i + 1][1] if i + 1 < len(column) else None)
+                g = (after - before) / 2 if None not in (before, after) else after - v if None not in (after, v) else v - before if None not in (before, v) else -np.inf
+                slopes.append((g, z))
+            want[y % 2, y, x] = min(slopes)[1]
+    rng.shuffle(rows)
+    got = {(int(r.frame), r.y, r.x): r.surface for r in lookups.steepest_descent(spark.createDataFrame([(int(s), int(f), int(z), int(y), int(x), v) for s, f, z, y, x, v in rows], VOX).repartition(3)).collect()}
+    assert got == want
+    assert lookups.steepest_descent(spark.createDataFrame([], VOX)).count() == 0

@@ -5,18 +5,20 @@ A spline's values are fixed weights of the samples, the same for all columns of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import saved
 from .heights import without_outliers
-from .lookups import gradient
-from .planes import blur, quadratic_surface
-from .zonal import FRAME, peak_heights, pool
+from .lookups import LINES, in_blocks, lowest, slopes
+from .planes import quadratic_surface
+from .zonal import FRAME, pool
 
 PIXEL = [*FRAME, "y", "x"]
 
@@ -119,30 +121,89 @@ def coverslip_z(profiles: DataFrame, by: list[str], scale: float = 1.0, precisio
     return lists.mapInPandas(found, f"{kinds}, coverslip double")
 
 
-def _calm(voxels: DataFrame, height: int, width: int, depth: int, sigma: float, z_sigma: float) -> DataFrame:
-    """Voxels brought to 0..1 between the 1st and 99th percentile of their frame's stack (not clipped; 0 where these are equal) and blurred along x, y and z."""
-    q = voxels.groupBy(*FRAME).agg(F.percentile("value", F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
-    lo, hi = F.col("q")[0], F.col("q")[1]
-    unit = voxels.join(q, FRAME).select(*PIXEL, "z", F.when(hi > lo, (F.col("value") - lo) / (hi - lo)).otherwise(0.0).alias("value"))
-    return _blurred(unit, height, width, depth, sigma, z_sigma)
+def _gaussian(n: int, sigma: float) -> np.ndarray:
+    """Weights of n places in a row for their values under a Gaussian cut at four sigma, ends reflected."""
+    if sigma <= 0:
+        return np.eye(n)
+    reach, weights = int(4 * sigma + 0.5), np.zeros((n, n))
+    raw = [math.exp(-0.5 * (d / sigma) ** 2) for d in range(-reach, reach + 1)]
+    for t in range(n):
+        for d, w in zip(range(-reach, reach + 1), raw, strict=True):
+            at = (t + d) % (2 * n)
+            weights[t, min(at, 2 * n - 1 - at)] += w / sum(raw)
+    return weights
+
 
+def _along_columns(voxels: DataFrame, height: int, width: int, depth: int, sigma: float, z_sigma: float, name: str, seek: Callable) -> DataFrame:
+    """(stack_id, frame, y, x, name): what seek(column, z, value, known) finds in each column of voxels blurred along y, x and z.
 
-def _blurred(voxels: DataFrame, height: int, width: int, depth: int, sigma: float, z_sigma: float) -> DataFrame:
-    out = voxels
-    # planes of blur() are those of x and y, then those of x and z, along z only
-    if sigma > 0:
-        flat = blur(out.withColumn("frame", F.struct("frame", "z")), "value", height, width, sigma)
-        out = flat.select("stack_id", F.col("frame.frame").alias("frame"), "y", "x", F.col("frame.z").alias("z"), "value")
-    if z_sigma > 0:
-        upright = blur(out.select("stack_id", F.struct("frame", "y").alias("frame"), F.col("z").alias("y"), "x", "value"), "value", depth, None, z_sigma)
-        out = upright.select("stack_id", F.col("frame.frame").alias("frame"), F.col("frame.y").alias("y"), "x", F.col("y").alias("z"), "value")
-    return out
+    seek gets the voxels of some columns in order of column and z, and whether a value is not null, and returns (columns, results). Missing and null voxels count as 0;
+    a blurred voxel is there if one within reach is, and null if all within reach are. Blocks of a few x with all y and z are blurred along y, then
+    blocks of a few y with all x and z along x and z: two exchanges, of arrays.
+    """
+    down, across, deep = _gaussian(height, sigma), _gaussian(width, sigma), _gaussian(depth, z_sigma)
+    wide = -(-width // LINES) * LINES
+    reach = lambda m, w: (w > 0).astype(np.float32) @ m.astype(np.float32) > 0
+
+    def upright(key: tuple, rows: pa.Table) -> pa.Table:
+        y, x, z, value, known = (rows[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("y", "x", "z", "value", "known"))
+        inside = (y >= 0) & (y < height) & (x >= 0) & (x < width) & (z >= 0) & (z < depth)
+        at = ((y * LINES + x % LINES).astype(np.int64) * depth + z)[inside]
+        n = height * LINES * depth
+        cube = down @ np.bincount(at, value[inside], n).reshape(height, -1)
+        there = reach(np.bincount(at, minlength=n).reshape(height, -1) > 0, down).astype(np.int8)
+        there += reach(np.bincount(at, known[inside], n).reshape(height, -1) > 0, down)
+        parts = [k for k in range(0, height, LINES) if there[k : k + LINES].any()]
+        columns = [pa.array([k.as_py()] * len(parts), rows.schema.field(c).type) for k, c in zip(key[:2], FRAME, strict=True)]
+        columns += [pa.array([k // LINES for k in parts], pa.int32()), pa.array([key[2].as_py()] * len(parts), pa.int32())]
+        columns += [pa.array([m[k : k + LINES].ravel() for k in parts], pa.list_(kind)) for m, kind in ((cube, pa.float64()), (there, pa.int8()))]
+        return pa.Table.from_arrays(columns, [*FRAME, "block", "part", "value", "there"])
+
+    def level(key: tuple, rows: pa.Table) -> pa.Table:
+        cube, there = np.zeros((LINES, wide, depth)), np.zeros((LINES, wide, depth), np.int8)
+        parts = rows["part"].to_numpy() * LINES
+        for part, *both in zip(parts.tolist(), rows["value"], rows["there"], strict=True):
+            for whole, own in zip((cube, there), both, strict=True):
+                own = own.values.to_numpy().reshape(-1, LINES, depth)
+                whole[: len(own), part : part + LINES] = own
+        cube, there = across @ cube[:, :width] @ deep.T, there[:, :width]
+        present, known = (np.swapaxes(reach(np.swapaxes(reach(there > k, across), 1, 2), deep), 1, 2) for k in (0, 1))
+        row, x, z = np.nonzero(present)
+        column, found = seek(row * width + x, z, cube[row, x, z], known[row, x, z])
+        columns = [pa.array([k.as_py()] * len(column), rows.schema.field(c).type) for k, c in zip(key[:2], FRAME, strict=True)]
+        columns += [pa.array(v, pa.int32()) for v in (key[2].as_py() * LINES + column // width, column % width, found)]
+        return pa.Table.from_arrays(columns, [*PIXEL, name])
+
+    frame = ", ".join(f"{c} {dict(voxels.dtypes)[c]}" for c in FRAME)
+    halves = in_blocks(voxels, "x").groupBy(*FRAME, "block").applyInArrow(upright, f"{frame}, block int, part int, value array<double>, there array<tinyint>")
+    return halves.groupBy(*FRAME, "block").applyInArrow(level, f"{frame}, y int, x int, {name} int")
+
+
+def _last_peaks(prominence: float, round_to: int | None) -> Callable:
+    """Last inner z of each column at which the fall is above both neighbours, by `prominence` above the lower one; 0 without."""
+
+    def seek(column: np.ndarray, z: np.ndarray, value: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        slope, known = slopes(column, value, known)
+        fall = -slope if round_to is None else np.round(-slope, round_to)
+        inner = np.flatnonzero((column[1:-1] == column[:-2]) & (column[1:-1] == column[2:]) & known[1:-1] & known[:-2] & known[2:]) + 1
+        before, after, own = fall[inner - 1], fall[inner + 1], fall[inner]
+        peaks = inner[(own > before) & (own > after) & (own - np.minimum(before, after) >= prominence)]
+        columns, place = np.unique(column, return_inverse=True)
+        height = np.zeros(len(columns), int)
+        np.maximum.at(height, place[peaks], z[peaks])
+        return columns, height
+
+    return seek
+
+
+def _steepest(column: np.ndarray, z: np.ndarray, value: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return lowest(column, z, *slopes(column, value, known), 9)
 
 
 def height_map(voxels: DataFrame, height: int, width: int, depth: int, scale: float = 0.325, z_scale: float = 1.0, prominence: float = 0.01, sigma: float | None = None, z_sigma: float | None = None, least: float | None = None, fold: int = 1, reverse: bool = False, round_to: int | None = 9) -> DataFrame:
     """(stack_id, frame, y, x, height) of cells' tops in voxels(stack_id, frame, z, y, x, value), z from 0 to depth - 1 over the whole plane.
 
-    The stack is brought to 0..1, blurred, and its steepest fall along z is sought: the last z at which the falling gradient has a peak of `prominence`.
+    The stack is brought to 0..1 between the 1st and 99th percentile of its values (not clipped; 0 where these are equal), blurred, and its steepest fall along z is sought: the last z at which the falling gradient has a peak of `prominence`.
     Regions of fewer than `least` pixels are filled from what is around them. With fold > 1 planes are first interpolated along z, and heights are
     given in planes of the input. With `reverse` heights are sought from the top downwards (a coverslip's underside) and counted from the bottom.
 
@@ -156,9 +217,11 @@ def height_map(voxels: DataFrame, height: int, width: int, depth: int, scale: fl
     planes = interpolate_z(voxels, fold) if fold > 1 else voxels
     depth *= fold
     planes = planes.withColumn("z", depth - 1 - F.col("z")) if reverse else planes
-    falls = gradient(_calm(planes, height, width, depth, sigma, z_sigma)).select(*PIXEL, "z", (-F.col("gradient")).alias("value"))
-    falls = falls.withColumn("value", F.round("value", round_to)) if round_to is not None else falls
-    found = without_outliers(saved(peak_heights(falls, prominence)), least)
+    q = planes.groupBy(*FRAME).agg(F.percentile("value", F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
+    lo, hi = F.col("q")[0], F.col("q")[1]
+    # percentiles are a row a frame
+    unit = planes.join(F.broadcast(q), FRAME).select(*PIXEL, "z", F.when(hi > lo, (F.col("value") - lo) / (hi - lo)).otherwise(0.0).alias("value"))
+    found = without_outliers(saved(_along_columns(unit, height, width, depth, sigma, z_sigma, "height", _last_peaks(prominence, round_to))), least)
     at = F.when(F.col("height") < 0, F.col("height")).otherwise(depth - 1 - F.col("height")) if reverse else F.col("height")
     return found.select(*PIXEL, (at / fold if fold > 1 else at).alias("height"))
 
@@ -174,9 +237,8 @@ def fitted_surface(voxels: DataFrame, height: int, width: int, depth: int, block
     z_sigma = fold / z_scale if z_sigma is None else z_sigma
     blocks = pool(voxels.withColumn("frame", F.struct("frame", "z")), "value", block)
     blocks = blocks.select("stack_id", F.col("frame.frame").alias("frame"), F.col("frame.z").alias("z"), "y", "x", F.col("mean").alias("value"))
-    calm = _blurred(interpolate_z(blocks, fold, repeat_ends=False), -(-height // block), -(-width // block), depth * fold, sigma, z_sigma)
-    steepest = gradient(calm).withColumn("gradient", F.round("gradient", 9)).groupBy(*PIXEL).agg(F.min_by("z", F.struct("gradient", "z")).alias("surface"))
+    steepest = _along_columns(interpolate_z(blocks, fold, repeat_ends=False), -(-height // block), -(-width // block), depth * fold, sigma, z_sigma, "surface", _steepest)
     fits = quadratic_surface(steepest, "surface")
     x, y = F.col("x") / block, F.col("y") / block
     at = (F.col("a") * (x * x + y * y) + F.col("b") * x + F.col("c") * y + F.col("d")) / fold
-    return voxels.select(*PIXEL).distinct().join(fits, FRAME, "left").select(*PIXEL, at.alias("height"))
+    return voxels.select(*PIXEL).distinct().join(F.broadcast(fits), FRAME, "left").select(*PIXEL, at.alias("height"))
