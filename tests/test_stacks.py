@@ -113,3 +113,13 @@ def test_set_along_and_histograms(spark):
     rows = spark.createDataFrame([("flat", 2.0)] * 3 + [("odd", 1.0), ("odd", float("nan")), ("none", None), (None, 4.0), (None, 5.0)], "g string, v double")
     got = {(r.g, r.bin): (r["count"], r.start, r.density) for r in stats.group_histograms(rows, ["g"], "v").collect()}
     assert got["flat", 0] == (3, 1.5, 1.0) and got["odd", 0] == (1, 0.5, 1.0) and {k for k in got if k[0] is None} == {(None, 0), (None, 1)} and len(got) == 4
+
+
+def test_sizes_are_read_by_many_tasks(spark):
+    from tissuelake.sources import positions
+
+    text = '<OME><Image><Pixels SizeX="1"/></Image><Image><Pixels SizeX="7"/><Pixels DimensionOrder="{}" SizeT="{}" SizeZ="x" SizeC=""/></Image></OME>'
+    rows = [(i, text.format("XY" * (i % 2), i)) for i in range(40)] + [(40, None), (41, "no")]
+    got = positions.sizes(spark.createDataFrame(rows, "i int, xml string").coalesce(1), "xml")
+    assert got.rdd.getNumPartitions() > 1 and got._jdf.queryExecution().executedPlan().toString().count("xpath_string") <= 2
+    assert sorted(tuple(r)[:1] + tuple(r)[2:] for r in got.collect()) == [(i, i, None, None, None, None, "XY" if i % 2 else None) for i in range(40)] + [(i, *[None] * 6) for i in (40, 41)]
