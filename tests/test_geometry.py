@@ -257,3 +257,18 @@ def test_sixty_mothers_in_a_row(spark):
     chosen = divisions.choose(spark.createDataFrame(rows, "stack_id int, mother int, daughter1 int, daughter2 int, score double")).collect()
     assert abs(sum(1.9 - r.score for r in chosen) - sum(options[m][k][0] - 0.1 for m, k in won)) < 1e-6
     assert len({d for r in chosen for d in (r.daughter1, r.daughter2)}) == 2 * len(chosen)
+
+
+def test_densities_need_no_exchange_by_group(spark):
+    from tissuelake.operators import stats
+
+    rows = spark.createDataFrame([(g, float(v % 50)) for g in ("a", "b", None) for v in range(300)], "g string, v double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = stats.kernel_density(rows, ["g"], "v", 5, 0.0, 49.0)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # values are summed at all points in their task, before they are shuffled
+    assert "SortMergeJoin" not in plan and plan.index("Generate") < plan.index("BroadcastHashJoin") and out.count() == 15
