@@ -272,3 +272,16 @@ def test_densities_need_no_exchange_by_group(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     # values are summed at all points in their task, before they are shuffled
     assert "SortMergeJoin" not in plan and plan.index("Generate") < plan.index("BroadcastHashJoin") and out.count() == 15
+
+
+def test_exact_quantiles_of_skewed_values(spark):
+    from tissuelake.operators import stats
+
+    rng = np.random.default_rng(3)
+    for values in ([*rng.normal(size=3000), 1e300, -1e300], [1.0] * 900 + [2.0, 3.0], [5.0], [1.0, 2.0], list(range(1, 8)), [None, 4.0, 8.0]):
+        rows = spark.createDataFrame([(None if v is None else float(v),) for v in values], "v double").repartition(3)
+        known = [v for v in values if v is not None]
+        np.testing.assert_allclose(stats.quantiles(rows, "v", [0.25, 0.75]), np.percentile(known, [25, 75]), rtol=1e-12)
+        plan = stats.histogram(rows, "v")._jdf.queryExecution().executedPlan().toString()
+        assert "percentile" not in plan
+    assert stats.quantiles(rows.limit(0), "v", [0.5]) is None and stats.histogram(rows.limit(0), "v").count() == 0
