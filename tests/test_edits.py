@@ -182,3 +182,14 @@ def test_histograms_of_awkward_values(spark):
     assert rows([]) == [] and rows([nan]) == []
     shares = stats.weighted_histogram(spark.createDataFrame([("a", 1.0), ("a", nan), ("a", 3.0)], "g string, v double"), ["g"], "v", 2, 0.0, 4.0).collect()
     assert math.isclose(sum(r.share for r in shares), 1.0)
+
+
+def test_fold_of_one_group_takes_arrow():
+    import pyarrow as pa
+
+    from tissuelake.operators.edits import _fold
+
+    kinds = {"stack_id": pa.int32(), "kind": pa.int32(), "seq": pa.int64(), "op": pa.string(), "particle": pa.int64(), "other": pa.int64(), "frame": pa.int32(), "ref": pa.int64(), "role": pa.string()}
+    rows = [(0, 1, None, None, 7, None, f, None, None) for f in (0, 1, 1, 2)] + [(0, 2, None, None, 7, None, 2, 5, "mother"), (0, 0, 2, "delete_head", 7, None, 0, None, None), (0, 0, 1, "split", 7, None, 2, None, None)]
+    got = _fold(pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(kinds.items())})).to_pylist()
+    assert [(r["kind"], r["frame"], r["owner"]) for r in got] == [(1, 0, None), (1, 1, 7), (1, 2, -1), (2, 2, -1)]
