@@ -113,6 +113,23 @@ def test_tokens_equal_the_tokenizer(docs, spark):
     assert all(r.ids_crc32 == zlib.crc32(ids) for r in rows if r.doc_id == 5)
 
 
+def test_a_pre_token_is_encoded_once_whatever_follows_it():
+    own = packing.ChunkEncoder(packing.tokenizer_path())
+
+    class Counted:
+        def __init__(self, model):
+            self.model, self.seen = model, Counter()
+
+        def tokenize(self, piece):
+            self.seen[piece] += 1
+            return self.model.tokenize(piece)
+
+    own.model = counted = Counted(own.model)
+    for text in ("a word, a word. (word) word's", "word; word: \nword\n\nword? é words", "word  word", "\tword"):
+        assert own.encode(text) == own._whole(text)
+    assert "Ġword" in counted.seen and set(counted.seen.values()) == {1}
+
+
 def test_plan_places_every_piece():
     random.seed(3)
     for capacity in (7, 60, 2048):

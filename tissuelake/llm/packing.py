@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from codecs import charmap_decode
 from collections.abc import Iterator
 from pathlib import PurePath
 
@@ -23,12 +24,12 @@ from pyspark.sql.window import Window as W
 from .common import materialise, text_or_empty
 
 CAPACITY = 2048
-#: Entries that a worker's table of encoded text chunks may hold before it is emptied.
+#: Entries that a worker's table of encoded text chunks, and its table of pre-tokens, may hold before it is emptied.
 CACHE_ENTRIES = 400_000
 
 
 class ChunkEncoder:
-    """Token ids of whole texts by the model of a byte-level BPE tokenizer, remembering the ids of recurring chunks.
+    """Token ids of whole texts by the model of a byte-level BPE tokenizer, remembering the ids of recurring chunks and of their pre-tokens.
 
     A space after a character that is no white space always starts a pre-token, so texts are cut there and chunks encoded apart.
     A chunk that ends in white space would hide such a run of spaces; texts with one, or with one of the tokenizer's own tokens as a string,
@@ -45,11 +46,13 @@ class ChunkEncoder:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.bytes_to_text = {b: chr(b) for b in self.PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in self.PRINTABLE)}
+        text = {b: chr(b) for b in self.PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in self.PRINTABLE)}
+        self.bytes_to_text = "".join(text[b] for b in range(256))
         self.pieces = regex.compile(self.SPLIT)
         own = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.own = regex.compile("|".join(map(regex.escape, own))) if own else None
         self.known: dict[str, bytes | None] = {}
+        self.parts: dict[str, bytes] = {}
         parts = json.loads(self.whole.to_str())
         pre = parts["pre_tokenizer"] or {}
         self.plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not parts["normalizer"]
@@ -57,11 +60,18 @@ class ChunkEncoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _ids(self, text: str) -> bytes:
-        ids = []
-        for piece in [text] if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()) else self.pieces.findall(text):
-            ids += [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.bytes_to_text))]
-        return np.array(ids, dtype="<u4").tobytes()
+    def _piece(self, piece: str) -> bytes:
+        """The ids of one pre-token."""
+        known = charmap_decode(piece.encode(), "strict", self.bytes_to_text)[0]
+        self.parts[piece] = out = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(known)])
+        return out
+
+    def _pieces(self, text: str) -> tuple[list[str], list[bytes]]:
+        """The pre-tokens of a text with their ids."""
+        found, parts = self.pieces.findall(text), self.parts
+        if len(parts) >= CACHE_ENTRIES:
+            parts.clear()
+        return found, [parts[x] if x in parts else self._piece(x) for x in found]
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
@@ -73,17 +83,26 @@ class ChunkEncoder:
         try:
             ids = list(map(self.known.__getitem__, rest))
         except KeyError:
-            ids = [self.known[x] if x in self.known else self._learn(x) for x in rest]
+            self._learn(rest)
+            ids = list(map(self.known.__getitem__, rest))
         if None in ids:
             return self._whole(text)
-        return self._ids(first) * bool(first) + b"".join(ids)
+        return b"".join(self._pieces(first)[1]) + b"".join(ids)
 
-    def _learn(self, chunk: str) -> bytes | None:
-        """The ids of a chunk with the space before it; None if it cannot stand alone."""
+    def _learn(self, chunks: list[str]) -> None:
+        """Remember the ids of chunks with the space before them; None for those that cannot stand alone."""
         if len(self.known) >= CACHE_ENTRIES:
             self.known.clear()
-        self.known[chunk] = out = None if not chunk or chunk[-1].isspace() else self._ids(" " + chunk)
-        return out
+        new = set(chunks).difference(self.known)
+        self.known.update(dict.fromkeys(new))
+        alone = [x for x in new if x and not x[-1].isspace()]
+        if not alone:
+            return
+        # all of them are split at once: a chunk begins where a pre-token begins with a space, as it has no other
+        found, ids = self._pieces(" " + " ".join(alone))
+        at = [i for i, x in enumerate(found) if x[0] == " "]
+        for chunk, i, j in zip(alone, at, [*at[1:], len(found)], strict=True):
+            self.known[chunk] = ids[i] if j == i + 1 else b"".join(ids[i:j])
 
 
 _encoders: dict[str, ChunkEncoder] = {}
