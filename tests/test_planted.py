@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from tissuelake.operators import components, divisions, stages, stats
+from tissuelake.operators import components, divisions, linking, stages, stats
 from tissuelake.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -161,3 +161,24 @@ def test_autocorrelation_of_a_crowd_at_one_place(spark):
     half = 200_000
     got = {r.bin: (r.n, r.correlation) for r in stats.autocorrelation(crowd, "v", 2.0, 4).collect()}
     assert got == {0: (half * (half - 1), pytest.approx(1.0)), 2: (half * half, pytest.approx(-1.0))}
+
+
+def test_only_the_ends_of_chains_are_joined_in_rounds(spark, monkeypatch):
+    # chains 0..2 of 40 points, each link's place its own kind: all in one place, a new place every fifth point, a new one at each point
+    rows = [(100 * c + k + 1, 100 * c + k, c, (0, k // 5, k)[c]) for c in range(3) for k in range(39)]
+    links = spark.createDataFrame(rows, "id long, begin long, stack_id int, place int").repartition(7)
+    expected = {(i, i // 100 * 100) for i, *_ in rows}
+    for most in (linking.ONE_TASK, 0):
+        monkeypatch.setattr(linking, "ONE_TASK", most)
+        assert {tuple(r) for r in linking.beginnings(links, ["stack_id", "place"]).collect()} == expected
+    assert linking.beginnings(links.where("false"), ["stack_id", "place"]).count() == 0
+
+    def refuse(stars):
+        raise AssertionError("all points went through rounds")
+
+    # more points than one task joins, all of them in one place: no rounds over points
+    monkeypatch.setattr(components, "ONE_TASK", 8)
+    monkeypatch.setattr(components, "_rounds", refuse)
+    points = spark.createDataFrame([(0, f, n, n * 50.0 + f, 5.0) for f in range(12) for n in range(3)], "stack_id int, frame int, cell_number int, x double, y double")
+    found = linking.link(points, 2.0).collect()
+    assert len(found) == 36 and all(r.particle == r.cell_number for r in found)
