@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from tissuelake.operators import components, divisions, linking, stages, stats
+from tissuelake.operators import components, divisions, linking, lookups, stages, stats
 from tissuelake.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -182,3 +182,10 @@ def test_only_the_ends_of_chains_are_joined_in_rounds(spark, monkeypatch):
     points = spark.createDataFrame([(0, f, n, n * 50.0 + f, 5.0) for f in range(12) for n in range(3)], "stack_id int, frame int, cell_number int, x double, y double")
     found = linking.link(points, 2.0).collect()
     assert len(found) == 36 and all(r.particle == r.cell_number for r in found)
+
+
+def test_ranges_are_expanded_by_many_tasks(spark):
+    specs = spark.range(40).select("id", F.concat("id", F.lit("-3, 7")).alias("spec")).groupBy("id", "spec").count().coalesce(1)
+    got = lookups.expand_ranges(specs, "spec", "k").select("id", "k", F.spark_partition_id().alias("task")).collect()
+    assert len({r.task for r in got}) > 1
+    assert sorted((r.id, r.k) for r in got) == sorted((i, k) for i in range(40) for k in [*range(min(i, 3), max(i, 3) + 1), 7])
