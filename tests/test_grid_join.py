@@ -3,7 +3,9 @@
 import math
 import random
 
-from tissuelake.operators import lookups
+import pytest
+
+from tissuelake.operators import lookups, stats
 from tissuelake.plans import catalog
 
 
@@ -41,3 +43,19 @@ def test_fast_rounding_is_the_twins(spark):
     values = [0.0, 0.5e-6, 12.0, 1.0000005, *(rng.uniform(0, 12) for _ in range(500))]
     rows = catalog._rounded_fast(spark.createDataFrame([(v, v) for v in values], "v double, r double"), "r").collect()
     assert [r["r"] for r in rows] == [math.floor(r["v"] * 1e6 + 0.5) / 1e6 for r in rows]
+
+
+@pytest.mark.parametrize("by_frame", [True, False])
+def test_autocorrelation_takes_distances_that_round_to_the_radius(spark, by_frame):
+    rng, over = random.Random(8), []
+    while len(over) < 8:
+        a = rng.uniform(0, math.pi / 2)
+        x, y = 40 * math.cos(a), 40 * math.sin(a)
+        if x * x + y * y > 1600 and math.sqrt(x * x + y * y) <= 40:
+            over.append((x, y))
+    # one pair a frame; in the last but one the points are 40 apart by doubles and, by exact numbers, in cells with one between
+    pairs = [((0.0, 0.0), p) for p in over] + [((40.0, 0.0), (-1e-17, 0.0)), ((0.0, 0.0), (40.00000000000001, 0.0))]
+    rows = [(0, f, n, *at, float(n)) for f, pair in enumerate(pairs) for n, at in enumerate(pair)]
+    points = spark.createDataFrame(rows, "stack_id int, frame int, particle int, x double, y double, v double")
+    found = stats.autocorrelation(points, "v", 40.0, 10, by_frame).collect()
+    assert [(r.bin, r.n, round(r.correlation, 9)) for r in found] == [(9, 9, -1.0)]
