@@ -75,3 +75,11 @@ def test_a_dense_frame_has_no_row_for_each_pair(spark):
     points = spark.range(150_000).selectExpr("0 AS stack_id", "0 AS frame", "id AS particle", "id % 1000 / 50D AS x", "CAST(id div 1000 AS DOUBLE) / 10 AS y", "id % 2 AS v")
     got = stats.autocorrelation(points, "v", 40.0, 10).collect()
     assert sum(r.n for r in got) == 150_000 * 149_999 // 2
+
+
+def test_no_task_gets_a_whole_stack(spark, monkeypatch):
+    plans, real = [], stats.saved
+    monkeypatch.setattr(stats, "saved", lambda table: [plans.append(table._jdf.queryExecution().executedPlan().toString()), real(table)][1])
+    points = spark.range(300).selectExpr("id % 2 AS stack_id", "id % 3 AS frame", "id AS particle", "id / 10D AS x", "0D AS y", "id % 5 AS v")
+    assert stats.autocorrelation(points, "v", 2.0, 4, by_frame=False).count() == 6
+    assert any("BroadcastHashJoin" in p for p in plans) and not any("SortMergeJoin" in p for p in plans)
