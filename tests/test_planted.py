@@ -189,3 +189,15 @@ def test_ranges_are_expanded_by_many_tasks(spark):
     got = lookups.expand_ranges(specs, "spec", "k").select("id", "k", F.spark_partition_id().alias("task")).collect()
     assert len({r.task for r in got}) > 1
     assert sorted((r.id, r.k) for r in got) == sorted((i, k) for i in range(40) for k in [*range(min(i, 3), max(i, 3) + 1), 7])
+
+
+def test_long_runs_are_expanded_by_spans(spark):
+    runs = ["70000-3, 5-70000", "65536, 65535-131072", "7-7,0", "0-300000"]
+    specs = spark.createDataFrame(list(enumerate(runs)), "id int, spec string")
+    got = lookups.expand_ranges(specs, "spec", "k").select("id", "k", F.spark_partition_id().alias("task")).collect()
+    expected = [(i, k) for i, spec in enumerate(runs) for part in spec.split(",") for a, *b in [list(map(int, part.split("-")))] for k in range(min(a, *b, a), max(a, *b, a) + 1)]
+    assert sorted((r.id, r.k) for r in got) == sorted(expected)
+    assert len({r.task for r in got if r.id == 3}) > 1
+    # an array of this run would be over any array's size
+    long = specs.select(F.lit("9000000000-1").alias("spec")).limit(1)
+    assert all(1 <= r.k <= 9_000_000_000 for r in lookups.expand_ranges(long, "spec", "k").limit(3).collect())
