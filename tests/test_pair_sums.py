@@ -83,3 +83,9 @@ def test_no_task_gets_a_whole_stack(spark, monkeypatch):
     points = spark.range(300).selectExpr("id % 2 AS stack_id", "id % 3 AS frame", "id AS particle", "id / 10D AS x", "0D AS y", "id % 5 AS v")
     assert stats.autocorrelation(points, "v", 2.0, 4, by_frame=False).count() == 6
     assert any("BroadcastHashJoin" in p for p in plans) and not any("SortMergeJoin" in p for p in plans)
+
+
+def test_whole_numbers_do_not_overflow(spark):
+    points = spark.createDataFrame([(0, 0, 0, 0, 1.0), (0, 0, 100_000, 0, 1.0), (0, 0, 0, 65_536, 1.0)], "stack_id int, frame int, x int, y int, c double")
+    got = {r.bin: r.n for r in pair_sums.pair_sums(points, ["stack_id", "frame"], 100_000.0, 10).collect()}
+    assert got == {6: 1, 9: 1}
